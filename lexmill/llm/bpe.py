@@ -331,6 +331,12 @@ class Encoder:
             at -= size[at]
         return out[::-1]
 
+    def sizes(self) -> np.ndarray:
+        """Bytes of each token, by id."""
+        out = np.zeros(self.size, np.int64)
+        out[list(self.words.values())] = [len(w) for w in self.words]
+        return out
+
     def counts(self, texts: list) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
