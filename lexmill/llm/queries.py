@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, residue, split
+from lexmill.llm import bpe, lookalike, neardup, residue, split
 from lexmill.session import ship, table
 
 
@@ -18,6 +18,27 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_chunks(table(spark, folder, "chunks"), table(spark, folder, "configs"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows whose texts look the same but are different strings."""
+    return lookalike.alike_pairs(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
+
+
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every text."""
+    texts = lookalike.texts_of(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
+    return lookalike.consistent(texts, pairs=lookalike.letter_pairs(texts)).select("tbl", "id", "form")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows above the threshold of similarity."""
+    return neardup.similar_pairs(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row that is similar to another: its group, its class of equal texts and the number of links of the class."""
+    return neardup.similar_groups(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, folder, "documents"))
@@ -39,7 +60,7 @@ def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(table(spark, folder, "documents")).select("doc_id", "residue")
 
 
-_ALL = (p1_found, p1_pieces, p6_ids, p8_found, p8_kept, p8_kinds)
+_ALL = (p1_found, p1_pieces, p3_found, p3_forms, p5_found, p5_groups, p6_ids, p8_found, p8_kept, p8_kinds)
 
 
 def queries() -> dict:
