@@ -3,7 +3,7 @@
 Similarity is the share of common runs of 5 characters, in the consistent form of problem 3 without white space.
 
 Method: BK-trees. Equal forms are one class, and only its representative goes on. A task gives each text 128 minima of its
-runs' hashes (4 hashings of 32 bins each) and the sketch of one bit of each, so that the Hamming distance of two sketches follows their
+runs' hashes (4 hashings of 32 bins each) and the sketch of two bits of each, so that the Hamming distance of two sketches follows their
 similarity. Texts are shards by 32 keys of 4 minima each; in every shard a BK-tree takes its texts one after the other, a child hanging at
 the integer distance to its parent, and a new text follows only the edges within the radius. What a tree finds is compared exactly, run by run.
 The trees are built where the shuffle brings a shard, not broadcast: broadcasting them would take all sketches through the driver.
@@ -12,7 +12,7 @@ A shard of more than `SHARD` texts is cut into blocks; a tree is built for each
 search the trees of the blocks before it in tasks of their own, so no text and no pair is left out and no task grows with the shard.
 
 Chance: with 32 keys of 4 minima, a pair at the threshold of 0.6 shares a shard with a probability of 0.988, one of 0.7 with 0.9999;
-the radius keeps all but one in 4,000 of the pairs at the threshold.
+the radius keeps all but one in 2,000 of the pairs at the threshold.
 
 Defined cases: null, empty and blank texts, and texts of fewer than `min_chars` characters in that form, are in no pair; rows delivered twice
 count once; equal texts under different ids are pairs.
@@ -32,7 +32,8 @@ from lexmill.llm.codepoints import blocks, mix64
 from lexmill.llm.lookalike import Forms, letter_pairs, texts_of
 from lexmill.operators.components import components
 
-RUN, HASHINGS, BINS, RADIUS, SHARD = 5, 4, 32, 41, 4096
+RUN, HASHINGS, BINS, RADIUS, SHARD = 5, 4, 32, 76, 4096
+SKETCH = ["s0", "s1", "s2", "s3"]
 MIN_CHARS, THRESHOLD = 80, 0.6
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -70,8 +71,8 @@ def minima(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, pairs: dict[str, float], min_chars: int = MIN_CHARS) -> DataFrame:
-    """tbl, id, form (digest), hi and lo (the sketch) and keys (of shards) of the texts long enough, each row once."""
-    schema = "tbl string, id bigint, form binary, hi bigint, lo bigint, keys array<bigint>"
+    """tbl, id, form (digest), s0 to s3 (the sketch) and keys (of shards) of the texts long enough, each row once."""
+    schema = "tbl string, id bigint, form binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>"
 
     def run(batches):
         forms = Forms.of(pairs)
@@ -85,8 +86,8 @@ def sketches(texts: DataFrame, pairs: dict[str, float], min_chars: int = MIN_CHA
                 hashes, text = runs(codes, offsets)
                 data = codes.tobytes()
                 m = minima(hashes, text, b - a)[long]
-                bits = (mix64(m) & np.uint64(1)).astype(np.uint8).reshape(len(long), 128)
-                words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+                bits = mix64(m).reshape(len(long), 128, 1) >> np.array([0, 1], np.uint64) & np.uint64(1)
+                words = np.packbits(bits.astype(np.uint8).reshape(len(long), 256), axis=1).view(">i8").astype(np.int64)
                 key = np.zeros((len(long), BINS), np.uint64)
                 for k in range(HASHINGS):
                     key = mix64(key ^ m[:, k, :]) + np.arange(BINS, dtype=np.uint64)
@@ -98,11 +99,10 @@ def sketches(texts: DataFrame, pairs: dict[str, float], min_chars: int = MIN_CHA
                         tables,
                         batch.column(1).slice(a, b - a).take(pa.array(long)),
                         pa.array([hashlib.blake2b(data[offsets[i] * 4 : offsets[i + 1] * 4], digest_size=12).digest() for i in long], pa.binary()),
-                        pa.array(words[:, 0]),
-                        pa.array(words[:, 1]),
+                        *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1) * BINS, pa.int32()), pa.array(key.view(np.int64).ravel())),
                     ],
-                    schema=pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("form", pa.binary()), ("hi", pa.int64()), ("lo", pa.int64()), ("keys", pa.list_(pa.int64()))]),
+                    schema=pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("form", pa.binary()), *((n, pa.int64()) for n in SKETCH), ("keys", pa.list_(pa.int64()))]),
                 )
 
     return texts.filter(F.length("text") >= min_chars).mapInArrow(run, schema)
@@ -144,17 +144,18 @@ class BKTree:
 
 
 def _search_shards(batches, radius: int, limit: int):
-    """Over rows (key, block, other, id, hi, lo) sorted by the first three: pairs that trees find. Where a shard has more than `limit` rows, its rows go out again, numbered (kind 1)."""
+    """Over rows (key, block, home, id, s0 to s3) sorted by the first two: pairs that trees find. Where a shard has more than `limit` rows, its rows go out again, numbered (kind 1)."""
 
     def pairs_of(group: dict[str, np.ndarray], out: list):
         size = len(group["id"])
         if size < 2:
             return
         if size > 2 * limit:
-            out.append((np.ones(size, np.int8), group["key"], group["id"], group["hi"], group["lo"]))
+            out.append((np.ones(size, np.int8), group["key"], group["id"], group["id"], *(group[n] for n in SKETCH)))
             return
         ids = group["id"].tolist()
-        sketch = [(h << 64) | w for h, w in zip(group["hi"].view(np.uint64).tolist(), group["lo"].view(np.uint64).tolist())]
+        data = np.stack([group[n].astype(np.int64) for n in SKETCH], axis=1).tobytes()
+        sketch = [int.from_bytes(data[i : i + 32], "little") for i in range(0, 32 * size, 32)]
         home = group["home"].tolist()
         tree, a, b = BKTree(), [], []
         mixed = not all(home)
@@ -174,12 +175,11 @@ def _search_shards(batches, radius: int, limit: int):
         if a:
             a, b = np.array(a, np.int64), np.array(b, np.int64)
             zero = np.zeros(len(a), np.int64)
-            out.append((np.zeros(len(a), np.int8), zero, np.minimum(a, b), np.maximum(a, b), zero))
+            out.append((np.zeros(len(a), np.int8), zero, np.minimum(a, b), np.maximum(a, b), zero, zero, zero, zero))
 
     def flush(out: list):
         if out:
-            kind, key, x, y, z = (np.concatenate(c) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(x), pa.array(y), pa.array(z)], names=["kind", "key", "x", "y", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["kind", "key", "x", "y", *SKETCH])
 
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
@@ -200,13 +200,13 @@ def _search_shards(batches, radius: int, limit: int):
 
 
 def candidates(classes: DataFrame, stages: Stages, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """tbl, a, b: representatives that a BK-tree found within the radius of each other. `classes`: tbl, id, hi, lo, keys.
+    """tbl, a, b: representatives that a BK-tree found within the radius of each other. `classes`: tbl, id, s0 to s3, keys.
 
     Ids of the two tables may be equal; while a shard's key tells them apart, the table goes along in the id's lowest bit.
     """
-    schema = "kind tinyint, key bigint, x bigint, y bigint, z bigint"
-    coded = classes.select((F.col("id") * 2 + (F.col("tbl") == "chunks").cast("bigint")).alias("id"), "hi", "lo", "keys")
-    rows = coded.select(F.explode("keys").alias("key"), F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("home"), "id", "hi", "lo")
+    schema = "kind tinyint, key bigint, x bigint, y bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    coded = classes.select((F.col("id") * 2 + (F.col("tbl") == "chunks").cast("bigint")).alias("id"), *SKETCH, "keys")
+    rows = coded.select(F.explode("keys").alias("key"), F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("home"), "id", *SKETCH)
 
     def search(rows: DataFrame, limit: int) -> DataFrame:
         return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda batches: _search_shards(batches, radius, limit), schema)
@@ -222,14 +222,14 @@ def candidates(classes: DataFrame, stages: Stages, radius: int = RADIUS, shard:
 
 def _blocks(large: DataFrame, shard: int, search) -> DataFrame:
     """Pairs of the shards above the limit: blocks by hash, a tree for each, and each block's texts in the trees of the blocks before."""
-    rows = large.select("key", F.col("x").alias("id"), F.col("y").alias("hi"), F.col("z").alias("lo"))
+    rows = large.select("key", F.col("x").alias("id"), *SKETCH)
     count = rows.groupBy("key").agg(F.ceil(F.count("*") / (shard / 2)).cast("bigint").alias("n"))
     rows = rows.join(count, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")))
-    home = rows.select("key", F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("other"), "own", "n", "id", "hi", "lo")
-    visit = rows.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))).alias("block"), "own", "n", "id", "hi", "lo")
+    home = rows.select("key", F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("other"), "own", "n", "id", *SKETCH)
+    visit = rows.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))).alias("block"), "own", "n", "id", *SKETCH)
     # the pair of blocks (block, other), block <= other: the tree of the first, searched by the second
-    a = home.select("key", (F.col("own") * F.col("n") + F.col("other")).alias("block"), F.lit(True).alias("home"), "id", "hi", "lo")
-    b = visit.filter("block < own").select("key", (F.col("block") * F.col("n") + F.col("own")).alias("block"), F.lit(False).alias("home"), "id", "hi", "lo")
+    a = home.select("key", (F.col("own") * F.col("n") + F.col("other")).alias("block"), F.lit(True).alias("home"), "id", *SKETCH)
+    b = visit.filter("block < own").select("key", (F.col("block") * F.col("n") + F.col("own")).alias("block"), F.lit(False).alias("home"), "id", *SKETCH)
     return search(a.unionAll(b), 1 << 40).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 

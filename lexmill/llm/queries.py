@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, lookalike, neardup, residue, split
+from lexmill.llm import bpe, lookalike, mojibake, neardup, residue, split
 from lexmill.session import ship, table
 
 
@@ -18,6 +18,16 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_chunks(table(spark, folder, "chunks"), table(spark, folder, "configs"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of which a part was decoded wrongly."""
+    return mojibake.repair(table(spark, folder, "conversion_results"), table(spark, folder, "documents")).select("result_id")
+
+
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same results with the restored text, null where something is lost, and the encodings that were mixed up."""
+    return mojibake.repair(table(spark, folder, "conversion_results"), table(spark, folder, "documents"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows whose texts look the same but are different strings."""
     return lookalike.alike_pairs(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
@@ -60,7 +70,7 @@ def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(table(spark, folder, "documents")).select("doc_id", "residue")
 
 
-_ALL = (p1_found, p1_pieces, p3_found, p3_forms, p5_found, p5_groups, p6_ids, p8_found, p8_kept, p8_kinds)
+_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_forms, p5_found, p5_groups, p6_ids, p8_found, p8_kept, p8_kinds)
 
 
 def queries() -> dict:
