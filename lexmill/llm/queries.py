@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, lookalike, mojibake, neardup, residue, split
+from lexmill.llm import bpe, lookalike, mojibake, neardup, residue, scans, split
 from lexmill.session import ship, table
 
 
@@ -39,6 +39,16 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent(texts, pairs=lookalike.letter_pairs(texts)).select("tbl", "id", "form")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Scans and the defects of their texts."""
+    return scans.find_defects(table(spark, folder, "conversion_results"), table(spark, folder, "cross_checks"))
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of scans as continuous paragraphs."""
+    return scans.repair(table(spark, folder, "conversion_results"), table(spark, folder, "cross_checks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows above the threshold of similarity."""
     return neardup.similar_pairs(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
@@ -70,7 +80,7 @@ def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(table(spark, folder, "documents")).select("doc_id", "residue")
 
 
-_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_forms, p5_found, p5_groups, p6_ids, p8_found, p8_kept, p8_kinds)
+_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p8_found, p8_kept, p8_kinds)
 
 
 def queries() -> dict:
