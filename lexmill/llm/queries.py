@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, lookalike, mojibake, neardup, residue, scans, split
+from lexmill.llm import bpe, lookalike, mojibake, neardup, packing, residue, scans, split
 from lexmill.session import ship, table
 
 
@@ -64,6 +64,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
 
+def _packed(name: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return packing.pack(table(spark, folder, "documents"), packing.capacity_of(table(spark, folder, "containers"), name))
+
+    query.__name__ = f"p7_{name}"
+    query.__doc__ = f"Documents in containers of the kind {name!r}."
+    return query
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers of the kind 'standard'."""
+    return _packed("standard")(spark, folder)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with residue."""
     documents = table(spark, folder, "documents")
@@ -80,7 +94,7 @@ def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(table(spark, folder, "documents")).select("doc_id", "residue")
 
 
-_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p8_found, p8_kept, p8_kinds)
+_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_packed, *(_packed(n) for n in ("short", "long", "extra")), p8_found, p8_kept, p8_kinds)
 
 
 def queries() -> dict:
