@@ -5,7 +5,8 @@ Similarity is the share of common runs of 5 characters, in the consistent form o
 Method: BK-trees. Equal forms are one class, and only its representative goes on. A task gives each text 128 minima of its
 runs' hashes (4 hashings of 32 bins each) and the sketch of two bits of each, so that the Hamming distance of two sketches follows their
 similarity. Texts are shards by 32 keys of 4 minima each; in every shard a BK-tree takes its texts one after the other, a child hanging at
-the integer distance to its parent, and a new text follows only the edges within the radius. What a tree finds is compared exactly, run by run.
+the integer distance to its parent, and a new text follows only the edges within the radius. What a tree finds is compared by
+all minima (a byte of each), and what is near the threshold by then exactly, run by run.
 The trees are built where the shuffle brings a shard, not broadcast: broadcasting them would take all sketches through the driver.
 
 A shard of more than `SHARD` texts is cut into blocks; a tree is built for each block, and each block's texts
@@ -32,9 +33,11 @@ from lexmill.llm.codepoints import blocks, mix64
 from lexmill.llm.lookalike import Forms, letter_pairs, texts_of
 from lexmill.operators.components import components
 
-RUN, HASHINGS, BINS, RADIUS, SHARD = 5, 4, 32, 76, 4096
+RUN, HASHINGS, BINS, RADIUS, SHARD = 5, 4, 32, 74, 4096
 SKETCH = ["s0", "s1", "s2", "s3"]
 MIN_CHARS, THRESHOLD = 80, 0.6
+#: Pairs whose share of equal minima is lower than the threshold by more than this aren't compared run by run (3.2 standard deviations).
+MARGIN = 0.14
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -71,8 +74,8 @@ def minima(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, pairs: dict[str, float], min_chars: int = MIN_CHARS) -> DataFrame:
-    """tbl, id, form (digest), s0 to s3 (the sketch) and keys (of shards) of the texts long enough, each row once."""
-    schema = "tbl string, id bigint, form binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>"
+    """tbl, id, form (digest), s0 to s3 (the sketch), fine (a byte of each minimum) and keys (of shards) of the texts long enough, each row once."""
+    schema = "tbl string, id bigint, form binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint, fine binary, keys array<bigint>"
 
     def run(batches):
         forms = Forms.of(pairs)
@@ -100,9 +103,10 @@ def sketches(texts: DataFrame, pairs: dict[str, float], min_chars: int = MIN_CHA
                         batch.column(1).slice(a, b - a).take(pa.array(long)),
                         pa.array([hashlib.blake2b(data[offsets[i] * 4 : offsets[i + 1] * 4], digest_size=12).digest() for i in long], pa.binary()),
                         *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)),
+                        pa.array([x.tobytes() for x in (mix64(m + np.uint32(1)) >> np.uint64(8)).astype(np.uint8).reshape(len(long), -1)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1) * BINS, pa.int32()), pa.array(key.view(np.int64).ravel())),
                     ],
-                    schema=pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("form", pa.binary()), *((n, pa.int64()) for n in SKETCH), ("keys", pa.list_(pa.int64()))]),
+                    schema=pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("form", pa.binary()), *((n, pa.int64()) for n in SKETCH), ("fine", pa.binary()), ("keys", pa.list_(pa.int64()))]),
                 )
 
     return texts.filter(F.length("text") >= min_chars).mapInArrow(run, schema)
@@ -246,20 +250,34 @@ def similarity(pairs: DataFrame, texts: DataFrame, letters: dict[str, float]) ->
         forms, out = Forms.of(letters), []
         a, b = list(a), list(b)
         for i, j in blocks([x + y for x, y in zip(a, b)], 400_000):
-            mixed = [t for pair in zip(a[i:j], b[i:j]) for t in pair]
-            hashes, text = runs(*forms.codes(mixed, blanks=False))
-            cuts = np.searchsorted(text, np.arange(len(mixed) + 1))
-            for k in range(0, len(mixed), 2):
-                x, y = np.unique(hashes[cuts[k] : cuts[k + 1]]), np.unique(hashes[cuts[k + 1] : cuts[k + 2]])
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+            number = {t: k for k, t in enumerate(dict.fromkeys(a[i:j] + b[i:j]))}
+            hashes, text = runs(*forms.codes(list(number), blanks=False))
+            cuts = np.searchsorted(text, np.arange(len(number) + 1))
+            sets = [np.unique(hashes[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
+            for x, y in zip(a[i:j], b[i:j]):
+                x, y = sets[number[x]], sets[number[y]]
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
                 out.append(common / max(1, len(x) + len(y) - common))
         return pd.Series(out, dtype=float)
 
     return both.select("tbl", "a", "b", share("text_a", "text_b").alias("similarity"))
 
 
+def near(pairs: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose minima are equal often enough to be worth the exact comparison."""
+
+    @F.pandas_udf("double")
+    def equal(a, b):
+        import pandas as pd
+
+        width = HASHINGS * BINS
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, width) for c in (a, b))
+        return pd.Series(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
+
+    both = pairs.join(fine.select("tbl", F.col("id").alias("a"), F.col("fine").alias("fine_a")), ["tbl", "a"]).join(fine.select("tbl", F.col("id").alias("b"), F.col("fine").alias("fine_b")), ["tbl", "b"])
+    return both.filter(equal("fine_a", "fine_b") >= threshold - MARGIN).select("tbl", "a", "b")
+
+
 def classes_and_links(chunks: DataFrame, results: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, label: str = "neardup") -> tuple[DataFrame, DataFrame]:
     """Members (tbl, id, rep: the smallest id with an equal form) and links between representatives (tbl, a, b, similarity)."""
     texts = texts_of(chunks, results)
@@ -270,7 +288,7 @@ def classes_and_links(chunks: DataFrame, results: DataFrame, threshold: float =
     reps = members.groupBy("tbl", "form").agg(F.min("id").alias("rep"))
     members = stages.write("members", members.join(reps, ["tbl", "form"]).select("tbl", "id", "rep"))
     first = own.join(members.filter("id = rep").select("tbl", "id"), ["tbl", "id"], "left_semi").dropDuplicates(["tbl", "id"])
-    found = stages.write("found", candidates(first, stages))
+    found = stages.write("found", near(candidates(first.drop("fine"), stages), first, threshold))
     stages.drop("search")
     stages.drop("sketches")
     links = stages.write("links", similarity(found, texts, letters).filter(F.col("similarity") >= threshold))
