@@ -1,0 +1,113 @@
+"""Lines, sections, outlines, tables and packed chunks of Markdown texts, as windows over (document, line)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexmill.functions.text import WS, strip
+
+HEADING = r"\A(#{1,6})[ \t]+([^\n]*[^ \t\n#])[ \t]*#*[ \t]*\z"
+
+
+def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, line_no (from 0), line; null texts have none."""
+    return docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\r?\n", -1)).alias("line_no", "line"))
+
+
+def with_headings(rows: DataFrame, key: str, fences: bool) -> DataFrame:
+    """Adds level (null for other lines) and title; with `fences`, lines inside fenced code are no headings."""
+    level = F.when(F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", HEADING, 1)))
+    if fences:
+        so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        fence = F.col("line").rlike(r"\A[ \t]*(```|~~~)")
+        rows = rows.withColumn("fenced", F.sum(fence.cast("int")).over(so_far) % 2)
+        level = F.when((F.col("fenced") == 0) & ~fence, level)
+    return rows.withColumn("level", level).withColumn("title", F.when(F.col("level").isNotNull(), F.regexp_extract("line", HEADING, 2)))
+
+
+def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, sec (0 before the first heading), heading_path (titles joined with ` > `), n_lines and body of every section with a body or heading.
+
+    The path needs no stack: of each level, the last title counts unless a heading of a lower level came after it.
+    """
+    rows = with_headings(lines(docs, key, text), key, fences=False)
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sec", F.count("level").over(so_far))
+    titles = []
+    for n in range(1, 7):
+        last = F.last(F.when(F.col("level") == n, F.struct("line_no", "title")), ignorenulls=True).over(so_far)
+        reset = F.max(F.when(F.col("level") < n, F.col("line_no"))).over(so_far)
+        rows = rows.withColumn(f"t{n}", last).withColumn(f"r{n}", reset)
+        titles.append(F.when(F.col(f"r{n}").isNull() | (F.col(f"t{n}.line_no") > F.col(f"r{n}")), F.col(f"t{n}.title")))
+    rows = rows.withColumn("path", F.concat_ws(" > ", *titles))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    out = rows.groupBy(key, "sec").agg(F.min("path").alias("heading_path"), F.count("*").alias("n_lines"), body.alias("body"))
+    return out.withColumn("body", strip(F.col("body"))).filter((F.col("body") != "") | (F.col("sec") > 0))
+
+
+def outline(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, idx, level, title, line_start, line_end (before the next heading of the same or a lower level) and parent_idx (null at the top)."""
+    all_lines = with_headings(lines(docs, key, text), key, fences=True)
+    last = all_lines.groupBy(key).agg(F.max("line_no").alias("last_line"))
+    heads = all_lines.filter("level is not null")
+    order = Window.partitionBy(key).orderBy("line_no")
+    heads = heads.withColumn("idx", F.row_number().over(order) - 1)
+    later, sooner = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    after = F.filter(F.collect_list(F.struct("line_no", "level")).over(later), lambda x: x["level"] <= F.col("level"))
+    before = F.filter(F.collect_list(F.struct("idx", "level")).over(sooner), lambda x: x["level"] < F.col("level"))
+    heads = heads.withColumn("stop", F.get(after, 0)["line_no"]).withColumn("parent_idx", F.element_at(F.when(F.size(before) > 0, before), -1)["idx"])
+    return heads.join(last, key).select(key, "idx", "level", "title", F.col("line_no").alias("line_start"), F.coalesce(F.col("stop") - 1, F.col("last_line")).alias("line_end"), "parent_idx")
+
+
+def tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, first_line, n_rows and n_columns of every run of table lines."""
+    rows = lines(docs, key, text).withColumn("is_table", strip(F.col("line")).startswith("|"))
+    order = Window.partitionBy(key).orderBy("line_no")
+    rows = rows.withColumn("island", F.col("line_no") - F.sum(F.col("is_table").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.filter("is_table").groupBy(key, "island").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_rows"), F.max(F.size(F.split("line", r"\|")) - 2).alias("n_columns"))
+    return runs.drop("island")
+
+
+def paragraphs(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, par_no, par: the paragraphs that aren't blank, numbered from 0."""
+    kept = F.filter(F.transform(F.split(F.col(text), r"\n[ \t\r]*\n"), strip), lambda p: p != "")
+    return docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("par_no", "par"))
+
+
+def approximate_tokens(c: Column) -> Column:
+    """A stand-in for a tokenizer's count: an ideograph is one token, four other characters are one."""
+    han = F.length(c) - F.length(F.regexp_replace(c, r"[\x{4e00}-\x{9fff}]", ""))
+    return (han + F.ceil((F.length(c) - han) / 4)).cast("int")
+
+
+def packed(units: DataFrame, keys: list[str], order: str, unit: str, limit: int, overlap: int = 0) -> DataFrame:
+    """keys, chunk, text, n_tokens: units in order, packed greedily up to `limit`; a chunk starts with the last units of the one before, up to `overlap`.
+
+    A fold over the units of one section (bounded by its text), inside Catalyst; a unit above the limit is a chunk of its own.
+    """
+    gathered = units.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, unit))), lambda x: x[unit]).alias("units"))
+    sized = gathered.withColumn("units", F.transform("units", lambda u: F.struct(u.alias("text"), approximate_tokens(u).alias("n"))))
+    kind = "struct<done:array<array<struct<text:string,n:int>>>,now:array<struct<text:string,n:int>>,n:int>"
+    start = F.from_json(F.lit('{"done":[],"now":[],"n":0}'), kind)
+
+    def carry(now: Column) -> Column:
+        return F.aggregate(
+            F.reverse(now),
+            F.struct(F.slice(now, 1, 0).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")),
+            lambda acc, u: F.when(acc["open"] & (acc["n"] + u["n"] <= overlap), F.struct(F.concat(F.array(u), acc["kept"]).alias("kept"), (acc["n"] + u["n"]).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"), F.lit(False).alias("open"))),
+        )
+
+    def step(acc: Column, u: Column) -> Column:
+        kept = carry(acc["now"])
+        fresh = F.when(kept["n"] + u["n"] <= limit, F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), F.concat(kept["kept"], F.array(u)).alias("now"), (kept["n"] + u["n"]).alias("n")))
+        fresh = fresh.otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), F.array(u).alias("now"), u["n"].alias("n")))
+        added = F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(u)).alias("now"), (acc["n"] + u["n"]).alias("n"))
+        return F.when((F.size(acc["now"]) == 0) | (acc["n"] + u["n"] <= limit), added).otherwise(fresh).cast(kind)
+
+    folded = sized.withColumn("f", F.aggregate("units", start, step)).select(*keys, F.posexplode(F.concat("f.done", F.array("f.now"))).alias("chunk", "parts"))
+    return folded.select(*keys, "chunk", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"), F.aggregate("parts", F.lit(0), lambda a, p: a + p["n"]).alias("n_tokens"))
+
+
+def blank(c: Column) -> Column:
+    return F.regexp_replace(c, WS, "") == ""

@@ -1,11 +1,710 @@
-"""The registered queries and the SQL that each is compared with."""
+"""The registered queries and the SQL that each is compared with.
+
+Every query reads the given tables whole. A row delivered twice counts once. SQL is omitted where an operator has none of the same result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as X
+from lexmill.operators import conversion, graph, retrieval, sections, verify
+from lexmill.operators.components import components
+from lexmill.session import ship, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
 
-def queries() -> dict:
-    return {}
+    def register(run):
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return run(spark, folder)
+
+        shipped.__doc__ = run.__doc__
+        _QUERIES[run.__name__] = shipped
+        if sql:
+            _SQL[run.__name__] = sql
+        return run
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("chunk_id", *columns).dropDuplicates(["chunk_id"])
+
+
+def _results(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "conversion_results").select("result_id", *columns).dropDuplicates(["result_id"])
+
+
+_C = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks)"
+_R = "r AS (SELECT DISTINCT ON (result_id) * FROM conversion_results)"
+_WS = r"[ \t\r\n\x{3000}\x{A0}]"
+
+
+def _strip_sql(c: str) -> str:
+    return rf"regexp_replace({c}, '\A{_WS}+|{_WS}+\z', '', 'g')"
+
+
+# --- scans, sources, statistics
+
+
+@query("SELECT source, count(*) AS n_docs, count(text) AS n_texts, coalesce(sum(n_chars), 0)::BIGINT AS n_chars FROM documents GROUP BY source")
+def list_sources(spark, folder):
+    """Sources with their rows and characters."""
+    return table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("text").alias("n_texts"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
+
+
+@query(f"WITH {_C} SELECT config_id, count(*) AS n_chunks, count(DISTINCT source) AS n_sources, count(DISTINCT case_id) AS n_cases, coalesce(max(length(text)), 0) AS longest FROM c GROUP BY config_id")
+def index_stats(spark, folder):
+    """Chunks, sources and cases of each configuration of the index."""
+    c = _chunks(spark, folder, "config_id", "source", "case_id", "text")
+    return c.groupBy("config_id").agg(F.count("*").alias("n_chunks"), F.countDistinct("source").alias("n_sources"), F.countDistinct("case_id").alias("n_cases"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest"))
+
+
+@query(f"WITH {_C} SELECT chunk_id, source, ord, length(text) AS n_chars FROM c WHERE starts_with(source, 'CF-00') AND text IS NOT NULL ORDER BY n_chars DESC, chunk_id LIMIT 50")
+def prefix_filter_topk(spark, folder):
+    """The longest chunks of the sources with a prefix; the prefix reaches the scan."""
+    c = table(spark, folder, "chunks").filter(F.col("source").startswith("CF-00") & F.col("text").isNotNull()).select("chunk_id", "source", "ord", F.length("text").alias("n_chars"))
+    return c.dropDuplicates(["chunk_id"]).orderBy(F.desc("n_chars"), "chunk_id").limit(50)
+
+
+@query(
+    f"""WITH {_R}, e AS (SELECT result_id, lower(string_split(string_split(source, '/')[-1], '.')[-1]) AS ext, engine, pages, length(text) AS n FROM r),
+    k AS (SELECT *, CASE WHEN ext IN ('docx','pptx','xlsx','html','htm','md','txt','csv','json','eml') THEN 'native' WHEN ext IN ('png','jpg','jpeg','tif','tiff','bmp','webp') THEN 'ocr'
+    WHEN ext IN ('doc','wps') THEN 'legacy' WHEN ext IN ('ppt','xls','xlsb') THEN 'anydoc' WHEN ext = 'pdf' AND n / greatest(coalesce(pages, 1), 1) >= 50 THEN 'native' WHEN ext = 'pdf' THEN 'ocr' ELSE 'unsupported' END AS route FROM e)
+    SELECT ext, route, engine, count(*) AS n FROM k GROUP BY ALL"""
+)
+def route_classify(spark, folder):
+    """Files by type, route and the engine that they went through."""
+    r = _results(spark, folder, "source", "engine", "pages", "text")
+    per_page = F.length("text") / F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1))
+    return r.select(conversion.extension(F.col("source")).alias("ext"), conversion.route(F.col("source"), per_page).alias("route"), "engine").groupBy("ext", "route", "engine").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_R}, s AS (SELECT result_id, source, regexp_replace(source, '\\.[A-Za-z0-9]+\\z', '') AS stem FROM (SELECT result_id, concat(case_id, '/', source_type, '.', source_type) AS source FROM r))
+    SELECT result_id, source, CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN source ELSE stem END || '.md' AS out_path FROM s"""
+)
+def output_names(spark, folder):
+    """Names of outputs, with the file type kept where two files of a folder share a stem."""
+    r = _results(spark, folder, "case_id", "source_type")
+    return conversion.output_names(r.select("result_id", F.concat("case_id", F.lit("/"), "source_type", F.lit("."), "source_type").alias("source")), "source")
+
+
+@query(
+    f"""WITH {_R} SELECT case_id, count(*) AS n_files, count(*) FILTER (WHERE coalesce(text, '') = '') AS n_empty, count(*) FILTER (WHERE notices IS NOT NULL) AS n_noticed,
+    count(*) FILTER (WHERE cross_check_reasons IS NOT NULL) AS n_checked, coalesce(sum(pages), 0)::BIGINT AS n_pages FROM r GROUP BY case_id"""
+)
+def conversion_report(spark, folder):
+    """Counters of the conversion of each case."""
+    r = _results(spark, folder, "case_id", "text", "notices", "cross_check_reasons", "pages")
+    return r.groupBy("case_id").agg(
+        F.count("*").alias("n_files"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("n_empty"), F.count_if(F.col("notices").isNotNull()).alias("n_noticed"),
+        F.count_if(F.col("cross_check_reasons").isNotNull()).alias("n_checked"), F.coalesce(F.sum("pages"), F.lit(0)).alias("n_pages"),
+    )
+
+
+@query(
+    f"""WITH {_R}, d AS (SELECT source, max(loaded_at) AS made_at, max_by(sha256(text), loaded_at) AS made_from FROM r WHERE result_id % 3 > 0 GROUP BY source)
+    SELECT result_id, source FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = r.source AND d.made_at >= r.converted_at AND (d.made_from IS NULL OR d.made_from = sha256(r.text)))"""
+)
+def incremental_todo(spark, folder):
+    """Files without an up-to-date output, where a third of the outputs is missing."""
+    r = _results(spark, folder, "source", "text", "converted_at", "loaded_at").withColumn("sha", F.sha2("text", 256))
+    done = r.filter("result_id % 3 > 0").groupBy("source").agg(F.max("loaded_at").alias("made_at"), F.max_by("sha", "loaded_at").alias("made_from"))
+    return conversion.to_do(r.withColumnRenamed("converted_at", "changed_at"), done, "source").select("result_id", "source")
+
+
+# --- text
+
+
+_NORM_SQL = "translate(translate(regexp_replace({0}, '<[^>]*>', '', 'g'), '，（）：；“”‘’－—–→', ',():;\"\"''''----'), ' \t\r\n,|*#>`~_　', '')"
+
+
+@query(f"WITH {_C} SELECT chunk_id, md5({_NORM_SQL.format('text')}) AS digest FROM c WHERE text IS NOT NULL")
+def norm_text(spark, folder):
+    """Digests of the form in which quotes are looked for."""
+    return _chunks(spark, folder, "text").filter("text is not null").select("chunk_id", F.md5(X.norm_quote(F.col("text")).cast("binary")).alias("digest"))
+
+
+_OCR_SQL = r"regexp_replace(regexp_replace(regexp_replace(translate({0}, '０１２３４５６７８９，。：；（）！？', '0123456789,.:;()!?'), '(\d),(\d\d\d)([^\d\p{{L}}_]|\z)', '\1\2\3', 'g'), '(\d),(\d\d\d)([^\d\p{{L}}_]|\z)', '\1\2\3', 'g'), '" + _WS.replace("{", "{{").replace("}", "}}") + r"+', '', 'g')"
+
+
+@query(f"WITH {_R} SELECT result_id, md5({_OCR_SQL.format('text')}) AS digest, length({_OCR_SQL.format('text')}) AS n FROM r WHERE text IS NOT NULL")
+def ocr_normalize(spark, folder):
+    """Digests of the form in which readings are compared."""
+    n = X.norm_reading(F.col("text"))
+    return _results(spark, folder, "text").filter("text is not null").select("result_id", F.md5(n.cast("binary")).alias("digest"), F.length(n).alias("n"))
+
+
+def _clean_sql(c: str) -> str:
+    for pattern, to in [
+        (r"\r\n", "\n"), (r"!\[[^\]\n]*\]\([^)\n]*\)", ""), (r"\[([^\]\n]*)\]\([^)\n]*\)", r"\1"), (r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]*)?/?>", ""), (r"https?://[!-~]+", ""), (r"(?m)^#{1,6}[ \t]+", ""),
+        (r"\*\*|__", ""), (r"(?m)^```[^\n]*$", ""), (r"(?m)^[|:\- ]*\|[|:\- ]*$", ""), (r"\n{3,}", "\n\n"),
+    ]:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return _strip_sql(c)
+
+
+@query(f"SELECT doc_id, md5({_clean_sql('text')}) AS digest FROM documents WHERE text IS NOT NULL")
+def clean_passage(spark, folder):
+    """Digests of passages as a reranker gets them."""
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", F.md5(X.clean_passage(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(
+    rf"""WITH {_C}, t AS (SELECT chunk_id, CASE WHEN coalesce(heading_path, '') <> '' THEN heading_path || chr(10) || chr(10) || text ELSE text END AS x FROM c WHERE text IS NOT NULL)
+    SELECT chunk_id, md5({_strip_sql(f"regexp_replace(x, '{_WS}+', ' ', 'g')")}) AS digest FROM t"""
+)
+def composed_snippets(spark, folder):
+    """Digests of one-line snippets of chunks under their headings."""
+    c = _chunks(spark, folder, "heading_path", "text").filter("text is not null")
+    return c.select("chunk_id", F.md5(X.snippet(X.composed(F.col("heading_path"), F.col("text"))).cast("binary")).alias("digest"))
+
+
+@query(
+    f"""WITH {_R} SELECT result_id, source AS source_back, engine AS engine_back, CASE WHEN text IS NULL OR text = '' THEN NULL ELSE sha256(text) END AS sha_back, coalesce(length(text), 0) AS n_body FROM r"""
+)
+def frontmatter_roundtrip(spark, folder):
+    """Fields and bodies read back from texts under a block of their provenance."""
+    r = _results(spark, folder, "source", "engine", "text")
+    sha = F.when(F.col("text") != "", F.sha2("text", 256))
+    whole = F.concat(X.frontmatter({"provenance_version": F.lit("1"), "source": F.col("source"), "engine": F.col("engine"), "content_sha256": sha}), F.coalesce("text", F.lit("")))
+    f = r.select("result_id", whole.alias("f"))
+    return f.select("result_id", X.frontmatter_field(F.col("f"), "source").alias("source_back"), X.frontmatter_field(F.col("f"), "engine").alias("engine_back"), X.frontmatter_field(F.col("f"), "content_sha256").alias("sha_back"), F.length(X.body(F.col("f"))).alias("n_body"))
+
+
+@query(
+    f"""WITH {_C}, n AS (SELECT source, config_id, ord, text, row_number() OVER (PARTITION BY source, config_id ORDER BY ord, chunk_id) AS page FROM c WHERE text IS NOT NULL)
+    SELECT source, config_id, count(*) AS n_pages, md5(string_agg('<!-- page: ' || page || ' -->' || chr(10) || text, chr(10) ORDER BY page)) AS digest FROM n GROUP BY source, config_id"""
+)
+def page_join(spark, folder):
+    """Chunks of a source joined as numbered pages."""
+    c = _chunks(spark, folder, "source", "config_id", "ord", "text").filter("text is not null")
+    pages = c.groupBy("source", "config_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "text"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("<!-- page: "), (i + 1).cast("string"), F.lit(" -->\n"), x["text"])), "\n")
+    return pages.select("source", "config_id", F.size("p").alias("n_pages"), F.md5(joined.cast("binary")).alias("digest"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, count(*) AS n_candidates, max(length(trim(line, ' '))) AS longest FROM l WHERE trim(line, ' ') <> '' AND length(trim(line, ' ')) <= 80 AND NOT starts_with(trim(line, ' '), '|') GROUP BY doc_id"""
+)
+def heading_candidates(spark, folder):
+    """Lines of each document that could be headings."""
+    rows = sections.lines(table(spark, folder, "documents"), "doc_id").withColumn("t", F.trim("line"))
+    rows = rows.filter((F.col("t") != "") & (F.length("t") <= 80) & ~F.col("t").startswith("|"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.max(F.length("t")).alias("longest"))
+
+
+# --- quality and readings
+
+
+@query(
+    rf"""WITH {_R}, q AS (SELECT result_id, pages, coalesce(length(regexp_replace(text, '{_WS}', '', 'g')), 0) AS n_chars, coalesce(list_max(list_transform(map_values(list_histogram(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 10))), lambda v: v::INTEGER)), 0) AS most_repeated,
+    CASE WHEN confidences IS NULL THEN 0 ELSE len(list_filter(confidences, lambda c: c < 0.6)) END AS low FROM r)
+    SELECT result_id, n_chars, most_repeated, low, (n_chars < 20 OR coalesce(pages >= 2 AND floor(n_chars / pages) < 50, false) OR most_repeated > 30 OR low > 0) AS thin_or_low FROM q"""
+)
+def quality_assess(spark, folder):
+    """Signs of a bad conversion: hardly any text, thin pages, a line again and again, low confidence."""
+    q = conversion.quality(_results(spark, folder, "text", "pages", "confidences"))
+    thin = F.coalesce((F.col("pages") >= 2) & (F.floor(F.col("n_chars") / F.col("pages")) < conversion.LEAST_PER_PAGE), F.lit(False))
+    return q.select("result_id", "n_chars", "most_repeated", "low", ((F.col("n_chars") < conversion.LEAST_CHARS) | thin | (F.col("most_repeated") > conversion.MOST_REPEATED) | (F.col("low") > 0)).alias("thin_or_low"))
+
+
+@query()
+def quality_reasons(spark, folder):
+    """The same with the share of characters that no text has."""
+    return conversion.quality(_results(spark, folder, "text", "pages", "confidences")).select("result_id", "n_chars", "garbled", "most_repeated", "low", "suspect")
+
+
+_TOK = r"regexp_extract_all({0}, '\d+[年月日]?')"
+
+
+@query(
+    rf"""WITH {_R}, x AS (SELECT result_id, min(second_text) AS second_text, max(digit_mismatches) AS reported FROM cross_checks GROUP BY result_id),
+    t AS (SELECT result_id, reported, {_TOK.format(_OCR_SQL.format('text'))} AS a, {_TOK.format(_OCR_SQL.format('second_text'))} AS b FROM r JOIN x USING (result_id) WHERE text IS NOT NULL AND second_text IS NOT NULL)
+    SELECT result_id, reported, (abs(len(a) - len(b)) + len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])))::INTEGER AS mismatches FROM t"""
+)
+def crosscheck_digits(spark, folder):
+    """Numbers that two readings of a file don't share, position by position."""
+    second = table(spark, folder, "cross_checks").groupBy("result_id").agg(F.min("second_text").alias("second_text"), F.max("digit_mismatches").alias("reported"))
+    both = _results(spark, folder, "text").join(second, "result_id").filter("text is not null and second_text is not null")
+    return both.select("result_id", "reported", conversion.digit_mismatches(F.col("text"), F.col("second_text")).alias("mismatches"))
+
+
+@query()
+def crosscheck_ratio(spark, folder):
+    """How much two readings of a file disagree."""
+    second = table(spark, folder, "cross_checks").groupBy("result_id").agg(F.min("second_text").alias("second_text"), F.max("disagreement_ratio").alias("reported"))
+    both = _results(spark, folder, "text").join(second, "result_id")
+    return both.select("result_id", "reported", F.round(conversion.disagreement("text", "second_text"), 4).alias("ratio"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, date_trunc('hour', ts) AS hour, (event_id % 4) * 90 AS angle, avg(value) AS confidence FROM events GROUP BY ALL)
+    SELECT user_id, hour, max_by(angle, round(confidence, 6) * 1000 - angle / 1000.0)::BIGINT AS angle, count(*) AS n_angles FROM a GROUP BY user_id, hour"""
+)
+def rotation_argmax(spark, folder):
+    """The angle with the best mean confidence of each group of probes; ties go to the smallest."""
+    a = table(spark, folder, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour"), ((F.col("event_id") % 4) * 90).alias("angle")).agg(F.avg("value").alias("confidence"))
+    return a.groupBy("user_id", "hour").agg(F.max_by("angle", F.round("confidence", 6) * 1000 - F.col("angle") / 1000.0).alias("angle"), F.count("*").alias("n_angles"))
+
+
+# --- sections, outlines, chunks
+
+_LINES = "l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM documents WHERE text IS NOT NULL))"
+_HEAD = r"'\A(#{1,6})[ \t]+([^\n]*[^ \t\n#])[ \t]*#*[ \t]*\z'"
+_PATH = ", ".join(f"CASE WHEN r{n} IS NULL OR t{n}.line_no > r{n} THEN t{n}.title END" for n in range(1, 7))
+_STACK = ", ".join(
+    f"last_value(CASE WHEN level = {n} THEN {{'line_no': line_no, 'title': title}} END IGNORE NULLS) OVER w AS t{n}, max(CASE WHEN level < {n} THEN line_no END) OVER w AS r{n}" for n in range(1, 7)
+)
+
+
+@query(
+    f"""WITH {_LINES}, h AS (SELECT *, CASE WHEN regexp_matches(line, {_HEAD}) THEN length(regexp_extract(line, {_HEAD}, 1)) END AS level, regexp_extract(line, {_HEAD}, 2) AS title FROM l),
+    s AS (SELECT *, count(level) OVER w AS sec, {_STACK} FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT doc_id, sec, min(concat_ws(' > ', {_PATH})) AS heading_path, count(*) AS n_lines, {_strip_sql("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE level IS NULL), '')")} AS body FROM s GROUP BY doc_id, sec)
+    SELECT doc_id, sec, heading_path, n_lines, md5(body) AS digest FROM g WHERE body <> '' OR sec > 0"""
+)
+def parse_sections(spark, folder):
+    """Sections of documents with their breadcrumbs."""
+    s = sections.sections(table(spark, folder, "documents"), "doc_id")
+    return s.select("doc_id", "sec", "heading_path", "n_lines", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query(
+    rf"""WITH {_LINES}, f AS (SELECT *, regexp_matches(line, '\A[ \t]*(```|~~~)') AS fence FROM l), g AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) % 2 AS fenced FROM f),
+    h AS (SELECT doc_id, line_no, length(regexp_extract(line, {_HEAD}, 1)) AS level, regexp_extract(line, {_HEAD}, 2) AS title, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS idx FROM g WHERE fenced = 0 AND NOT fence AND regexp_matches(line, {_HEAD})),
+    m AS (SELECT doc_id, max(line_no) AS last_line FROM l GROUP BY doc_id)
+    SELECT h.doc_id, h.idx, h.level, h.title, h.line_no AS line_start, coalesce((SELECT min(b.line_no) FROM h b WHERE b.doc_id = h.doc_id AND b.line_no > h.line_no AND b.level <= h.level) - 1, m.last_line) AS line_end,
+    (SELECT max(b.idx) FROM h b WHERE b.doc_id = h.doc_id AND b.idx < h.idx AND b.level < h.level) AS parent_idx FROM h JOIN m ON m.doc_id = h.doc_id"""
+)
+def outline_tree(spark, folder):
+    """Headings of documents with the lines that they span and their parents."""
+    return sections.outline(table(spark, folder, "documents"), "doc_id")
+
+
+@query(
+    f"""WITH {_LINES}, t AS (SELECT *, starts_with({_strip_sql('line')}, '|') AS is_table FROM l), i AS (SELECT *, line_no - sum(is_table::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM t)
+    SELECT doc_id, min(line_no) AS first_line, count(*) AS n_rows, max(len(string_split(line, '|')) - 2) AS n_columns FROM i WHERE is_table GROUP BY doc_id, island"""
+)
+def table_blocks(spark, folder):
+    """Tables of documents as runs of lines."""
+    return sections.tables(table(spark, folder, "documents"), "doc_id")
+
+
+@query(
+    rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda x: {_strip_sql('x')}), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS par_no, unnest(a) AS par FROM p)
+    SELECT doc_id, par_no, length(par) AS n_chars, length(regexp_replace(par, '[^。！？.!?]', '', 'g')) AS n_stops FROM u"""
+)
+def split_units(spark, folder):
+    """Paragraphs of documents with their ends of sentences."""
+    p = sections.paragraphs(table(spark, folder, "documents"), "doc_id")
+    return p.select("doc_id", "par_no", F.length("par").alias("n_chars"), F.length(F.regexp_replace("par", "[^。！？.!?]", "")).alias("n_stops"))
+
+
+@query()
+def chunk_document(spark, folder):
+    """Documents in chunks of up to 384 tokens that overlap by up to 100 and don't cross sections."""
+    s = sections.sections(table(spark, folder, "documents"), "doc_id").withColumn("key", F.concat_ws("/", "doc_id", "sec"))
+    units = sections.paragraphs(s, "key", "body")
+    chunks = sections.packed(units, ["key"], "par_no", "par", 384, 100)
+    return chunks.join(s.select("key", "doc_id", "sec", "heading_path"), "key").select("doc_id", "sec", "chunk", "heading_path", "n_tokens", "text")
+
+
+@query()
+def chunk_hierarchical(spark, folder):
+    """Children of up to 192 tokens within parents of up to 1600, with the parent's number."""
+    s = sections.sections(table(spark, folder, "documents"), "doc_id").withColumn("key", F.concat_ws("/", "doc_id", "sec"))
+    parents = sections.packed(sections.paragraphs(s, "key", "body"), ["key"], "par_no", "par", 1600)
+    parents = parents.select("key", F.col("chunk").alias("parent_ord"), F.concat_ws("/", "key", "chunk").alias("parent"), "text")
+    children = sections.packed(sections.paragraphs(parents, "parent", "text"), ["parent"], "par_no", "par", 192, 32)
+    return children.join(parents.select("parent", "key", "parent_ord"), "parent").select("key", "parent_ord", "chunk", "n_tokens", "text")
+
+
+# --- retrieval
+
+_TOKENS = r"list_concat(list_filter(regexp_extract_all(lower({0}), '[a-z0-9à-öø-ÿ]+'), lambda w: length(w) <= 40), flatten(list_transform(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]+'), lambda h: list_transform(range(1, greatest(length(h) - 1, 1) + 1), lambda i: substring(h, i, 2)))))"
+_POST = "tk AS (SELECT doc_id, " + _TOKENS.format("text") + " AS terms FROM documents WHERE text IS NOT NULL), po AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tk) GROUP BY ALL)"
+_QT = "qt AS (SELECT DISTINCT query, term FROM (SELECT doc_id AS query, unnest(" + _TOKENS.format("title") + ") AS term FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL))"
+_BM = """bs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM po)), bd AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+    sc AS (SELECT query, po.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 4) AS score FROM po JOIN qt USING (term) JOIN bd USING (term), bs GROUP BY query, po.doc_id)"""
+_BT = "bt AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) - 1 AS rank FROM sc)"
+_VT = """vs AS (SELECT q.vec_id AS query, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 10) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+    vt AS (SELECT query, doc_id, round(s, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc_id) - 1 AS rank FROM vs)"""
+
+
+def _doc_index(spark, folder) -> DataFrame:
+    return retrieval.postings(table(spark, folder, "documents").filter("text is not null"), "doc_id", F.col("text"))
+
+
+def _title_terms(spark, folder) -> DataFrame:
+    d = table(spark, folder, "documents").filter("doc_id % 50 = 0 and title is not null")
+    return d.select(F.col("doc_id").alias("query"), F.explode(X.tokens(F.col("title"))).alias("term")).distinct()
+
+
+def _vector_queries(spark, folder) -> DataFrame:
+    return table(spark, folder, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _vectors(spark, folder) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+@query(f"WITH {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM po GROUP BY term")
+def corpus_terms(spark, folder):
+    """Terms of documents with the rows and places that have them."""
+    return _doc_index(spark, folder).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"WITH {_POST}, {_QT}, {_BM}, {_BT} SELECT query, rank, doc_id, score FROM bt WHERE rank < 5")
+def bm25_batch(spark, folder):
+    """The best documents for the titles of every fiftieth document, by BM25."""
+    return retrieval.bm25(_doc_index(spark, folder), "doc_id", _title_terms(spark, folder), 5).select("query", "rank", "doc_id", "score")
+
+
+@query(f"WITH {_VT} SELECT query, rank, doc_id, score FROM vt WHERE rank < 5")
+def vector_batch_topk(spark, folder):
+    """The nearest vectors of every fiftieth vector, exactly."""
+    return retrieval.cosine(_vectors(spark, folder), "doc_id", "embedding", _vector_queries(spark, folder), 5).select("query", "rank", "doc_id", "score")
+
+
+@query(f"WITH {_VT} SELECT query, rank, doc_id, score FROM vt WHERE rank < 5 AND score >= 0.35")
+def vector_floor(spark, folder):
+    """The same with a floor after the ranking."""
+    return retrieval.cosine(_vectors(spark, folder), "doc_id", "embedding", _vector_queries(spark, folder), 5, floor=0.35).select("query", "rank", "doc_id", "score")
+
+
+def _hybrid(spark, folder, k: int, candidates: int = 50) -> DataFrame:
+    vector = retrieval.cosine(_vectors(spark, folder), "doc_id", "embedding", _vector_queries(spark, folder), candidates)
+    text = retrieval.bm25(_doc_index(spark, folder), "doc_id", _title_terms(spark, folder), candidates)
+    return retrieval.fuse(vector, text, "doc_id", k)
+
+
+_FUSED = """fu AS (SELECT query, doc_id, round(sum(1 / (60 + rank)), 6) AS score, min(channel * 1000000 + rank) AS first FROM (SELECT query, doc_id, rank, 0 AS channel FROM vt WHERE rank < 50 UNION ALL SELECT query, doc_id, rank, 1 FROM bt WHERE rank < 50) GROUP BY query, doc_id),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, first, doc_id) - 1 AS rank FROM fu)"""
+
+
+@query(f"WITH {_POST}, {_QT}, {_BM}, {_BT}, {_VT}, {_FUSED} SELECT query, rank, doc_id, score FROM fr WHERE rank < 5")
+def hybrid_search(spark, folder):
+    """Both channels fused by reciprocal ranks."""
+    return _hybrid(spark, folder, 5)
+
+
+@query(
+    f"""WITH {_POST}, {_QT}, {_BM}, {_BT}, {_VT}, {_FUSED}, w AS (SELECT query, list_distinct(list(term)) AS wanted FROM qt GROUP BY query), o AS (SELECT doc_id, list_distinct(terms) AS own FROM tk),
+    rs AS (SELECT query, fr.doc_id, rank, round(len(list_intersect(own, wanted)) / len(wanted), 6) AS score FROM fr JOIN w USING (query) JOIN o USING (doc_id) WHERE rank < 50), rr AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) - 1 AS rank FROM rs)
+    SELECT query, rank, doc_id, score FROM rr WHERE rank < 5"""
+)
+def rerank(spark, folder):
+    """Fused candidates in the order of a second scorer."""
+    return retrieval.rerank(_hybrid(spark, folder, 50), "doc_id", table(spark, folder, "documents").filter("text is not null"), F.col("text"), _title_terms(spark, folder), 5)
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, list_distinct(list_transform(regexp_split_to_array(title, '[ ,，的了是在与及或和]+'), lambda w: w)) AS w FROM documents WHERE title IS NOT NULL),
+    u AS (SELECT doc_id, word, length(word) AS n FROM (SELECT doc_id, unnest(w) AS word FROM t) WHERE length(word) > 1), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM u)
+    SELECT doc_id, string_agg(word, ' ' ORDER BY rank) AS variant FROM k WHERE rank <= 2 GROUP BY doc_id"""
+)
+def query_expand(spark, folder):
+    """The two longest content words of each title as a variant of it."""
+    d = table(spark, folder, "documents").filter("title is not null")
+    words = F.filter(F.array_distinct(F.split("title", "[ ,，的了是在与及或和]+")), lambda w: F.length(w) > 1)
+    best = F.slice(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
+    return d.filter(F.size(words) > 0).select("doc_id", F.array_join(F.transform(best, lambda x: x["w"]), " ").alias("variant"))
+
+
+@query(
+    f"""WITH {_C}, p AS (SELECT source, config_id, parent_ord, string_agg(text, chr(10) ORDER BY ord, text) AS parent_text FROM c WHERE parent_ord IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
+    SELECT chunk_id, c.source, c.parent_ord, md5(parent_text) AS parent_digest FROM c LEFT JOIN p ON p.source = c.source AND p.config_id = c.config_id AND p.parent_ord = c.parent_ord"""
+)
+def attach_parents(spark, folder):
+    """Every chunk with the text of its parent; null without one."""
+    c = _chunks(spark, folder, "source", "config_id", "parent_ord", "ord", "text")
+    return c.drop("text", "ord").join(retrieval.parents(c.filter("text is not null")), ["source", "config_id", "parent_ord"], "left").select("chunk_id", "source", "parent_ord", F.md5(F.col("parent_text").cast("binary")).alias("parent_digest"))
+
+
+@query(
+    f"""WITH {_C}, m AS (SELECT source, count(*) AS listed FROM chunks GROUP BY source), t AS (SELECT source, count(*) AS there FROM c WHERE coalesce(text, '') <> '' GROUP BY source)
+    SELECT source, listed, there FROM m FULL JOIN t USING (source) WHERE listed IS DISTINCT FROM there"""
+)
+def doctor_drift(spark, folder):
+    """Sources whose delivered rows aren't as many as their chunks with text."""
+    listed = table(spark, folder, "chunks").groupBy("source").agg(F.count("*").alias("listed"))
+    there = _chunks(spark, folder, "source", "text").filter(F.coalesce("text", F.lit("")) != "").groupBy("source").agg(F.count("*").alias("there"))
+    return listed.join(there, "source", "full").filter(~F.col("listed").eqNullSafe(F.col("there")))
+
+
+@query(
+    f"""WITH {_C} SELECT k.config_id, embed_model, count(c.chunk_id) AS n_chunks, count(*) FILTER (WHERE length(c.text) > 4 * k.chunk_tokens) AS n_long, count(*) FILTER (WHERE c.parent_ord IS NOT NULL AND k.parent_tokens IS NULL) AS n_orphans,
+    coalesce(k.parent_tokens < 2 * k.chunk_tokens, false) AS parents_too_small FROM configs k LEFT JOIN c ON c.config_id = k.config_id GROUP BY k.config_id, embed_model, k.parent_tokens, k.chunk_tokens"""
+)
+def model_gate(spark, folder):
+    """Configurations against the chunks made with them."""
+    c = _chunks(spark, folder, "config_id", "text", "parent_ord")
+    k = table(spark, folder, "configs")
+    return k.join(c, "config_id", "left").groupBy("config_id", "embed_model", "parent_tokens", "chunk_tokens").agg(
+        F.count("chunk_id").alias("n_chunks"), F.count_if(F.length("text") > 4 * F.col("chunk_tokens")).alias("n_long"), F.count_if(F.col("parent_ord").isNotNull() & F.col("parent_tokens").isNull()).alias("n_orphans")
+    ).select("config_id", "embed_model", "n_chunks", "n_long", "n_orphans", F.coalesce(F.col("parent_tokens") < 2 * F.col("chunk_tokens"), F.lit(False)).alias("parents_too_small"))
+
+
+# --- verification: pages are derived from documents, each citing the document before it
+
+
+_PAGES = """pg AS (SELECT doc_id, '# ' || coalesce(title, 'x') || chr(10) || 'claim ' || doc_id || ' 〔来源: _md/' || (CASE WHEN doc_id % 11 = 0 THEN doc_id + 100000000 ELSE doc_id END) || '.md：「' || replace(substring(text, 20, 12), chr(10), ' ') || (CASE WHEN doc_id % 7 = 0 THEN '…@@' ELSE '…' || replace(substring(text, 40, 8), chr(10), ' ') END) || '」〕' || (CASE WHEN doc_id % 2 = 0 THEN '（未核验）' ELSE '' END) || chr(10) || 'see [[' || coalesce(title, 'x') || '|t]] and [[missing ' || doc_id || ']]' AS text
+    FROM documents WHERE text IS NOT NULL AND length(text) > 60)"""
+
+
+def _pages(spark, folder) -> DataFrame:
+    d = table(spark, folder, "documents").filter("length(text) > 60")
+    piece = lambda a, n: F.replace(F.substring("text", a, n), F.lit("\n"), F.lit(" "))
+    second = F.when(F.col("doc_id") % 7 == 0, "…@@").otherwise(F.concat(F.lit("…"), piece(40, 8)))
+    cited = F.concat(F.lit("_md/"), F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 100000000).otherwise(F.col("doc_id")).cast("string"), F.lit(".md"))
+    title, key = F.coalesce("title", F.lit("x")), F.col("doc_id").cast("string")
+    page = F.concat(F.lit("# "), title, F.lit("\nclaim "), key, F.lit(" "), X.anchor(cited, F.concat(piece(20, 12), second), F.col("doc_id") % 2 == 0), F.lit("\nsee [["), title, F.lit("|t]] and [[missing "), key, F.lit("]]"))
+    return d.select("doc_id", page.alias("text"))
+
+
+_ANCHOR = r"'〔来源:[ \t]*([^\n：]+?)：「([^\n]+?)」〕'"
+
+
+@query(
+    rf"""WITH {_PAGES}, a AS (SELECT doc_id, text, regexp_extract(text, {_ANCHOR}, 1) AS source, regexp_extract(text, {_ANCHOR}, 2) AS quote FROM pg WHERE regexp_matches(text, {_ANCHOR})),
+    s AS (SELECT '_md/' || doc_id || '.md' AS source, {_NORM_SQL.format('text')} AS body, doc_id % 3 = 0 AS suspect FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT a.*, body, suspect, list_transform(list_filter(list_transform(regexp_split_to_array(quote, '…+|\.\.\.+'), lambda x: {_strip_sql('x')}), lambda x: x <> ''), lambda x: {_NORM_SQL.format('x')}) AS f FROM a LEFT JOIN s ON s.source = a.source),
+    q AS (SELECT *, CASE WHEN len(f) = 0 THEN 1 ELSE instr(body, f[1]) END AS p1 FROM p)
+    SELECT doc_id, source, CASE WHEN body IS NULL THEN 'missing' WHEN NOT (p1 > 0 AND (len(f) < 2 OR instr(substring(body, p1 + length(f[1])), f[2]) > 0)) THEN 'mismatch' WHEN suspect AND doc_id % 2 = 1 THEN 'unmarked' ELSE 'ok' END AS verdict FROM q"""
+)
+def anchor_verify(spark, folder):
+    """Citations of pages held against the texts that they cite."""
+    sources = table(spark, folder, "documents").filter("text is not null").select(F.concat(F.lit("_md/"), "doc_id", F.lit(".md")).alias("source"), F.col("text").alias("body"), (F.col("doc_id") % 3 == 0).alias("suspect"))
+    return verify.verify_anchors(verify.anchors(_pages(spark, folder), "doc_id"), sources).select("doc_id", "source", "verdict")
+
+
+@query(
+    rf"""WITH {_PAGES} SELECT doc_id, 1 AS line_no, 0 AS claim_no, 'claim ' || doc_id AS claim, regexp_extract(text, {_ANCHOR}, 1) AS source FROM pg WHERE regexp_matches(text, {_ANCHOR})"""
+)
+def claim_pairs(spark, folder):
+    """Claims of pages with the source that each cites."""
+    return verify.claims(_pages(spark, folder), "doc_id").select("doc_id", "line_no", "claim_no", "claim", "source")
+
+
+@query(
+    f"""WITH {_PAGES}, names AS (SELECT title AS name FROM documents WHERE title IS NOT NULL UNION SELECT title FROM case_files),
+    k AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\[\\[([^\\[\\]\\n]+)\\]\\]', 1)) AS raw FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, text FROM pg)),
+    t AS (SELECT doc_id, trim(string_split(string_split(raw, '|')[1], '#')[1], ' ') AS target FROM k) SELECT doc_id, target FROM t WHERE target <> '' AND target NOT IN (SELECT name FROM names)"""
+)
+def dead_links(spark, folder):
+    """Links of documents and pages that lead to no title."""
+    d = table(spark, folder, "documents")
+    names = d.select(F.col("title").alias("name")).unionAll(table(spark, folder, "case_files").select("title")).filter("name is not null").distinct()
+    found = verify.links(d.select("doc_id", "text").unionAll(_pages(spark, folder)), "doc_id")
+    return verify.dead_links(found, names).select("doc_id", "target")
+
+
+@query(
+    r"""WITH p AS (SELECT result_id, CASE result_id % 4 WHEN 0 THEN '_md/' || case_id || '/a.md' WHEN 1 THEN '_md/../wiki/' || case_id || '.md' WHEN 2 THEN './_md//' || case_id || '/../b.md' ELSE case_id || '.md' END AS path FROM (SELECT DISTINCT result_id, case_id FROM conversion_results))
+    SELECT result_id, path, (result_id % 4 IN (0, 2)) AS inside FROM p"""
+)
+def closed_world(spark, folder):
+    """Whether cited paths stay inside the folder of sources."""
+    case = F.col("case_id")
+    path = F.when(F.col("result_id") % 4 == 0, F.concat(F.lit("_md/"), case, F.lit("/a.md"))).when(F.col("result_id") % 4 == 1, F.concat(F.lit("_md/../wiki/"), case, F.lit(".md")))
+    path = path.when(F.col("result_id") % 4 == 2, F.concat(F.lit("./_md//"), case, F.lit("/../b.md"))).otherwise(F.concat(case, F.lit(".md")))
+    r = _results(spark, folder, "case_id").withColumn("path", path)
+    return r.select("result_id", "path", verify.closed_world(F.col("path")).alias("inside"))
+
+
+@query(
+    """SELECT result_id, count(*) AS n_deliveries, count(DISTINCT coalesce(sha256(text), '')) AS n_contents, count(DISTINCT engine) AS n_engines, bool_or(source IS NULL OR converted_at IS NULL) AS incomplete, bool_or(loaded_at < converted_at) AS before_its_time FROM conversion_results GROUP BY result_id"""
+)
+def provenance_check(spark, folder):
+    """Deliveries of each result: whether they agree on the content and have what provenance needs."""
+    r = table(spark, folder, "conversion_results")
+    return r.groupBy("result_id").agg(
+        F.count("*").alias("n_deliveries"), F.countDistinct(F.coalesce(F.sha2("text", 256), F.lit(""))).alias("n_contents"), F.countDistinct("engine").alias("n_engines"),
+        F.bool_or(F.col("source").isNull() | F.col("converted_at").isNull()).alias("incomplete"), F.bool_or(F.col("loaded_at") < F.col("converted_at")).alias("before_its_time"),
+    )
+
+
+@query(
+    """WITH e AS (SELECT case_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN [year(added_at)] WHEN doc_id % 5 = 1 THEN [year(added_at), month(added_at)] ELSE [year(added_at), month(added_at), day(added_at)] END AS d FROM documents WHERE added_at IS NOT NULL AND case_id IS NOT NULL),
+    p AS (SELECT *, lag(d) OVER (PARTITION BY case_id ORDER BY doc_id) AS b FROM e) SELECT case_id, doc_id FROM p WHERE b IS NOT NULL AND d[:least(len(d), len(b))] < b[:least(len(d), len(b))]"""
+)
+def timeline_order(spark, folder):
+    """Entries of the cases' timelines that come after a later one; their dates are read from the lines."""
+    d = table(spark, folder, "documents").filter("added_at is not null and case_id is not null")
+    line = F.concat(F.lit("- "), F.year("added_at"), F.lit("年"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.month("added_at"), F.lit("月"), F.when(F.col("doc_id") % 5 == 1, "").otherwise(F.concat(F.dayofmonth("added_at"), F.lit("日"))))), F.lit("：filed"))
+    return verify.out_of_order(d.select("case_id", "doc_id", line.alias("line")), "case_id", "doc_id", "line").select("case_id", "doc_id")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'wrong' WHEN l_linenumber % 5 = 0 THEN 'unreadable' ELSE 'ok' END AS verdict FROM lineitem"""
+)
+def closure_check(spark, folder):
+    """Sums written as text, evaluated and compared."""
+    q, p = F.col("l_quantity").cast("bigint"), F.col("l_partkey")
+    total = q + p + F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
+    tail = F.when((F.col("l_linenumber") % 5 == 0) & (F.col("l_linenumber") % 3 != 0), " or so").otherwise("")
+    line = F.concat(F.lit("> [!check] "), F.format_number(q, 0), F.lit(" ＋ "), F.format_number(p, 0), F.lit(" == "), F.format_number(total, 0), tail)
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    return verify.closures(rows, "line").select("l_orderkey", "l_linenumber", "verdict")
+
+
+_LOG = "lg AS (SELECT DISTINCT ON (result_id) result_id, source, notices FROM conversion_results)"
+
+
+@query(f"WITH {_LOG} SELECT source AS path, bool_or(result_id % 4 > 1) AS has_reason FROM lg WHERE result_id % 2 = 1 GROUP BY source")
+def skip_ledger(spark, folder):
+    """Skipped sources read from log texts, and whether a reason is given."""
+    return verify.skip_ledger(_logs(spark, folder), "result_id")
+
+
+def _logs(spark, folder) -> DataFrame:
+    r = _results(spark, folder, "source").filter("result_id % 2 = 1")
+    reason = F.when(F.col("result_id") % 4 > 1, "- 原因：unreadable\n").otherwise("- 原因： \n")
+    return r.select("result_id", F.concat(F.lit("# log\n\n## [2030-01-02] skip | "), "source", F.lit("\n"), reason, F.lit("## [2030-01-03] note\n- 原因：not a skip\n")).alias("text"))
+
+
+@query(
+    f"""WITH {_LOG}, s AS (SELECT source AS path, bool_or(result_id % 4 > 1) AS has_reason FROM lg WHERE result_id % 2 = 1 GROUP BY source), ci AS (SELECT DISTINCT regexp_replace(source, '/([0-9]+-[0-9]+)_[^/]*\\z', '/originals/\\1') AS stem FROM chunks), p AS (SELECT DISTINCT source AS path FROM lg),
+    st AS (SELECT path, CASE WHEN regexp_replace(path, '\\.[a-z0-9]+\\z', '') IN (SELECT stem FROM ci) THEN 'cited' WHEN has_reason THEN 'skipped' ELSE 'unresolved' END AS state FROM p LEFT JOIN s USING (path))
+    SELECT state, count(*) AS n FROM st GROUP BY state"""
+)
+def coverage_ledger(spark, folder):
+    """Sources by state: cited by a chunk, skipped with a reason, or neither."""
+    sources = _results(spark, folder, "source").select(F.col("source").alias("path")).distinct()
+    stems = table(spark, folder, "chunks").select(F.regexp_replace("source", r"/([0-9]+-[0-9]+)_[^/]*\z", "/originals/$1").alias("stem")).distinct()
+    cited = sources.withColumn("stem", F.regexp_replace("path", r"\.[a-z0-9]+\z", "")).join(stems, "stem", "left_semi").select("path")
+    states = verify.coverage(sources, cited, verify.skip_ledger(_logs(spark, folder), "result_id"))
+    return states.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query()
+def unanchored_lines(spark, folder):
+    """Lines of documents that state something without a citation."""
+    u = verify.unanchored(table(spark, folder, "documents"), "doc_id")
+    return u.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS last_type, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY user_id")
+def last_entry(spark, folder):
+    """The last entry of every actor's transcript."""
+    return table(spark, folder, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+
+
+# --- graph and evidence
+
+_GRAPH = "ge AS (SELECT DISTINCT case_id AS a, source AS b FROM documents WHERE case_id IS NOT NULL AND source IS NOT NULL), gs AS (SELECT a, b FROM ge UNION SELECT b, a FROM ge)"
+
+
+def _graph(spark, folder) -> DataFrame:
+    """Cases and the feeds of their documents, each linked with the other."""
+    d = table(spark, folder, "documents").filter("case_id is not null and source is not null")
+    names = d.select(F.col("source").alias("name"), F.col("source").alias("node")).distinct()
+    return graph.edges(d.select(F.col("case_id").alias("node"), F.col("source").alias("target")).distinct(), names)
+
+
+@query(f"WITH {_GRAPH} SELECT a AS node, count(*) AS degree, min(b) AS first FROM gs GROUP BY a")
+def graph_neighbors(spark, folder):
+    """Nodes of the graph with their degrees and first neighbours."""
+    g = _graph(spark, folder)
+    return graph.neighbours(g, g.select(F.col("a").alias("node")).distinct())
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, st AS (SELECT min(a) AS node FROM ge), bfs AS (SELECT node, 0 AS distance FROM st UNION SELECT gs.b, distance + 1 FROM bfs JOIN gs ON gs.a = bfs.node WHERE distance < 6)
+    SELECT node, min(distance) AS distance FROM bfs GROUP BY node"""
+)
+def graph_distances(spark, folder):
+    """Steps from the first case to every node within six."""
+    g = _graph(spark, folder)
+    start = table(spark, folder, "documents").filter("case_id is not null and source is not null").agg(F.min("case_id").alias("node"))
+    return graph.distances(g, start, hops=6).select("node", "distance")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 7)::INTEGER + 100 AS b FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach)
+    SELECT node, min(reach) AS component FROM r GROUP BY node"""
+)
+def graph_components(spark, folder):
+    """Connected components of a graph of nations and groups of customers."""
+    e = table(spark, folder, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("a"), ((F.col("c_custkey") % 7).cast("int") + 100).alias("b"))
+    return components(e)
+
+
+_TERMS = "tm AS (SELECT DISTINCT substring(title, 1, 4) AS term FROM case_files WHERE title IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_TERMS}, {_LINES}, n AS (SELECT doc_id, line_no, {_NORM_SQL.format('line')} AS norm FROM l), h AS (SELECT term, doc_id, line_no, row_number() OVER (PARTITION BY term ORDER BY doc_id, line_no) AS k, count(*) OVER (PARTITION BY term) AS n_hits FROM n JOIN tm ON contains(norm, {_NORM_SQL.format('term')}))
+    SELECT term, doc_id, line_no, n_hits > 20 AS truncated FROM h WHERE k <= 20"""
+)
+def grep_terms(spark, folder):
+    """The first twenty lines that have each term (the names that case titles start with), and whether there are more."""
+    return _grep(spark, folder)
+
+
+def _terms(spark, folder) -> DataFrame:
+    return table(spark, folder, "case_files").filter("title is not null").select(F.substring("title", 1, 4).alias("term")).distinct()
+
+
+def _grep(spark, folder) -> DataFrame:
+    from pyspark.sql import Window
+
+    terms = _terms(spark, folder).withColumn("wanted", X.norm_quote(F.col("term")))
+    # the terms are those of the 240 fixed case files; the lines are read once and never shuffled
+    rows = sections.lines(table(spark, folder, "documents"), "doc_id").select("doc_id", "line_no", X.norm_quote(F.col("line")).alias("norm")).filter("norm != ''")
+    hits = rows.join(F.broadcast(terms), F.expr("contains(norm, wanted)")).select("term", "doc_id", "line_no")
+    order = Window.partitionBy("term").orderBy("doc_id", "line_no")
+    found = hits.withColumn("k", F.row_number().over(order)).filter("k <= 21")
+    many = found.filter("k = 21").select("term", F.lit(True).alias("truncated"))
+    return found.filter("k <= 20").join(many, "term", "left").select("term", "doc_id", "line_no", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+@query(f"WITH {_TERMS}, {_LINES}, n AS (SELECT {_NORM_SQL.format('line')} AS norm FROM l) SELECT term FROM tm WHERE NOT EXISTS (SELECT 1 FROM n WHERE contains(norm, {_NORM_SQL.format('term')}))")
+def grep_not_found(spark, folder):
+    """Terms that no line has."""
+    return _terms(spark, folder).join(_grep(spark, folder).select("term").distinct(), "term", "left_anti")
+
+
+@query(
+    f"""WITH {_R}, k AS (SELECT case_id, count(*) AS total, count(*) FILTER (WHERE coalesce(text, '') = '') AS failed, count(*) FILTER (WHERE notices IS NOT NULL) AS warned FROM r GROUP BY case_id), i AS (SELECT case_id, count(DISTINCT regexp_extract(source, '/([0-9]+-[0-9]+)_', 1)) AS indexed FROM chunks GROUP BY case_id),
+    j AS (SELECT case_id, total, failed, warned, coalesce(indexed, 0) AS indexed, total - failed AS expected, greatest(total - failed - coalesce(indexed, 0), 0) AS unresolved FROM k LEFT JOIN i USING (case_id))
+    SELECT case_id, total, failed, warned, indexed, unresolved, CASE WHEN failed > 0 THEN 1 WHEN indexed < expected OR unresolved > 0 THEN 3 ELSE 0 END AS exit_code FROM j"""
+)
+def ingest_gate(spark, folder):
+    """Reconciliation of each case: files, failures, what is indexed, and the code that a run ends with."""
+    r = _results(spark, folder, "case_id", "text", "notices").groupBy("case_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("failed"), F.count_if(F.col("notices").isNotNull()).alias("warned"))
+    i = table(spark, folder, "chunks").groupBy("case_id").agg(F.countDistinct(F.regexp_extract("source", r"/([0-9]+-[0-9]+)_", 1)).alias("indexed"))
+    j = r.join(i, "case_id", "left").withColumn("indexed", F.coalesce("indexed", F.lit(0))).withColumn("expected", F.col("total") - F.col("failed"))
+    j = j.withColumn("unresolved", F.greatest(F.col("expected") - F.col("indexed"), F.lit(0)))
+    return conversion.gate(j).select("case_id", "total", "failed", "warned", "indexed", "unresolved", "exit_code")
+
+
+@query()
+def evidence_bundle(spark, folder):
+    """For each query: its best documents, the snippet of each with an anchor, and the headings of the document."""
+    hits = _hybrid(spark, folder, 8)
+    d = table(spark, folder, "documents").filter("text is not null")
+    heads = sections.outline(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.min_by("title", "idx").alias("first_heading"))
+    line = F.substring(X.snippet(F.col("text")), 1, 120)
+    texts = d.select("doc_id", X.anchor(F.concat(F.lit("_md/"), "doc_id", F.lit(".md")), line, F.lit(False)).alias("anchor"))
+    return hits.join(texts, "doc_id", "left").join(heads, "doc_id", "left").select("query", "rank", "doc_id", "score", "anchor", F.coalesce("n_headings", F.lit(0)).alias("n_headings"), "first_heading")
