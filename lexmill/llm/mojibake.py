@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.codepoints import blocks
+from lexmill.llm.lookalike import Forms
 
 TRAIN_ROWS = 1_000
 BUCKETS = 1 << 14
@@ -58,6 +59,11 @@ class Codec:
             cls._tables[name] = letters, codecs.charmap_build(letters)
         return cls._tables[name]
 
+    @classmethod
+    def members(cls, name: str) -> str:
+        """All characters of a single-byte encoding."""
+        return cls.table(name)[0]
+
     @classmethod
     def read(cls, data: bytes, name: str) -> str:
         if name in cls.SINGLE:
@@ -103,8 +109,19 @@ def invert(text: str, chain, strict: bool = True) -> str | None:
 
 
 def sentences(text: str) -> list[str]:
-    """The text in pieces that end where a sentence or a line does; nothing is lost."""
-    return [m for m in SENTENCE.findall(text) if m]
+    """The text in pieces that end where a sentence or a line does, or where a run of other letters than ideographs begins or ends
+    among ideographs (a garbled sentence's own end can't be seen); nothing is lost."""
+    out = []
+    for piece in SENTENCE.findall(text):
+        if piece and not piece.isascii() and HAN.search(piece) and FOREIGN.search(piece):
+            at = 0
+            for m in FOREIGN.finditer(piece):
+                out += [x for x in (piece[at : m.start()], m.group()) if x]
+                at = m.end()
+            out += [piece[at:]] if at < len(piece) else []
+        elif piece:
+            out.append(piece)
+    return out
 
 
 def features(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +141,9 @@ SIGNS = frozenset("¡¢£¥§©«®°±²³µ¶·¹º»¼½¾¿×÷–—‘’
 HAN = re.compile(r"[\u3400-\u9fff]")
 
 
+FOREIGN = re.compile(r"[\x80-\u2e7f](?:[\x00-\x7f]{0,12}[\x80-\u2e7f]){5,}")
+
+
 def in_words(text: str, a: int, b: int) -> bool:
     """Whether accented letters in text[a:b] stand in words, as letters do and misread signs don't, or there are none."""
     places = [i for i in range(a, b) if 0xBF < ord(text[i]) < 0x250 and text[i].isalpha()]
@@ -182,20 +202,28 @@ class Model:
         lost = "\ufffd" in piece
         order = [k for k in np.argsort(-likely)[:6].tolist() if k and (lost or likely[k] > likely[0] + MARGIN * 0.5)]
         bad = [i for i, c in enumerate(piece) if ord(c) > 127 and c not in self.letters]
+        form = Forms.of().strings([piece])[0]
+        if form != piece and not lost and all(ord(c) < 128 or c in self.letters for c in form):
+            return False, None, ""  # disguised by characters of the same look, not garbled
         own = self.clean_score(piece)
         best = None
         for k in order:
-            for a, b in self._parts(piece, bad):
-                made = invert(piece[a:b], CHAINS[k - 1])
-                if made is None or made == piece[a:b] or UNREADABLE.search(made):
-                    continue
-                whole = piece[:a] + made + piece[b:]
-                gain = self.clean_score(whole) - own
-                other = [c for c in made if ord(c) > 127]
-                enough = 0.0 if CHAINS[k - 1][0][0] == "utf-8" else GAIN  # several bytes of UTF-8 hardly ever fit by chance
-                if gain > enough and sum(c in self.letters or c in SIGNS for c in other) >= 0.8 * len(other) and in_words(whole, a, a + len(made)) and (best is None or gain > best[0]):
-                    best = (gain, whole, k)
-                    break
+            chain = CHAINS[k - 1]
+            made = self._inverse(piece, chain, bad)
+            if made is None:
+                continue
+            whole, other = made
+            gain = self.clean_score(whole) - own
+            known = sum(c in self.letters or c in SIGNS for c in other)
+            enough = GAIN
+            if chain[0][0] == "utf-8":  # several bytes of UTF-8 hardly ever fit by chance
+                enough = -2.5 if known == len(other) else 0.0
+            elif chain[0][0] == "cp1252" and not any(0xBF < ord(c) < 0x250 for c in other):
+                continue
+            elif chain[0][0] != "cp1252" and chain[0][1] not in Codec.SINGLE and len(other) < 4:
+                continue
+            if gain > enough and known >= 0.8 * len(other) and in_words(whole, 0, len(whole)) and (best is None or gain > best[0]):
+                best = (gain, whole, k)
         if best and (bad or likely[best[2]] > likely[0] + MARGIN):
             return True, None if lost else best[1], self.name(best[2])
         if lost:
@@ -209,15 +237,31 @@ class Model:
         return False, None, ""
 
     @staticmethod
-    def _parts(piece: str, bad: list[int]) -> list[tuple[int, int]]:
-        """Stretches of a piece to invert: all of it, and from its first to its last character that clean text hasn't, a little wider."""
+    def _inverse(piece: str, chain, bad: list[int]) -> tuple[str, list[str]] | None:
+        """A piece with its garbled stretches inverted strictly, and the characters beyond ASCII that this makes; None where nothing inverts.
+
+        Of an encoding with one byte a character, the stretches are those that it has; of others, all of the piece, or what lies between
+        its first and last character that clean text hasn't, a little wider."""
+        wrong = chain[-1][1]
+        if wrong in Codec.SINGLE:
+            has = Codec.members(wrong)
+            out, other, at = [], [], 0
+            for m in re.finditer("[" + re.escape(has) + "]+", piece):
+                made = invert(m.group(), chain) if not m.group().isascii() else None
+                if made is None or made == m.group() or UNREADABLE.search(made):
+                    continue
+                out.append(piece[at : m.start()] + made)
+                at = m.end()
+                other += [c for c in made if ord(c) > 127]
+            return ("".join(out) + piece[at:], other) if other else None
         parts = [(0, len(piece))]
         if bad:
-            for wider in ((0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (0, 2), (2, 2), (3, 3)):
-                part = (max(0, bad[0] - wider[0]), min(len(piece), bad[-1] + 1 + wider[1]))
-                if part not in parts:
-                    parts.append(part)
-        return parts
+            parts += [(max(0, bad[0] - x), min(len(piece), bad[-1] + 1 + y)) for x in range(4) for y in range(4)]
+        for a, b in dict.fromkeys(parts):
+            made = invert(piece[a:b], chain)
+            if made is not None and made != piece[a:b] and not UNREADABLE.search(made):
+                return piece[:a] + made + piece[b:], [c for c in made if ord(c) > 127]
+        return None
 
     @staticmethod
     def name(k: int) -> str:
