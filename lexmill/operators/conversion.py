@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,9 @@ def output_names(files: DataFrame, path: str) -> DataFrame:
     ext = F.concat(F.lit("."), extension(F.col(path)))
     stem = F.when(ext != ".", F.substring(F.col(path), F.lit(1), F.length(F.col(path)) - F.length(ext))).otherwise(F.col(path))
     named = files.withColumn("stem", stem)
-    many = F.count("*").over(Window.partitionBy("stem"))
-    return named.withColumn("out_path", F.concat(F.when(many > 1, F.col(path)).otherwise(F.col("stem")), F.lit(".md"))).drop("stem")
+    many = named.groupBy("stem").agg(F.count("*").alias("n_same"))  # counted before the shuffle, so a stem of very many files is no hot group
+    both = named.join(many, "stem")
+    return both.withColumn("out_path", F.concat(F.when(F.col("n_same") > 1, F.col(path)).otherwise(F.col("stem")), F.lit(".md"))).drop("stem", "n_same")
 
 
 def quality(results: DataFrame) -> DataFrame:
@@ -52,18 +53,22 @@ def quality(results: DataFrame) -> DataFrame:
     bad = F.length(text) - F.length(F.regexp_replace(text, f"[^{PLAIN}]", ""))
     each = results.withColumn("n_chars", solid).withColumn("garbled", F.round(F.when(solid > 0, bad / solid).otherwise(0.0), 4))
     long = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 10)
-    each = each.withColumn("most_repeated", F.coalesce(F.array_max(F.map_values(_histogram(long))), F.lit(0)))
+    each = each.withColumn("most_repeated", _longest_run(F.array_sort(long)))
     each = each.withColumn("low", F.when(F.col("confidences").isNotNull(), F.size(F.filter("confidences", lambda c: c < LEAST_CONFIDENCE))).otherwise(0))
     thin = (F.col("pages") >= 2) & (F.floor(F.col("n_chars") / F.col("pages")) < LEAST_PER_PAGE)
     suspect = (F.col("n_chars") < LEAST_CHARS) | F.coalesce(thin, F.lit(False)) | (F.col("garbled") > MOST_GARBLED) | (F.col("most_repeated") > MOST_REPEATED) | (F.col("low") > 0)
     return each.withColumn("suspect", suspect)
 
 
-def _histogram(items: Column) -> Column:
-    """Map of the distinct items of one row to how often each comes."""
-    ordered = F.array_sort(items)
-    kinds = F.array_distinct(ordered)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.array_position(F.reverse(ordered), k) * 0 + F.size(ordered) - F.array_position(F.reverse(ordered), k) + 1 - F.array_position(ordered, k) + 1))
+def _longest_run(ordered: Column) -> Column:
+    """How often the most frequent item of a sorted array comes, in one pass."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["best"])
 
 
 def digit_mismatches(a: Column, b: Column) -> Column:

@@ -29,10 +29,10 @@ def bm25(index: DataFrame, key: str, queries: DataFrame, k: int, k1: float = 1.2
     terms = queries.select("query", "term").distinct()
     wanted = terms.select("term").distinct()
     hits = index.join(wanted, "term", "left_semi")
-    stats = index.select(key, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = index.select(key, "dl").distinct().agg(F.count("*"), F.avg("dl")).first()
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0)))
     scored = hits.join(idf, "term").join(terms, "term").groupBy("query", key).agg(F.round(F.sum(part), 4).alias("score"))
     return ranked(scored, key, k)
 

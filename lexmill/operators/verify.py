@@ -62,12 +62,19 @@ def date_parts(line: Column) -> Column:
     return F.when(whole != "", F.transform(parts, lambda p: p.cast("int")))
 
 
-def out_of_order(entries: DataFrame, page: str, order: str, line: str) -> DataFrame:
-    """Dated entries that are earlier than the dated one before them on their page, compared as far as both dates go."""
-    dated = entries.withColumn("date", date_parts(F.col(line))).filter("date is not null")
-    dated = dated.withColumn("before", F.lag("date").over(Window.partitionBy(page).orderBy(order)))
+def out_of_order(entries: DataFrame, page: str, order: str, line: str, width: int = 50_000) -> DataFrame:
+    """Dated entries that are earlier than the dated one before them on their page, compared as far as both dates go.
+
+    A page is worked on in stretches of `width` of its (integer) order, and only the last entry of each stretch goes to the next one,
+    so a page with a large share of all entries is spread over tasks.
+    """
+    dated = entries.withColumn("date", date_parts(F.col(line))).filter("date is not null").withColumn("stretch", F.floor(F.col(order) / width))
+    last = dated.groupBy(page, "stretch").agg(F.max_by("date", order).alias("final"))
+    last = last.withColumn("carried", F.lag("final").over(Window.partitionBy(page).orderBy("stretch"))).drop("final")
+    own = F.lag("date").over(Window.partitionBy(page, "stretch").orderBy(order))
+    both = dated.withColumn("own", own).join(last, [page, "stretch"]).withColumn("before", F.coalesce("own", "carried"))
     common = F.least(F.size("date"), F.size("before"))
-    return dated.filter(F.col("before").isNotNull() & (F.slice("date", F.lit(1), common) < F.slice("before", F.lit(1), common)))
+    return both.filter(F.col("before").isNotNull() & (F.slice("date", F.lit(1), common) < F.slice("before", F.lit(1), common)))
 
 
 def closures(checks: DataFrame, column: str) -> DataFrame:

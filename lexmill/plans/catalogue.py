@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.checkpoints import Stages
 from lexmill.functions import text as X
 from lexmill.operators import conversion, graph, retrieval, sections, verify
 from lexmill.operators.components import components
@@ -121,13 +122,14 @@ def conversion_report(spark, folder):
 
 
 @query(
-    f"""WITH {_R}, d AS (SELECT source, max(loaded_at) AS made_at, max_by(sha256(text), loaded_at) AS made_from FROM r WHERE result_id % 3 > 0 GROUP BY source)
+    f"""WITH {_R}, d AS (SELECT source, max(loaded_at) AS made_at, max_by(sha256(text), loaded_at) AS made_from FROM r WHERE loaded_at <= converted_at + INTERVAL 12 HOUR GROUP BY source)
     SELECT result_id, source FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = r.source AND d.made_at >= r.converted_at AND (d.made_from IS NULL OR d.made_from = sha256(r.text)))"""
 )
 def incremental_todo(spark, folder):
-    """Files without an up-to-date output, where a third of the outputs is missing."""
+    """Files without an up-to-date output, where those loaded half a day after their conversion or later have none."""
     r = _results(spark, folder, "source", "text", "converted_at", "loaded_at").withColumn("sha", F.sha2("text", 256))
-    done = r.filter("result_id % 3 > 0").groupBy("source").agg(F.max("loaded_at").alias("made_at"), F.max_by("sha", "loaded_at").alias("made_from"))
+    in_time = r.filter(F.col("loaded_at") <= F.col("converted_at") + F.expr("INTERVAL 12 HOURS"))
+    done = in_time.groupBy("source").agg(F.max("loaded_at").alias("made_at"), F.max_by("sha", "loaded_at").alias("made_from"))
     return conversion.to_do(r.withColumnRenamed("converted_at", "changed_at"), done, "source").select("result_id", "source")
 
 
@@ -191,15 +193,15 @@ def frontmatter_roundtrip(spark, folder):
 
 
 @query(
-    f"""WITH {_C}, n AS (SELECT source, config_id, ord, text, row_number() OVER (PARTITION BY source, config_id ORDER BY ord, chunk_id) AS page FROM c WHERE text IS NOT NULL)
-    SELECT source, config_id, count(*) AS n_pages, md5(string_agg('<!-- page: ' || page || ' -->' || chr(10) || text, chr(10) ORDER BY page)) AS digest FROM n GROUP BY source, config_id"""
+    f"""WITH {_C}, p AS (SELECT source, config_id, ('0x' || substring(md5('<!-- page: ' || (ord + 1) || ' -->' || chr(10) || text), 1, 8))::BIGINT AS h, length(text) AS n FROM c WHERE text IS NOT NULL)
+    SELECT source, config_id, count(*) AS n_pages, sum(h)::BIGINT AS digest, sum(n)::BIGINT AS n_chars FROM p GROUP BY source, config_id"""
 )
-def page_join(spark, folder):
-    """Chunks of a source joined as numbered pages."""
+def page_marks(spark, folder):
+    """Chunks of each source marked as numbered pages, and a digest that doesn't need them in one place."""
     c = _chunks(spark, folder, "source", "config_id", "ord", "text").filter("text is not null")
-    pages = c.groupBy("source", "config_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "text"))).alias("p"))
-    joined = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("<!-- page: "), (i + 1).cast("string"), F.lit(" -->\n"), x["text"])), "\n")
-    return pages.select("source", "config_id", F.size("p").alias("n_pages"), F.md5(joined.cast("binary")).alias("digest"))
+    marked = F.concat(F.lit("<!-- page: "), (F.col("ord") + 1).cast("string"), F.lit(" -->\n"), F.col("text"))
+    pages = c.select("source", "config_id", F.conv(F.substring(F.md5(marked.cast("binary")), 1, 8), 16, 10).cast("bigint").alias("h"), F.length("text").alias("n"))
+    return pages.groupBy("source", "config_id").agg(F.count("*").alias("n_pages"), F.sum("h").alias("digest"), F.sum("n").alias("n_chars"))
 
 
 @query(
@@ -352,6 +354,11 @@ _VT = """vs AS (SELECT q.vec_id AS query, v.vec_id AS doc_id, round(list_cosine_
 
 
 def _doc_index(spark, folder) -> DataFrame:
+    """The inverted index, written once: a query reads it for its statistics and for its terms' rows."""
+    return Stages(spark, "index").write("postings", _postings(spark, folder))
+
+
+def _postings(spark, folder) -> DataFrame:
     return retrieval.postings(table(spark, folder, "documents").filter("text is not null"), "doc_id", F.col("text"))
 
 
@@ -371,7 +378,7 @@ def _vectors(spark, folder) -> DataFrame:
 @query(f"WITH {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM po GROUP BY term")
 def corpus_terms(spark, folder):
     """Terms of documents with the rows and places that have them."""
-    return _doc_index(spark, folder).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _postings(spark, folder).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {_POST}, {_QT}, {_BM}, {_BT} SELECT query, rank, doc_id, score FROM bt WHERE rank < 5")
@@ -569,23 +576,25 @@ def closure_check(spark, folder):
 
 
 _LOG = "lg AS (SELECT DISTINCT ON (result_id) result_id, source, notices FROM conversion_results)"
+_SKIPS = "sk AS (SELECT source AS path, bool_or(notices IS NOT NULL) AS has_reason FROM (SELECT DISTINCT ON (result_id) * FROM conversion_results) WHERE length(coalesce(text, '')) < 600 OR notices IS NOT NULL GROUP BY source)"
 
 
-@query(f"WITH {_LOG} SELECT source AS path, bool_or(result_id % 4 > 1) AS has_reason FROM lg WHERE result_id % 2 = 1 GROUP BY source")
+@query(f"WITH {_SKIPS} SELECT path, has_reason FROM sk")
 def skip_ledger(spark, folder):
     """Skipped sources read from log texts, and whether a reason is given."""
     return verify.skip_ledger(_logs(spark, folder), "result_id")
 
 
 def _logs(spark, folder) -> DataFrame:
-    r = _results(spark, folder, "source").filter("result_id % 2 = 1")
-    reason = F.when(F.col("result_id") % 4 > 1, "- 原因：unreadable\n").otherwise("- 原因： \n")
+    """A log of what was left out: files with hardly any text or with notices, which are the reason."""
+    r = _results(spark, folder, "source", "text", "notices").filter((F.length(F.coalesce("text", F.lit(""))) < 600) | F.col("notices").isNotNull())
+    reason = F.when(F.col("notices").isNotNull(), F.concat(F.lit("- 原因："), F.coalesce(F.get("notices", F.lit(0)), F.lit("noticed")), F.lit("\n"))).otherwise("- 原因： \n")
     return r.select("result_id", F.concat(F.lit("# log\n\n## [2030-01-02] skip | "), "source", F.lit("\n"), reason, F.lit("## [2030-01-03] note\n- 原因：not a skip\n")).alias("text"))
 
 
 @query(
-    f"""WITH {_LOG}, s AS (SELECT source AS path, bool_or(result_id % 4 > 1) AS has_reason FROM lg WHERE result_id % 2 = 1 GROUP BY source), ci AS (SELECT DISTINCT regexp_replace(source, '/([0-9]+-[0-9]+)_[^/]*\\z', '/originals/\\1') AS stem FROM chunks), p AS (SELECT DISTINCT source AS path FROM lg),
-    st AS (SELECT path, CASE WHEN regexp_replace(path, '\\.[a-z0-9]+\\z', '') IN (SELECT stem FROM ci) THEN 'cited' WHEN has_reason THEN 'skipped' ELSE 'unresolved' END AS state FROM p LEFT JOIN s USING (path))
+    f"""WITH {_LOG}, {_SKIPS}, ci AS (SELECT DISTINCT regexp_replace(source, '/([0-9]+-[0-9]+)_[^/]*\\z', '/originals/\\1') AS stem FROM chunks), p AS (SELECT DISTINCT source AS path FROM lg),
+    st AS (SELECT path, CASE WHEN regexp_replace(path, '\\.[a-z0-9]+\\z', '') IN (SELECT stem FROM ci) THEN 'cited' WHEN has_reason THEN 'skipped' ELSE 'unresolved' END AS state FROM p LEFT JOIN sk USING (path))
     SELECT state, count(*) AS n FROM st GROUP BY state"""
 )
 def coverage_ledger(spark, folder):
@@ -641,13 +650,12 @@ def graph_distances(spark, folder):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey % 7)::INTEGER + 100 AS b FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach)
+    """WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey + 1000 AS a, s_nationkey::BIGINT AS b FROM supplier), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach)
     SELECT node, min(reach) AS component FROM r GROUP BY node"""
 )
 def graph_components(spark, folder):
-    """Connected components of a graph of nations and groups of customers."""
-    e = table(spark, folder, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("a"), ((F.col("c_custkey") % 7).cast("int") + 100).alias("b"))
-    return components(e)
+    """Connected components of the graph of suppliers and nations."""
+    return components(table(spark, folder, "supplier").select((F.col("s_suppkey") + 1000).alias("a"), F.col("s_nationkey").cast("bigint").alias("b")))
 
 
 _TERMS = "tm AS (SELECT DISTINCT substring(title, 1, 4) AS term FROM case_files WHERE title IS NOT NULL)"
