@@ -285,8 +285,11 @@ class Model:
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model of at most `rows` documents, those whose ids have the lowest hashes."""
-    some = documents.filter("text is not null").select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(rows)
-    return Model.train([r.text for r in some.collect()])
+    hashed = documents.filter("text is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # of texts, only those of the rows chosen reach the driver
+    if last is None:
+        return Model.train([])
+    return Model.train([r.text for r in hashed.filter(F.col("h") <= last).orderBy("h", "doc_id").limit(rows).collect()])
 
 
 def repair(results: DataFrame, documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
