@@ -103,3 +103,31 @@ def tokens(text: Column) -> Column:
     han = F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]+"), 0)
     pairs = F.flatten(F.transform(han, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1))), lambda i: F.substring(h, i, F.lit(2)))))
     return F.concat(F.filter(words, lambda w: F.length(w) <= 40), pairs)
+
+
+def mark_images(c: Column) -> Column:
+    """Image references as marks with the file's name, else the alternative text, else `未命名`."""
+    mark = lambda name: f"〔图像：{name} —— 已省略未保留，请查原件〕"
+    named = F.regexp_replace(c, r"!\[[^\]\n]*\]\((?:[^()\n]*/)?([^()/\n]+)\)", mark("$1"))
+    alt = F.regexp_replace(named, r"!\[([^\]\n]+)\]\([^)\n]*\)", mark("$1"))
+    bare = F.regexp_replace(alt, r"!\[\]\([^)\n]*\)", mark("未命名"))
+    tagged = F.regexp_replace(bare, r"<img [^>]*src=\"(?:[^\"\n]*/)?([^\"/\n]+)\"[^>]*>", mark("$1"))
+    return F.regexp_replace(F.regexp_replace(tagged, r"<img[^>]*>", mark("未命名")), r"<div[^>]*>\s*</div>", "")
+
+
+def json_slice(c: Column) -> Column:
+    """The outermost braces of a text and what is between them; null without any."""
+    found = F.regexp_extract(c, r"\{[\s\S]*\}", 0)
+    return F.when(found != "", found)
+
+
+def safe_asset(path: Column) -> Column:
+    """Whether a path is relative and never leads upwards."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    return ~path.rlike(r"\A([/\\]|[A-Za-z]:)") & ~F.array_contains(parts, "..")
+
+
+def context(text: Column, quote: Column, width: int = 120) -> Column:
+    """A quote in its text with `width` characters on either side; null where it isn't there."""
+    at = F.position(quote, text)
+    return F.when(at > 0, F.substring(text, F.greatest(at - width, F.lit(1)), F.least(at - 1, F.lit(width)) + F.length(quote) + width))

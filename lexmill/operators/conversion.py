@@ -60,6 +60,20 @@ def quality(results: DataFrame) -> DataFrame:
     return each.withColumn("suspect", suspect)
 
 
+def reasons(assessed: DataFrame) -> Column:
+    """The signs of `quality` in words, in a fixed order (fixed texts)."""
+    per_page = F.floor(F.col("n_chars") / F.col("pages"))
+    return F.array_compact(
+        F.array(
+            F.when(F.col("n_chars") < LEAST_CHARS, F.format_string("near-empty output (%d chars)", F.col("n_chars"))),
+            F.when((F.col("pages") >= 2) & (per_page < LEAST_PER_PAGE), F.format_string("avg %d chars/page over %d pages", per_page, F.col("pages"))),
+            F.when(F.col("garbled") > MOST_GARBLED, F.format_string("garbled-char ratio %.1f%%", F.col("garbled") * 100)),
+            F.when(F.col("most_repeated") > MOST_REPEATED, F.format_string("line repeated %dx (possible OCR loop)", F.col("most_repeated"))),
+            F.when(F.col("low") > 0, F.format_string("%d low-confidence OCR region(s), min %.2f", F.col("low"), F.array_min("confidences"))),
+        )
+    )
+
+
 def _longest_run(ordered: Column) -> Column:
     """How often the most frequent item of a sorted array comes, in one pass."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))

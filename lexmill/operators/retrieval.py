@@ -21,10 +21,11 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return t.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, key: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: DataFrame, key: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, scope: str | None = None) -> DataFrame:
     """query, rank (from 0), key and score of the k best rows for each query (query, term). Ties by key.
 
-    Document frequencies are needed for the queries' terms only, and are counted for those.
+    Document frequencies are needed for the queries' terms only, and are counted for those. With `scope`, a column of the index, a query
+    ranks only the rows whose scope is its name; statistics are those of all rows.
     """
     terms = queries.select("query", "term").distinct()
     wanted = terms.select("term").distinct()
@@ -33,7 +34,8 @@ def bm25(index: DataFrame, key: str, queries: DataFrame, k: int, k1: float = 1.2
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0)))
-    scored = hits.join(idf, "term").join(terms, "term").groupBy("query", key).agg(F.round(F.sum(part), 4).alias("score"))
+    asked = hits.join(terms, "term") if scope is None else hits.join(terms.withColumn(scope, F.col("query")), ["term", scope])
+    scored = asked.join(idf, "term").groupBy("query", key).agg(F.round(F.sum(part), 4).alias("score"))
     return ranked(scored, key, k)
 
 

@@ -716,3 +716,116 @@ def evidence_bundle(spark, folder):
     line = F.substring(X.snippet(F.col("text")), 1, 120)
     texts = d.select("doc_id", X.anchor(F.concat(F.lit("_md/"), "doc_id", F.lit(".md")), line, F.lit(False)).alias("anchor"))
     return hits.join(texts, "doc_id", "left").join(heads, "doc_id", "left").select("query", "rank", "doc_id", "score", "anchor", F.coalesce("n_headings", F.lit(0)).alias("n_headings"), "first_heading")
+
+
+# --- further text and file rules
+
+
+@query(
+    f"""WITH {_R}, q AS (SELECT result_id, pages, confidences, length(regexp_replace(coalesce(text, ''), '{_WS}', '', 'g')) AS n FROM r), m AS (SELECT result_id, CASE WHEN n < 20 THEN 'near-empty output (' || n || ' chars)' END AS a,
+    CASE WHEN pages >= 2 AND floor(n / pages) < 50 THEN 'avg ' || floor(n / pages)::BIGINT || ' chars/page over ' || pages || ' pages' END AS b,
+    CASE WHEN len(list_filter(confidences, lambda c: c < 0.6)) > 0 THEN len(list_filter(confidences, lambda c: c < 0.6)) || ' low-confidence OCR region(s), min ' || printf('%.2f', round(list_min(confidences), 2)) END AS c FROM q)
+    SELECT result_id, concat_ws('; ', a, b, c) AS reasons FROM m WHERE coalesce(a, b, c) IS NOT NULL"""
+)
+def quality_messages(spark, folder):
+    """What speaks against a conversion, in words (without the signs that SQL counts otherwise)."""
+    q = conversion.quality(_results(spark, folder, "text", "pages", "confidences"))
+    said = F.filter(conversion.reasons(q), lambda x: ~x.startswith("garbled") & ~x.startswith("line repeated"))
+    return q.select("result_id", F.array_join(said, "; ").alias("reasons")).filter("reasons != ''")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, '![' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(source, 'x') END || '](' || CASE WHEN doc_id % 2 = 0 THEN 'img/' || doc_id || '.png' ELSE '' END || ') <div> </div>' AS text FROM documents)
+    SELECT doc_id, '〔图像：' || CASE WHEN doc_id % 2 = 0 THEN doc_id || '.png' WHEN doc_id % 3 = 0 THEN '未命名' ELSE (SELECT coalesce(source, 'x') FROM documents d WHERE d.doc_id = p.doc_id) END || ' —— 已省略未保留，请查原件〕 ' AS marked FROM p"""
+)
+def image_marks(spark, folder):
+    """Marks in place of images, named after their file, their text or nothing."""
+    alt = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.coalesce("source", F.lit("x")))
+    target = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("img/"), F.col("doc_id"), F.lit(".png"))).otherwise("")
+    page = F.concat(F.lit("!["), alt, F.lit("]("), target, F.lit(") <div> </div>"))
+    return table(spark, folder, "documents").select("doc_id", X.mark_images(page).alias("marked"))
+
+
+@query(r"""WITH j AS (SELECT doc_id, regexp_extract(text, '\{[\s\S]*\}') AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(x) AS n_chars, md5(x) AS digest FROM j WHERE x <> ''""")
+def json_slices(spark, folder):
+    """What looks like an object in texts, as it is cut out of a model's answer."""
+    d = table(spark, folder, "documents").select("doc_id", X.json_slice(F.col("text")).alias("x")).filter("x is not null")
+    return d.select("doc_id", F.length("x").alias("n_chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
+@query(
+    r"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://([A-Za-z0-9.-]+|\[[0-9a-fA-F:]+\])', 1)) AS host FROM documents WHERE text IS NOT NULL)
+    SELECT host, count(*) AS n, (host IN ('localhost', '[::1]') OR starts_with(host, '127.')) AS loopback FROM u GROUP BY host"""
+)
+def url_hosts(spark, folder):
+    """Hosts that texts link to, and whether they are this machine."""
+    found = F.regexp_extract_all(F.col("text"), F.lit(r"https?://([A-Za-z0-9.-]+|\[[0-9a-fA-F:]+\])"), 1)
+    hosts = table(spark, folder, "documents").select(F.explode(found).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+    return hosts.withColumn("loopback", F.col("host").isin("localhost", "[::1]") | F.col("host").startswith("127."))
+
+
+@query(f"WITH {_R} SELECT result_id, source NOT LIKE '%..%' AND source NOT LIKE '/%' AS safe, ('../' || source) LIKE '/%' AS up_is_safe FROM r")
+def asset_safety(spark, folder):
+    """Whether the paths of files, and the same paths one level up, may be written below a folder."""
+    r = _results(spark, folder, "source")
+    return r.select("result_id", X.safe_asset(F.col("source")).alias("safe"), X.safe_asset(F.concat(F.lit("../"), "source")).alias("up_is_safe"))
+
+
+@query(
+    """WITH h AS (SELECT doc_id, regexp_replace(text, '(?m)^#{3,6}([ \t])', '##\\1', 'g') AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(x) AS digest FROM h"""
+)
+def heading_levels(spark, folder):
+    """Texts whose headings go down to the second level at most."""
+    d = table(spark, folder, "documents").filter("text is not null")
+    return d.select("doc_id", F.md5(F.regexp_replace("text", r"(?m)^#{3,6}([ \t])", "##$1").cast("binary")).alias("digest"))
+
+
+@query(
+    """WITH q AS (SELECT doc_id, text, substring(text, 200, 15) AS quote FROM documents WHERE length(text) > 260), p AS (SELECT *, instr(text, quote) AS pos FROM q)
+    SELECT doc_id, md5(substring(text, greatest(pos - 120, 1), least(pos - 1, 120) + length(quote) + 120)) AS digest FROM p"""
+)
+def claim_context(spark, folder):
+    """Quotes of texts in their surroundings."""
+    d = table(spark, folder, "documents").filter(F.length("text") > 260).withColumn("quote", F.substring("text", 200, 15))
+    return d.select("doc_id", F.md5(X.context(F.col("text"), F.col("quote")).cast("binary")).alias("digest"))
+
+
+@query(
+    f"""WITH {_R}, {_C}, d AS (SELECT case_id, count(*) AS n_documents FROM documents GROUP BY case_id), f AS (SELECT case_id, count(*) AS n_results FROM r GROUP BY case_id), g AS (SELECT case_id, count(*) AS n_chunks FROM c GROUP BY case_id)
+    SELECT k.case_id, coalesce(n_documents, 0) AS n_documents, coalesce(n_results, 0) AS n_results, coalesce(n_chunks, 0) AS n_chunks, (court IS NULL OR status IS NULL) AS incomplete FROM case_files k LEFT JOIN d ON d.case_id = k.case_id LEFT JOIN f ON f.case_id = k.case_id LEFT JOIN g ON g.case_id = k.case_id"""
+)
+def case_check(spark, folder):
+    """What each case has of everything that it should have."""
+    k = table(spark, folder, "case_files")
+    d = table(spark, folder, "documents").groupBy("case_id").agg(F.count("*").alias("n_documents"))
+    f = _results(spark, folder, "case_id").groupBy("case_id").agg(F.count("*").alias("n_results"))
+    g = _chunks(spark, folder, "case_id").groupBy("case_id").agg(F.count("*").alias("n_chunks"))
+    j = k.join(d, "case_id", "left").join(f, "case_id", "left").join(g, "case_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "n_results", "n_chunks")]
+    return j.select("case_id", *counts, (F.col("court").isNull() | F.col("status").isNull()).alias("incomplete"))
+
+
+@query()
+def answer_gate(spark, folder):
+    """Pages as drafts of answers: citations that fail, lines without one, and the code that the gate ends with."""
+    pages = _pages(spark, folder)
+    sources = table(spark, folder, "documents").filter("text is not null").select(F.concat(F.lit("_md/"), "doc_id", F.lit(".md")).alias("source"), F.col("text").alias("body"), (F.col("doc_id") % 3 == 0).alias("suspect"))
+    failed = verify.verify_anchors(verify.anchors(pages, "doc_id"), sources).groupBy("doc_id").agg(F.count_if(F.col("verdict") != "ok").alias("n_failed"))
+    bare = verify.unanchored(pages, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_bare"))
+    j = pages.select("doc_id").join(failed, "doc_id", "left").join(bare, "doc_id", "left")
+    n = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_failed", "n_bare")]
+    return j.select("doc_id", *n).withColumn("exit_code", F.when((F.col("n_failed") > 0) | (F.col("n_bare") > 0), 1).otherwise(0))
+
+
+@query(
+    f"""WITH {_C}, tk AS (SELECT chunk_id, case_id, {_TOKENS.format('text')} AS terms FROM c WHERE text IS NOT NULL), po AS (SELECT chunk_id, case_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, case_id, len(terms) AS dl, unnest(terms) AS term FROM tk) GROUP BY ALL),
+    qt AS (SELECT DISTINCT case_id, term FROM (SELECT case_id, unnest({_TOKENS.format('title')}) AS term FROM case_files WHERE title IS NOT NULL)), bs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT chunk_id, dl FROM po)), bd AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+    sc AS (SELECT po.case_id AS query, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 4) AS score FROM po JOIN qt ON qt.case_id = po.case_id AND qt.term = po.term JOIN bd ON bd.term = po.term, bs GROUP BY po.case_id, chunk_id),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc) SELECT query, rank, chunk_id, score FROM rk WHERE rank < 3"""
+)
+def case_search(spark, folder):
+    """The best chunks of each case for its title, where the case is a filter before the ranking."""
+    c = _chunks(spark, folder, "case_id", "text").filter("text is not null")
+    index = Stages(spark, "cases").write("postings", retrieval.postings(c, "chunk_id", F.col("text")).join(c.select("chunk_id", F.col("case_id").alias("scope")), "chunk_id"))
+    asked = table(spark, folder, "case_files").filter("title is not null").select(F.col("case_id").alias("query"), F.explode(X.tokens(F.col("title"))).alias("term")).distinct()
+    return retrieval.bm25(index, "chunk_id", asked, 3, scope="scope").select("query", "rank", "chunk_id", "score")
