@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.checkpoints import Stages
 from lexmill.functions import text as X
-from lexmill.operators import conversion, graph, retrieval, sections, verify
+from lexmill.operators import conversion, evidence, graph, retrieval, sections, verify
 from lexmill.operators.components import components
 from lexmill.session import ship, table
 
@@ -675,16 +675,9 @@ def _terms(spark, folder) -> DataFrame:
 
 
 def _grep(spark, folder) -> DataFrame:
-    from pyspark.sql import Window
-
     terms = _terms(spark, folder).withColumn("wanted", X.norm_quote(F.col("term")))
-    # the terms are those of the 240 fixed case files; the lines are read once and never shuffled
     rows = sections.lines(table(spark, folder, "documents"), "doc_id").select("doc_id", "line_no", X.norm_quote(F.col("line")).alias("norm")).filter("norm != ''")
-    hits = rows.join(F.broadcast(terms), F.expr("contains(norm, wanted)")).select("term", "doc_id", "line_no")
-    order = Window.partitionBy("term").orderBy("doc_id", "line_no")
-    found = hits.withColumn("k", F.row_number().over(order)).filter("k <= 21")
-    many = found.filter("k = 21").select("term", F.lit(True).alias("truncated"))
-    return found.filter("k <= 20").join(many, "term", "left").select("term", "doc_id", "line_no", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return evidence.capped(evidence.find_terms(rows, terms))
 
 
 @query(f"WITH {_TERMS}, {_LINES}, n AS (SELECT {_NORM_SQL.format('line')} AS norm FROM l) SELECT term FROM tm WHERE NOT EXISTS (SELECT 1 FROM n WHERE contains(norm, {_NORM_SQL.format('term')}))")

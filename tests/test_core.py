@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import conversion, graph, retrieval, sections, verify
+from lexmill.operators import conversion, evidence, graph, retrieval, sections, verify
 from lexmill.operators.components import components
 from lexmill.plans import catalogue
 
@@ -136,6 +136,24 @@ def test_retrieval(spark):
     assert [(r.id, r.score) for r in retrieval.fuse(a, b, "id", 5).orderBy("rank").collect()] == [(20, round(1 / 61 + 1 / 60, 6)), (10, round(1 / 60, 6)), (30, round(1 / 61, 6))]
 
 
+def test_terms(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i, "甲乙丙" if i % 2 else "乙") for i in range(50)] + [(2, 0, "none")], "doc_id bigint, line_no int, norm string")
+    terms = spark.createDataFrame([("a", "甲乙"), ("b", "乙"), ("c", "丁"), ("d", ""), ("e", "乙"), ("b", "乙")], "term string, wanted string")
+    want = sorted([("a", 1, i) for i in range(1, 50, 2)] + [(t, 1, i) for t in "be" for i in range(50)])
+    assert sorted(tuple(r) for r in evidence.find_terms(rows, terms).collect()) == want
+    assert evidence.find_terms(rows, terms.filter("term = 'd'")).count() == 0
+    first = evidence.capped(evidence.find_terms(rows, terms)).collect()
+    assert all(r.truncated for r in first) and sorted((r.term, r.line_no) for r in first) == sorted([("a", i) for i in range(1, 40, 2)] + [(t, i) for t in "be" for i in range(20)])
+    monkeypatch.setattr(evidence, "MOST_TERMS", 1)
+    assert sorted(tuple(r) for r in evidence.find_terms(rows, terms).collect()) == want
+
+
+def test_small_text_rules(spark):
+    assert one(spark, X.mark_images, "a ![x](d/p.png) ![alt]() ![]() <img src=\"d/q.jpg\" w=1><div> </div>") == "a 〔图像：p.png —— 已省略未保留，请查原件〕 〔图像：alt —— 已省略未保留，请查原件〕 〔图像：未命名 —— 已省略未保留，请查原件〕 〔图像：q.jpg —— 已省略未保留，请查原件〕"
+    assert one(spark, X.json_slice, 'x {"a": {"b": 1}} y') == '{"a": {"b": 1}}' and one(spark, X.json_slice, "none") is None
+    assert [one(spark, X.safe_asset, p) for p in ("a/b.png", "../a", "/a", "a/../b", "C:\\a", "a..b")] == [True, False, False, False, False, True]
+
+
 def test_graphs(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
