@@ -293,7 +293,7 @@ def test_defects_table(spark):
     n = len([x for x in SCAN.split("\n") if x.strip()])
     sure = [0.95] * (n - 1) + [0.4]
     rows = [
-        (1, "local:a", SCAN, sure, None, ""), (1, "local:a", SCAN, sure, None, ""), (2, "cloud:b", clean, [0.7, 0.95], None, ""), (3, "markitdown", SCAN, None, None, ""), (4, "local:a", None, None, None, ""), (5, "local:a", "", [], None, ""),
+        (1, "local:a", SCAN, sure, None, ""), (1, "local:a", SCAN, sure, None, ""), (2, "cloud:b", clean, [0.7, 0.95], None, ""), (3, "native", SCAN, None, None, ""), (4, "local:a", None, None, None, ""), (5, "local:a", "", [], None, ""),
         (6, "local:a", clean, [0.9], None, ""), (7, "local:a", "x" * 100000, [0.95], None, ""), (8, None, clean, None, None, ""), (9, "local:a", clean.replace("pay", "pav"), [0.5, 0.95], None, ""),
     ]
     results = spark.createDataFrame(rows, RESULTS)
