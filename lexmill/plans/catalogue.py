@@ -325,20 +325,23 @@ def split_units(spark, folder):
 @query()
 def chunk_document(spark, folder):
     """Documents in chunks of up to 384 tokens that overlap by up to 100 and don't cross sections."""
-    s = sections.sections(table(spark, folder, "documents"), "doc_id").withColumn("key", F.concat_ws("/", "doc_id", "sec"))
-    units = sections.paragraphs(s, "key", "body")
-    chunks = sections.packed(units, ["key"], "par_no", "par", 384, 100)
-    return chunks.join(s.select("key", "doc_id", "sec", "heading_path"), "key").select("doc_id", "sec", "chunk", "heading_path", "n_tokens", "text")
+    keys = ["doc_id", "sec", "heading_path"]
+    units = sections.units(sections.sections(table(spark, folder, "documents"), "doc_id"), keys, 384, "body")
+    return sections.packed(units, keys, "unit_no", "unit", 384, 100).select("doc_id", "sec", "chunk", "heading_path", "n_tokens", "text")
 
 
 @query()
 def chunk_hierarchical(spark, folder):
     """Children of up to 192 tokens within parents of up to 1600, with the parent's number."""
     s = sections.sections(table(spark, folder, "documents"), "doc_id").withColumn("key", F.concat_ws("/", "doc_id", "sec"))
-    parents = sections.packed(sections.paragraphs(s, "key", "body"), ["key"], "par_no", "par", 1600)
-    parents = parents.select("key", F.col("chunk").alias("parent_ord"), F.concat_ws("/", "key", "chunk").alias("parent"), "text")
-    children = sections.packed(sections.paragraphs(parents, "parent", "text"), ["parent"], "par_no", "par", 192, 32)
-    return children.join(parents.select("parent", "key", "parent_ord"), "parent").select("key", "parent_ord", "chunk", "n_tokens", "text")
+    parents = sections.packed(sections.units(s, ["key"], 1600, "body"), ["key"], "unit_no", "unit", 1600).withColumnRenamed("chunk", "parent_ord")
+    return sections.packed(sections.units(parents, ["key", "parent_ord"], 192), ["key", "parent_ord"], "unit_no", "unit", 192, 32).select("key", "parent_ord", "chunk", "n_tokens", "text")
+
+
+@query()
+def table_split(spark, folder):
+    """Tables of documents in pieces of up to 96 tokens, each under the table's head."""
+    return sections.table_pieces(table(spark, folder, "documents"), ["doc_id"], 96)
 
 
 # --- retrieval

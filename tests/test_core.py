@@ -212,3 +212,34 @@ def test_query_runs(spark, small, name):
 def test_chunks_keep_the_budget(spark, small):
     rows = catalogue.queries()["chunk_document"](spark, small).filter("chunk > 0 or n_tokens <= 384")
     assert rows.filter("n_tokens > 384 and text like '%\n\n%'").count() == 0
+
+
+def test_units_keep_the_limit(spark):
+    assert sections.split_prose("a\n \nb", 10) == ["a", "b"]
+    sentence = "字" * 149 + "。"
+    assert sections.split_prose(sentence * 2, 384) == [sentence * 2] and sections.split_prose(sentence * 3, 384) == [sentence] * 3
+    assert sections.split_prose("字" * 10, 4) == ["字" * 4, "字" * 4, "字" * 2]
+    assert sections.split_structured("前\n一、甲（一）乙\n（二）丙，本院认为丁依第八条戊", 384) == ["前", "一、甲（一）乙", "（二）丙，", "本院认为丁依", "第八条戊"]
+    head, rows = "| 甲 | 乙 |\n|---|---|", [f"| {i} | 内容内容 |" for i in range(30)]
+    block = "\n".join([head, *rows])
+    assert sections.split_structured(f"前\n{block}\n后", 384) == ["前", block, "后"]
+    pieces = sections.split_structured(block, 40)
+    assert len(pieces) > 1 and all(p.startswith(head + "\n") for p in pieces) and [r for p in pieces for r in p.split("\n")[2:]] == rows
+    rng = random.Random(5)
+    for limit in (7, 40, 192):
+        for _ in range(60):
+            text = "".join(rng.choice(["字" * rng.randint(1, 300), "x" * rng.randint(1, 1500), "。", "\n", "\n\n", "\n| " + "格" * rng.randint(1, 200) + " | 1 |\n", "\n|--|--|\n", "第三条"]) for _ in range(rng.randint(1, 25)))
+            out = sections.split_structured(text, limit)
+            assert all(0 < sections.count_tokens(u) <= limit for u in out)
+            left = "".join("".join(out).split())
+            assert "|" in text or left == "".join(text.split())
+            assert {c: left.count(c) >= text.count(c) for c in "字x格。第"} == dict.fromkeys("字x格。第", True)
+    texts = ["", "字", "abc", "abcd字e", "𠀀一龥\n"]
+    counted = spark.createDataFrame([(t,) for t in texts], "x string").select("x", sections.approximate_tokens(F.col("x")).alias("n")).collect()
+    assert {r.x: r.n for r in counted} == {t: sections.count_tokens(t) for t in texts}
+
+
+@pytest.mark.parametrize("name, limit", [("chunk_document", 384), ("chunk_hierarchical", 192), ("table_split", 96)])
+def test_no_chunk_is_above_its_limit(spark, small, name, limit):
+    rows = catalogue.queries()[name](spark, small)
+    assert rows.count() > 0 and rows.filter(F.col("n_tokens") > limit).count() == 0
