@@ -1,4 +1,4 @@
-"""Lines that have given terms, exactly, with a cap for each term that is reported."""
+"""Lines that have given terms, exactly, with a cap for each term that is reported; all evidence for questions in one table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+
 #: Terms that are looked for at once, in every task; more of them are joined instead.
 MOST_TERMS, MOST_CHARS = 100_000, 8_000_000
 
@@ -47,3 +49,28 @@ def capped(hits: DataFrame, most: int = 20) -> DataFrame:
     found = hits.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy("doc_id", "line_no"))).filter(F.col("k") <= most + 1)
     more = found.filter(F.col("k") == most + 1).select("term", F.lit(True).alias("truncated"))
     return found.filter(F.col("k") <= most).join(more, "term", "left").select("term", "doc_id", "line_no", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def bundle(hits: DataFrame, asked: DataFrame, grep: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """All evidence for each query, in rows of four kinds.
+
+    `hit`: what retrieval found (query, rank, doc_id, score), with its whole text as one line in the anchor. `grep`: the lines (term, doc_id, line_no,
+    truncated) that have the exact terms asked for (query, term), anchored as well. `not_found`: terms asked for that no line has. `outline`: every
+    heading of the documents searched; these rows hold for all queries and stand once, with a null query.
+    """
+    quoted = lambda text, quote: X.anchor(F.concat(F.lit("_md/"), "doc_id", F.lit(".md")), X.snippet(quote), F.coalesce(X.frontmatter_field(text, "quality") == "suspect", F.lit(False)))
+    text = F.col("text")
+    docs = docs.filter("text is not null").select("doc_id", "text")
+    # Only the texts that were hit are shuffled; a hit without a text stays.
+    whole = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", quoted(text, X.body(text)).alias("anchor"))
+    counts = heads.groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.min_by("title", "idx").alias("first_heading"))
+    first = hits.join(whole, "doc_id", "left").join(counts, "doc_id", "left").select(F.lit("hit").alias("kind"), "query", "rank", "doc_id", "score", "anchor", F.coalesce("n_headings", F.lit(0)).alias("n_headings"), "first_heading")
+    asked = asked.distinct()
+    lines = docs.join(grep, "doc_id").select("term", "doc_id", "line_no", "truncated", quoted(text, F.get(F.split(text, "\r?\n", -1), F.col("line_no"))).alias("anchor"))
+    second = asked.join(lines, "term").withColumn("kind", F.lit("grep"))
+    third = asked.join(grep.select("term").distinct(), "term", "left_anti").withColumn("kind", F.lit("not_found"))
+    fourth = heads.withColumn("kind", F.lit("outline"))
+    out = first
+    for rows in (second, third, fourth):
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out

@@ -705,13 +705,14 @@ def ingest_gate(spark, folder):
 
 @query()
 def evidence_bundle(spark, folder):
-    """For each query: its best documents, the snippet of each with an anchor, and the headings of the document."""
-    hits = _hybrid(spark, folder, 8)
-    d = table(spark, folder, "documents").filter("text is not null")
-    heads = sections.outline(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.min_by("title", "idx").alias("first_heading"))
-    line = F.substring(X.snippet(F.col("text")), 1, 120)
-    texts = d.select("doc_id", X.anchor(F.concat(F.lit("_md/"), "doc_id", F.lit(".md")), line, F.lit(False)).alias("anchor"))
-    return hits.join(texts, "doc_id", "left").join(heads, "doc_id", "left").select("query", "rank", "doc_id", "score", "anchor", F.coalesce("n_headings", F.lit(0)).alias("n_headings"), "first_heading")
+    """For each query: its best documents whole, the lines that have the name of its case, that name where no line has it, and the outline of all documents."""
+    stages = Stages(spark, "evidence")
+    d = table(spark, folder, "documents")
+    names = table(spark, folder, "case_files").filter("title is not null").select("case_id", F.substring("title", 1, 4).alias("term"))
+    asked = d.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "case_id").join(names, "case_id").select("query", "term")
+    hits, grep = stages.write("hits", _hybrid(spark, folder, 8)), stages.write("grep", _grep(spark, folder))
+    heads = stages.write("heads", sections.outline(d.filter("text is not null"), "doc_id"))
+    return evidence.bundle(hits, asked, grep, d, heads)
 
 
 # --- further text and file rules

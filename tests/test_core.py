@@ -243,3 +243,28 @@ def test_units_keep_the_limit(spark):
 def test_no_chunk_is_above_its_limit(spark, small, name, limit):
     rows = catalogue.queries()[name](spark, small)
     assert rows.count() > 0 and rows.filter(F.col("n_tokens") > limit).count() == 0
+
+
+def test_evidence_is_whole(spark):
+    long = "前言\n" + "字" * 500 + "\n证据在后"
+    docs = spark.createDataFrame([(1, long), (2, "---\nquality: suspect\n---\n\n# 题\n甲方 a\n## 次"), (3, None)], "doc_id bigint, text string")
+    hits = spark.createDataFrame([(50, 0, 1, 0.5), (50, 1, 2, 0.4), (50, 2, 3, 0.3)], "query bigint, rank int, doc_id bigint, score double")
+    asked = spark.createDataFrame([(50, "甲方"), (50, "无"), (100, "甲方"), (100, "甲方")], "query bigint, term string")
+    grep = spark.createDataFrame([("甲方", 2, 5, True)], "term string, doc_id bigint, line_no int, truncated boolean")
+    rows = evidence.bundle(hits, asked, grep, docs, sections.outline(docs, "doc_id")).collect()
+    of = lambda kind: [r for r in rows if r.kind == kind]
+    assert {r.rank: r.anchor for r in of("hit")} == {0: "〔来源: _md/1.md：「" + long.replace("\n", " ") + "」〕", 1: "〔来源: _md/2.md：「# 题 甲方 a ## 次」〕（未核验）", 2: None}
+    assert {r.rank: (r.n_headings, r.first_heading) for r in of("hit")} == {0: (0, None), 1: (2, "题"), 2: (0, None)}
+    assert sorted((r.query, r.term, r.doc_id, r.line_no, r.truncated, r.anchor) for r in of("grep")) == [(q, "甲方", 2, 5, True, "〔来源: _md/2.md：「甲方 a」〕（未核验）") for q in (50, 100)]
+    assert [(r.query, r.term) for r in of("not_found")] == [(50, "无")]
+    assert sorted((r.query, r.doc_id, r.level, r.title, r.parent_idx) for r in of("outline")) == [(None, 2, 1, "题", None), (None, 2, 2, "次", 0)]
+
+
+def test_evidence_bundle_has_every_channel(spark, small):
+    rows = catalogue.queries()["evidence_bundle"](spark, small)
+    texts = catalogue.table(spark, small, "documents").filter("text is not null")
+    assert rows.filter("kind = 'hit'").join(texts, "doc_id").filter(~F.contains("anchor", X.snippet(X.body(F.col("text"))))).count() == 0
+    assert rows.filter("kind = 'outline'").count() == catalogue.queries()["outline_tree"](spark, small).count() > 0
+    found = {(r.term, r.doc_id, r.line_no, r.truncated) for r in catalogue.queries()["grep_terms"](spark, small).collect()}
+    ours = {(r.term, r.doc_id, r.line_no, r.truncated) for r in rows.filter("kind = 'grep'").collect()}
+    assert ours and ours == {f for f in found if f[0] in {t for t, *_ in ours}}
