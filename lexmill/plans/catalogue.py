@@ -634,6 +634,10 @@ def _graph(spark, folder) -> DataFrame:
     return graph.edges(d.select(F.col("case_id").alias("node"), F.col("source").alias("target")).distinct(), names)
 
 
+def _first_case(spark, folder) -> DataFrame:
+    return table(spark, folder, "documents").filter("case_id is not null and source is not null").agg(F.min("case_id").alias("node"))
+
+
 @query(f"WITH {_GRAPH} SELECT a AS node, count(*) AS degree, min(b) AS first FROM gs GROUP BY a")
 def graph_neighbors(spark, folder):
     """Nodes of the graph with their degrees and first neighbours."""
@@ -647,9 +651,13 @@ def graph_neighbors(spark, folder):
 )
 def graph_distances(spark, folder):
     """Steps from the first case to every node within six."""
-    g = _graph(spark, folder)
-    start = table(spark, folder, "documents").filter("case_id is not null and source is not null").agg(F.min("case_id").alias("node"))
-    return graph.distances(g, start, hops=6).select("node", "distance")
+    return graph.distances(_graph(spark, folder), _first_case(spark, folder), hops=6).select("node", "distance")
+
+
+@query()
+def graph_path(spark, folder):
+    """The shortest path from the first case to every node, however long; null where none leads to it."""
+    return graph.paths(_graph(spark, folder), _first_case(spark, folder))
 
 
 @query(

@@ -268,3 +268,24 @@ def test_evidence_bundle_has_every_channel(spark, small):
     found = {(r.term, r.doc_id, r.line_no, r.truncated) for r in catalogue.queries()["grep_terms"](spark, small).collect()}
     ours = {(r.term, r.doc_id, r.line_no, r.truncated) for r in rows.filter("kind = 'grep'").collect()}
     assert ours and ours == {f for f in found if f[0] in {t for t, *_ in ours}}
+
+
+def test_paths_have_no_limit(spark):
+    rng = random.Random(8)
+    pairs = {(f"n{i:02}", f"n{i + 1:02}") for i in range(14)} | {(f"x{rng.randrange(12):02}", f"x{rng.randrange(12):02}") for _ in range(14)} | {("n00", "x03"), ("n00", "x07"), ("lone", "lost")}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    g = spark.createDataFrame([*pairs, *((b, a) for a, b in pairs)], "a string, b string").distinct()
+    start = spark.createDataFrame([("n00",)], "node string")
+    sides: dict[str, set[str]] = {}
+    for a, b in pairs:
+        sides.setdefault(a, set()).add(b)
+        sides.setdefault(b, set()).add(a)
+    want, queue = {"n00": ["n00"]}, ["n00"]
+    for now in queue:
+        for near in sorted(sides[now]):
+            if near not in want:
+                want[near] = [*want[now], near]
+                queue.append(near)
+    assert len(want["n14"]) == 15 and "lost" not in want
+    assert {r.node: r.distance for r in graph.distances(g, start).collect()} == {n: len(p) - 1 for n, p in want.items()}
+    assert {r.node: (r.hops, r.path) for r in graph.paths(g, start).collect()} == {n: (len(want[n]) - 1, want[n]) if n in want else (None, None) for n in sides}
