@@ -1,9 +1,10 @@
 """Problem 4: texts of scanned pages repaired into continuous paragraphs, and which of them had which defect.
 
 Method. Page furniture goes first: page numbers by their forms and by the order of bare numbers, running headers as lines that come again at the top of
-pages. What remains is one stream of characters without line ends. It is decoded jointly: a beam search over the stream may keep a
-character, undo a confusion of shapes (one character or two for one or two), or at a line's end join the parts of a word, with or without
-the hyphen, or set a blank, each at a cost, plus the surprise of a character trigram model; a line's confidence sets the cost of undoing.
+pages. What remains is decoded line by line: a beam search may keep a character or undo a confusion of shapes (one character for one, or one
+for two), at a cost, plus the surprise of a character trigram model; a line's confidence sets the cost of undoing. Not decoded jointly
+are line ends, hyphens and blanks: a hyphen at a line's end goes by a pattern and one comparison of costs, other lines are joined with a
+blank or nothing by the kind of their letters, and no blank inside a line is set or taken away.
 Where a second reading of the line exists, its differences are the confusions to weigh, and no others are. Paragraphs are then chosen by
 dynamic programming over the line ends: a boundary costs little after a full stop with a blank line or a short line, much in mid-sentence.
 
