@@ -66,7 +66,7 @@ MESSAGES = (
     r"el servicio no está disponible.{0,40}", r"(?:la )?página no (?:encontrada|disponible|existe).{0,30}", r"acceso (?:denegado|no autorizado).{0,50}", r"(?:los )?(?:scripts|cookies) están (?:bloquead|desactivad)[oa]s.{0,50}", r"comprobando (?:que|si) (?:no )?(?:es|eres|usted).{0,50}",
 )
 
-_CODE = r"(?s)```.{0,4000}?```|`[^`\n]{1,300}`"
+_CODE = r"(?s)```.*?```|`[^`\n]++`"
 
 
 def _name() -> str:

@@ -109,6 +109,13 @@ NO_RESIDUE = [
 ]
 
 
+def test_long_code_is_code(spark):
+    fence = "```\n" + "x = 1\n" * 1000 + "{{ client }}\n```"
+    texts = [fence, f"{fence}\nDear {{{{ client }}}},\n{fence}", "Run `" + "x" * 400 + " {{ client }}` now.", f"{fence}\nDear Ms Ashby,\n{fence}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.find_residue(df).collect()} == {1}
+
+
 def test_residue(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(RESIDUE + NO_RESIDUE)], "doc_id bigint, text string, residue string")
     found = {r.doc_id for r in residue.find_residue(df).collect()}
