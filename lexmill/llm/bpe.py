@@ -1,11 +1,12 @@
 """Problem 6: the whole corpus as token ids of a public byte-level BPE, by a trie of the distinct words.
 
-Method: the words (pre-tokens) of a block of texts are found and made distinct by hash; the distinct words form a trie,
+Method: the words (pre-tokens) of a block of texts are found and made distinct (by hash, then compared); the distinct words form a trie,
 and every node holds one state, the last token of the encoding of its prefix. A child's state follows from its ancestors':
 a token t that is a suffix of the prefix is its last token if and only if t and the last token of what is before t stay
 apart under the merges, and exactly one suffix does. So the encoding of a shared prefix is computed once, and a word's ids are
 read back along its own path. The nodes of one depth are handled together, as numpy arrays, rather than one branch after
-the other: each state needs its ancestors' only, so the order makes no difference to the result.
+the other: each state needs its ancestors' only, so the order makes no difference to the result. Below the depth at which
+fewer than FEW words go on, each of these is followed to its end alone, with the same states.
 
 Defined cases: null and empty texts have no ids (an empty list); texts of white space have the ids of their white space;
 strings of special tokens are ordinary text. Rows are never dropped, and repeated rows come out as often as they come in.
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexmill.llm.codepoints import SpanHash, blocks, flatten, mix64
+from lexmill.llm.codepoints import SpanHash, blocks, first_difference, flatten, mix64
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.json"
-#: Words of more bytes than this are encoded one by one, with the same states; a level of the trie would hold few others.
-LONG_WORD = 600
+#: Below this number of words at a depth of the trie, each is followed alone: a matter of cost, not of results.
+FEW = 12
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -141,7 +142,13 @@ class Encoder:
         sizes = np.array([len(w) for w in self.words])
         ends = np.cumsum(sizes)
         self.longest = int(sizes.max())
-        self.token_of = Lookup(SpanHash(flat)(ends - sizes, ends), np.fromiter(self.words.values(), np.int32))
+        ids = np.fromiter(self.words.values(), np.int32)
+        hashes = SpanHash(flat)(ends - sizes, ends)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two tokens of this vocabulary have the same hash")
+        self.token_of = Lookup(hashes, ids)
+        self.bytes_of, self.begin_of, self.size_of = flat, np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        self.begin_of[ids], self.size_of[ids] = ends - sizes, sizes
         self.kinds = _classes()
         self.memo_key, self.memo = np.zeros(1 << self.MEMO, np.uint64), np.zeros(1 << self.MEMO, bool)
 
@@ -220,7 +227,7 @@ class Encoder:
             return Words(none, none, none, none, np.zeros(1, np.int64), none.astype(np.int32))
         start = self.split(codes, offsets)
         end = np.append(start[1:], len(codes))
-        _, first, distinct = np.unique(SpanHash(codes)(start, end), return_index=True, return_inverse=True)
+        first, distinct = self._distinct(codes, start, end)
         text = np.searchsorted(offsets, start, "right") - 1
         size = (end - start)[first]
         ends = np.cumsum(size)
@@ -232,33 +239,50 @@ class Encoder:
         ids, id_offsets = self._encode_distinct(data, np.concatenate(([0], byte_ends)))
         return Words(text, start - offsets[text], np.diff(id_offsets)[distinct], distinct, id_offsets, ids)
 
+    @staticmethod
+    def _distinct(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each distinct word, and the number of every word's own. Words of one hash are compared letter by letter."""
+        _, first, distinct = np.unique(SpanHash(codes)(start, end), return_index=True, return_inverse=True)
+        size, model = end - start, first[distinct]
+        same = size == size[model]
+        same[same] = first_difference(codes, start[same], start[model[same]], size[same]) == size[same]
+        others: dict[bytes, int] = {}
+        more: list[int] = []
+        for i in np.flatnonzero(~same).tolist():
+            word = codes[start[i] : end[i]].tobytes()
+            if word not in others:
+                others[word] = len(first) + len(more)
+                more.append(i)
+            distinct[i] = others[word]
+        return np.append(first, np.array(more, np.int64)), distinct
+
+    def _tokens_at(self, flat: np.ndarray, span: SpanHash, begin: np.ndarray, size: int) -> np.ndarray:
+        """The token of flat[begin:begin+size] for each begin, -1 where there is none. Its bytes are compared, not the hash alone."""
+        t = self.token_of(span(begin, begin + size))
+        may = np.flatnonzero(t >= 0)
+        own, inside = t[may], np.arange(size)
+        good = self.size_of[own] == size
+        good[good] = (flat[begin[may[good], None] + inside] == self.bytes_of[self.begin_of[own[good], None] + inside]).all(1)
+        t[may[~good]] = -1
+        return t
+
     def _encode_distinct(self, data: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words data[cuts[i]:cuts[i+1]], flat, and their offsets."""
         words = [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=words.__getitem__)
-        done: dict[int, list[int]] = {i: self._encode_long(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        order = sorted(range(len(words)), key=words.__getitem__)
+        n, token, length, base, size = self._trie([words[i] for i in order])
         counts = np.zeros(len(words), np.int64)
-        state = None
-        if order:
-            state = self._trie([words[i] for i in order])
-            counts[order] = state[0]
-        for i, ids in done.items():
-            counts[i] = len(ids)
+        counts[order] = n
         offsets = np.concatenate(([0], np.cumsum(counts)))
         out = np.zeros(offsets[-1], np.int32)
-        if state is not None:
-            n, token, length, base, size = state
-            to, at = offsets[np.array(order)], size.copy()
-            live = np.arange(len(order))
-            left = n.copy()
-            while len(live):  # from each word's end back along its path
-                here = base[live] + at[live]
-                left[live] -= 1
-                out[to[live] + left[live]] = token[here]
-                at[live] -= length[here]
-                live = live[at[live] > 0]
-        for i, ids in done.items():
-            out[offsets[i] : offsets[i + 1]] = ids
+        to, at = offsets[np.array(order)], size.copy()
+        live, left = np.arange(len(order)), n.copy()
+        while len(live):  # from each word's end back along its path
+            here = base[live] + at[live]
+            left[live] -= 1
+            out[to[live] + left[live]] = token[here]
+            at[live] -= length[here]
+            live = live[at[live] > 0]
         return out, offsets
 
     def _trie(self, words: list[bytes]):
@@ -275,11 +299,15 @@ class Encoder:
             mid = (low + high + 1) // 2
             same = span(begin, begin + mid) == span(begin[before], begin[before] + mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        shared = low
+        shared = first_difference(flat, begin, begin[before], low)  # equal hashes may say more than is equal, never less
         token, length, count = (np.zeros(len(flat) + len(words), np.int32) for _ in range(3))
         alive = np.arange(len(words))
         for depth in range(1, int(size.max()) + 1):
             alive = alive[size[alive] >= depth]
+            if len(alive) < FEW:
+                for i in alive.tolist():
+                    self._follow(words[i], depth, int(base[i]), token, length, count)
+                break
             new = shared[alive] < depth
             new[0] = True
             nodes = alive[new]
@@ -287,10 +315,7 @@ class Encoder:
             todo = np.arange(len(nodes))
             for k in range(1, min(depth, self.longest) + 1):
                 at = nodes[todo]
-                if k == 1:
-                    t = self.token_of(span(begin[at] + depth - 1, begin[at] + depth))
-                else:
-                    t = self.token_of(span(begin[at] + depth - k, begin[at] + depth))
+                t = self._tokens_at(flat, span, begin[at] + depth - k, k)
                 may = np.flatnonzero(t >= 0)
                 if k < depth and len(may):
                     previous = token[base[at[may]] + depth - k]
@@ -308,28 +333,25 @@ class Encoder:
             token[place], length[place], count[place] = token_n[group], length_n[group], count_n[group]
         return count[base + size].astype(np.int64), token, length, base, size
 
-    def _encode_long(self, word: bytes) -> list[int]:
-        """One word by the same states, for words that are too long to share levels with others."""
-        last, size = [0] * (len(word) + 1), [0] * (len(word) + 1)
+    def _follow(self, word: bytes, depth: int, base: int, token: np.ndarray, length: np.ndarray, count: np.ndarray) -> None:
+        """The states of one word's prefixes from `depth` bytes on, where those of the shorter ones are known."""
+        end = base + len(word) + 1
+        last, size, n = (a[base:end].tolist() for a in (token, length, count))
         known: dict[tuple[int, int], bool] = {}
-        for depth in range(1, len(word) + 1):
-            for k in range(1, min(depth, self.longest) + 1):
-                t = self.words.get(word[depth - k : depth])
+        for d in range(depth, len(word) + 1):
+            for k in range(1, min(d, self.longest) + 1):
+                t = self.words.get(word[d - k : d])
                 if t is None:
                     continue
-                if k < depth:
-                    pair = (last[depth - k], t)
+                if k < d:
+                    pair = (last[d - k], t)
                     if pair not in known:
                         known[pair] = bool(self._stay_apart(np.array(pair[:1]), np.array(pair[1:]))[0])
                     if not known[pair]:
                         continue
-                last[depth], size[depth] = t, k
+                last[d], size[d], n[d] = t, k, n[d - k] + 1
                 break
-        out, at = [], len(word)
-        while at:
-            out.append(last[at])
-            at -= size[at]
-        return out[::-1]
+        token[base:end], length[base:end], count[base:end] = last, size, n
 
     def sizes(self) -> np.ndarray:
         """Bytes of each token, by id."""

@@ -43,7 +43,8 @@ class SpanHash:
     """64-bit hashes of any span of a flat array, from one prefix sum.
 
     A span s..e has the hash (C[e] - C[s]) * B^-s with C the sums of mix(c_i) * B^i modulo 2^64; equal spans have equal
-    hashes wherever they lie. The table for code points is built once for each process.
+    hashes wherever they lie. Different spans may have equal ones (there are known words that have, whatever the base), so whoever takes
+    equal hashes for equal spans compares the spans afterwards. The table for code points is built once for each process.
     """
 
     BASE = 0x9E3779B97F4A7C15 | 1
@@ -69,3 +70,15 @@ class SpanHash:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
+
+
+def first_difference(codes: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each pair of spans codes[a:a+size] and codes[b:b+size] the first place where they differ; size where they are equal."""
+    ends = np.cumsum(sizes)
+    out = sizes.copy()
+    if len(ends) and ends[-1]:
+        inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        differ = np.flatnonzero(codes[np.repeat(a, sizes) + inside] != codes[np.repeat(b, sizes) + inside])
+        pair, first = np.unique(np.searchsorted(ends, differ, "right"), return_index=True)
+        out[pair] = inside[differ[first]]
+    return out

@@ -39,6 +39,20 @@ def test_ids_equal_the_library_on_random_texts(reference):
         at += n
 
 
+def test_words_of_one_hash_keep_their_own_ids(reference):
+    """Thue-Morse words and their complements have the same polynomial hash modulo 2^64, whatever its base."""
+    texts = []
+    for bits in range(9, 14):
+        for swap in ("ab", "ba"):
+            word = "".join(swap[i.bit_count() % 2] for i in range(1 << bits))
+            texts += [word, "x" + word, word + " " + word[: 1 << 8]]
+    words = bpe.Encoder.of().encode_words(texts)
+    at, flat = 0, words.flat_ids().tolist()
+    for text, n in zip(texts, words.tokens_of_texts(len(texts)).tolist()):
+        assert flat[at : at + n] == reference.encode_ordinary(text), (text[:4], len(text))
+        at += n
+
+
 def test_encode_keeps_all_rows(spark, reference, small):
     rows = [(1, "Hello world"), (2, ""), (3, None), (1, "Hello world"), (4, "  \n"), (5, "合同 " * 20000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as ids", "1 as n_tokens")
