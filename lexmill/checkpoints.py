@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="spark-lexmill-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -28,7 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stages:
-    """Tables of one query, each under a name; a name written again replaces its older table, whose files are deleted."""
+    """Tables of one query, each under a name; a name written again replaces its older table, whose files are deleted.
+
+    What a result still reads can't be deleted before it is read: the folder goes when the application ends, or with `clear`, which a long
+    session calls once a result is written.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", {}
@@ -36,15 +42,26 @@ class Stages:
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
+        where, fs = self._fs(self.root)
+        fs.deleteOnExit(where)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        if name in self.paths:
-            self._delete(self.paths.pop(name))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                self._delete(self.paths.pop(name))
 
-    def _delete(self, path: str) -> None:
+    def clear(self) -> None:
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        where, fs = self._fs(path)
+        fs.delete(where, True)
