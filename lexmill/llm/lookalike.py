@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.checkpoints import Stages
 from lexmill.llm.codepoints import blocks, flatten
 
 #: Letters drawn like a Latin one, by the Latin letter (fixed values: Cyrillic, Greek and others).
@@ -40,6 +41,8 @@ HYPHENS = [0x2D, 0x2010, 0x2011, 0xFE63, 0xFF0D]
 #: Blocks whose compatibility mapping keeps the look: ligatures, half and full width, radicals, compatibility ideographs.
 SAME_LOOK = [*range(0x2E80, 0x2FD6), *range(0xF900, 0xFB07), *range(0xFF01, 0xFFEF), *range(0x2F800, 0x2FA20)]
 DELETE, SPECIAL = 0xFFFFFFFF, 0xFFFFFFFE
+#: Parts into which the rows with one string are split.
+SLOTS = 1024
 _WORD = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ԯ԰-֏Ꭰ-ᏽɐ-ʯᴀ-ỿ]+")
 
 
@@ -207,7 +210,7 @@ def digests(texts: DataFrame, pairs: dict[str, float]) -> DataFrame:
                 codes, offsets = forms.codes(texts[a:b])
                 data, at = codes.tobytes(), (offsets * 4).tolist()
                 form = [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(at[:-1], at[1:])]
-                raw = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in texts[a:b]]
+                raw = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts[a:b]]
                 ink = np.add.reduceat(np.append((codes != 0x20) & ~((codes >= 9) & (codes <= 13)), False), np.minimum(offsets[:-1], len(codes))) > 0
                 ink &= np.diff(offsets) > 0
                 one = pa.array(ink)
@@ -219,15 +222,42 @@ def digests(texts: DataFrame, pairs: dict[str, float]) -> DataFrame:
     return texts.filter("text is not null").mapInArrow(run, "tbl string, id bigint, form binary, raw binary").dropDuplicates(["tbl", "id"])
 
 
+def _members(chunks: DataFrame, results: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (tbl, form, raw, slot, id) of the forms that more than one string has, and how many have each (tbl, form, raw, slot).
+
+    A slot is a part of the rows with one string: SLOTS of them, by the hash of the id, so that a string which a third of all rows have is
+    never one key. Forms of a single string, however often it recurs, go no further than the counts.
+    """
+    texts = texts_of(chunks, results)
+    stages = Stages(texts.sparkSession, label)
+    found = stages.write("digests", digests(texts, letter_pairs(texts)).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS))))
+    parts = found.groupBy("tbl", "form", "raw", "slot").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    several = parts.groupBy("tbl", "form").agg((F.min("raw") != F.max("raw")).alias("several")).filter("several").select("tbl", "form")
+    parts = stages.write("parts", parts.join(several, ["tbl", "form"], "left_semi"))
+    members = found.join(parts.select("tbl", "form", "raw", "slot"), ["tbl", "form", "raw", "slot"], "left_semi")
+    return members, parts
+
+
 def alike_pairs(chunks: DataFrame, results: DataFrame) -> DataFrame:
     """Pairs of rows of one table whose texts look the same but are different strings.
 
-    Only forms that more than one string has are joined, so literal repetitions alone make no pairs and no traffic.
+    The slots of one string are paired with those of another string of the same form, and only then expanded into rows: no two equal strings
+    ever meet, and the pairs of slots are never more than the pairs of rows.
     """
-    texts = texts_of(chunks, results)
-    found = digests(texts, letter_pairs(texts))
-    several = found.groupBy("tbl", "form").agg((F.min("raw") != F.max("raw")).alias("several")).filter("several").select("tbl", "form")
-    rows = found.join(several, ["tbl", "form"], "left_semi")
-    a = rows.select("tbl", "form", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = rows.select("tbl", "form", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, ["tbl", "form"]).filter("id_a < id_b and raw_a != raw_b").select("tbl", "id_a", "id_b")
+    members, parts = _members(chunks, results, "alike")
+    one, two = (parts.select("tbl", "form", F.col("raw").alias(f"raw_{k}"), F.col("slot").alias(f"slot_{k}")) for k in "ab")
+    pairs = one.join(two, ["tbl", "form"]).filter("raw_a < raw_b")
+    for k in "ab":
+        own = members.select("tbl", "form", F.col("raw").alias(f"raw_{k}"), F.col("slot").alias(f"slot_{k}"), F.col("id").alias(f"id_{k}"))
+        pairs = pairs.join(own, ["tbl", "form", f"raw_{k}", f"slot_{k}"])
+    return pairs.select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def alike_groups(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """tbl, id, group (the smallest id with this form), variant (the smallest id with this string), n_variants and n_rows of the group, for every row
+    that looks like a different string. As many rows as members, however many copies there are."""
+    members, parts = _members(chunks, results, "looks")
+    strings = parts.groupBy("tbl", "form", "raw").agg(F.sum("n").alias("n"), F.min("least").alias("variant"))
+    forms = strings.groupBy("tbl", "form").agg(F.min("variant").alias("group"), F.count("*").alias("n_variants"), F.sum("n").alias("n_rows"))
+    each = parts.select("tbl", "form", "raw", "slot").join(strings.drop("n"), ["tbl", "form", "raw"]).join(forms, ["tbl", "form"])
+    return members.join(each, ["tbl", "form", "raw", "slot"]).select("tbl", "id", "group", "variant", "n_variants", "n_rows")

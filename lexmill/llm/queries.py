@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
 
 
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row that looks like a different string: its group and its class of equal strings."""
+    return lookalike.alike_groups(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
+
+
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every text."""
     texts = lookalike.texts_of(table(spark, folder, "chunks"), table(spark, folder, "conversion_results"))
@@ -94,7 +99,7 @@ def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(table(spark, folder, "documents")).select("doc_id", "residue")
 
 
-_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_forms, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_packed, *(_packed(n) for n in ("short", "long", "extra")), p8_found, p8_kept, p8_kinds)
+_ALL = (p1_found, p1_pieces, p2_found, p2_restored, p3_found, p3_groups, p3_forms, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_packed, *(_packed(n) for n in ("short", "long", "extra")), p8_found, p8_kept, p8_kinds)
 
 
 def queries() -> dict:
