@@ -166,7 +166,18 @@ def test_alike_pairs(spark):
     results = spark.createDataFrame([(1, "e", "copy of it", None, None, "x"), (20, "e", "m²", None, None, ""), (21, "e", "m2", None, None, "")], RESULTS)
     got = sorted(tuple(r) for r in lookalike.alike_pairs(chunks, results).collect())
     assert got == [("chunks", 1, 2), ("chunks", 1, 7), ("chunks", 2, 3), ("chunks", 2, 7), ("chunks", 3, 7)]
-    assert lookalike.alike_pairs(chunks.limit(0), results.limit(0)).count() == 0
+    groups = {(r.tbl, r.id): (r.group, r.variant, r.n_variants, r.n_rows) for r in lookalike.alike_groups(chunks, results).collect()}
+    assert groups == {("chunks", i): (1, 1 if i == 3 else i, 3, 4) for i in (1, 2, 3, 7)}
+    assert lookalike.alike_pairs(chunks.limit(0), results.limit(0)).count() == 0 and lookalike.alike_groups(chunks.limit(0), results.limit(0)).count() == 0
+
+
+def test_a_text_copied_very_often_with_one_disguise(spark):
+    n = 100_000
+    chunks = spark.range(n + 1).selectExpr("id as chunk_id", f"if(id = {n // 2}, 'сору of it', 'copy of it') as text")
+    results = spark.createDataFrame([], RESULTS)
+    pairs = lookalike.alike_pairs(chunks, results)
+    assert pairs.count() == n == pairs.filter(f"id_a = {n // 2} or id_b = {n // 2}").count()
+    assert lookalike.alike_groups(chunks, results).groupBy("group", "variant", "n_variants", "n_rows").count().count() == 2
 
 
 # --- 5: near-duplicates
@@ -339,6 +350,7 @@ def test_packing(spark):
     for items in (4000, 40):
         got = packing.pack(documents, 512, items=items).toPandas()
         assert (got.groupby("container").n_tokens.sum() <= 512).all()
+        assert sorted(got.container.unique()) == list(range(got.container.nunique()))
         sizes = got.groupby("doc_id").n_tokens.sum()
         assert set(sizes.index) == {i for i, c in counts.items() if c[0]} and all(sizes[i] in counts[i] for i in sizes.index)
         assert not got.duplicated(["doc_id", "part"]).any() and got[got.doc_id != 900].groupby("doc_id").size().max() == 1
@@ -349,9 +361,26 @@ def test_packing(spark):
 
 def test_local_search_beats_best_fit():
     rng = np.random.default_rng(6)
-    sizes = rng.integers(150, 700, 600)
-    one = packing.fill_bins(sizes, 1000, turns=0).max()
-    assert packing.fill_bins(sizes, 1000).max() <= one
+    for low, high, n in ((200, 500, 600), (250, 600, 800)):
+        sizes = rng.integers(low, high, n)
+        one, two = (packing.fill_bins(sizes, 1000, search) for search in (False, True))
+        assert two.max() < one.max()
+        fills = [np.bincount(of, sizes) for of in (one, two)]
+        assert (fills[1] ** 2).sum() > (fills[0] ** 2).sum() and fills[1].max() <= 1000
+    hard = np.array([502] * 6 + [254] * 6 + [252] * 6 + [246] * 12)  # best fit needs 11 containers, 9 are enough
+    assert packing.fill_bins(hard, 1000, False).max() == 10 and packing.fill_bins(hard, 1000).max() == 8
+
+
+def test_items_of_one_size_and_of_more_than_half():
+    """Very many items of one size, and items of which no two go together, end without a search through all of them."""
+    assert packing.fill_bins(np.full(4000, 300), 1000).max() == 1333
+    assert packing.fill_bins(np.full(4000, 501), 1000).max() == 3999
+
+
+def test_items_that_never_go_together_stay_in_their_neighbourhoods(spark):
+    documents = spark.range(600).selectExpr("id as doc_id", "repeat(' a', 300) as text")
+    got = packing.pack(documents, 512, items=50).toPandas()
+    assert sorted(got.container) == list(range(600)) and (got.n_tokens == 300).all()
 
 
 # --- registration
