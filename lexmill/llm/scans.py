@@ -1,282 +1,258 @@
 """Problem 4: texts of scanned pages repaired into continuous paragraphs, and which of them had which defect.
 
-Method. Page furniture goes first: page numbers by their forms and by the order of bare numbers, running headers as lines that come again at the top of
-pages. What remains is decoded line by line: a beam search may keep a character or undo a confusion of shapes (one character for one, or one
-for two), at a cost, plus the surprise of a character trigram model; a line's confidence sets the cost of undoing. Not decoded jointly
-are line ends, hyphens and blanks: a hyphen at a line's end goes by a pattern and one comparison of costs, other lines are joined with a
-blank or nothing by the kind of their letters, and no blank inside a line is set or taken away.
-Where a second reading of the line exists, its differences are the confusions to weigh, and no others are. Paragraphs are then chosen by
-dynamic programming over the line ends: a boundary costs little after a full stop with a blank line or a short line, much in mid-sentence.
+Method. Page furniture goes first: each line's evidence is added up (does it come again, letter for letter but for misread shapes; does it stand at a page's edge;
+do the lines around it go on without it; is it made of what furniture is made of elsewhere), and so is that of numbers alone on a line. What remains is one stream of characters, in which
+words are segmented jointly (lexmill.llm.lattice): splits, merges, confusions, hyphens and line ends are edges of one lattice, and the cheapest path is the reading.
+A file is hyphenated where that path takes a hyphen out of a word. It is misread where, over all lines, the chance that none has a wrong character is below
+one half; a line's chance comes from its confidence, its second reading and all alternatives that the lattice has for it.
+Paragraphs are then chosen by dynamic programming over the line ends: a boundary costs little after a full stop with a blank line
+or a short line, much in mid-sentence, and more right after another one.
 
-The trigram model has a fixed number of buckets (SLOTS) and is counted in the tasks over the lines of all texts that aren't of low confidence.
+A wrong digit that only its line's confidence betrays is found, but left as it is: nothing says which digit the page has.
+
+The counts behind the model have a fixed size. They are summed in the tasks, then over FAN groups of tasks, then over those.
 
 Defined cases: only texts whose engine is `local:` or `cloud:` are scans; null, empty and blank texts have no defect; a result delivered twice counts once, and
-of several second readings the least text counts; confidences that are null, or not as many as lines, are no evidence; so is a second reading of another number of lines.
+of several second readings the least text counts; confidences that are null, or not as many as lines, are no evidence; of a second reading of another number of lines
+only its count of mismatched numbers is: where it is 0, no digit is taken for a wrong one.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.codepoints import blocks, flatten, mix64
-
-SLOTS = 1 << 19
-#: What a scan may show for what the page has (fixed values: shapes that are easily taken for each other).
-CONFUSIONS = [
-    *("Z2 21 2Z l1 1l 71 17 |1 1| I1 1I Il lI 0o o0 0O O0 〇0 0〇 60 06 38 83 B8 8B b6 6b 65 56 5S S5 5s s5 94 49 ce ec bh hb ft tf !i i! i1 1i".split()),
-    *("陷限 限陷 同司 司同 么公 公么 曰日 日曰 台合 合台 干于 于干 讧证 证讧 末未 未末 入人 人入 贷货 货贷 冋同 田由 由田 歉款 款歉 木本 本木 朗期 期朗 己已 已己 准淮 淮准".split()),
-]
-PAIRS = {"ii": "u", "rn": "m", "vv": "w", "ri": "n", "cl": "d", "II": "ll", "帐长": "账"}
-BY_SHAPE: dict[str, list[str]] = {}
-for _c in CONFUSIONS:
-    BY_SHAPE.setdefault(_c[0], []).append(_c[1])
+from lexmill.llm.lattice import BY_SHAPE, HAN_SHAPES, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Model, decode, han_gains, is_wide, shape, tokens, variants
+
 NUMBER = r"[0-9lIOoZSB〇|]{1,4}"
 PAGE = re.compile(
     rf"[—–\-·•\[(（]\s*{NUMBER}\s*[—–\-·•\])）]|第\s*{NUMBER}\s*页(?:\s*[，,/]?\s*共\s*{NUMBER}\s*页)?|{NUMBER}\s*/\s*{NUMBER}|(?i:p\.|pp\.|s\.|pág\.|page|seite|página|pagina|folio)\s*{NUMBER}(?:\s*(?:of|von|sur|de|/)\s*{NUMBER})?"
 )
 BARE = re.compile(r"\d{1,4}")
-HEADER_SHAPE = re.compile(r"（.{4}）.{2,8}[民刑行执]初.{1,5}号.{2,}|.+人民法院卷宗副本|.+ v .+ \(.+\)|.+ V .+ \(.+\)|.+ \./\. .+|.+ c\. .+ \(.+\)|.*\b(?:Registry|Registre|Registro|Register)\b.{0,24}(?:copy|copie|copia|kopie|file|dossier|expediente|akte).{0,20}", re.I)
-TAIL = re.compile(rf"[\s　]{{2,}}({NUMBER})$")
+TAIL = re.compile(rf"(?<!\s)\s{{2,}}+({NUMBER})$")
 DIGITS = str.maketrans("lI|OoZSB〇", "111002580")
-#: Shapes that no word or number has: a digit inside a word, a letter inside a number.
-STRANGE = re.compile(r"[a-zà-ÿ]{2}[01568][a-zà-ÿ]{2}|[A-Z][01568][a-z]{3}|\d[OlSZB〇]\d|[a-z]{3}[015][a-z]?(?= |$)")
 FULL_STOP = re.compile(r"[。！？.!?:：；;][”’\"»」』）)]*$")
-CUT = re.compile(r"([^\W\d_]+)[-‐‑¬­]$")
-#: Below LOW a confidence is low; below SURE it is proof, and up to DOUBT it is evidence that needs another.
-LOW, SURE, DOUBT = 0.87, 0.60, 0.745
-
-
-class Trigrams:
-    """Surprise of characters after the two before them, from hashed counts."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.total = counts, max(1, int(counts.sum()))
-        self.known: dict[str, float] = {}
-
-    @staticmethod
-    def slots(codes: np.ndarray, width: int) -> np.ndarray:
-        h = np.zeros(len(codes) - width + 1, np.uint64)
-        for k in range(width):
-            h = h * np.uint64(0x2545F4914F6CDD1D) + codes[k : len(codes) - width + 1 + k].astype(np.uint64)
-        return (mix64(h + np.uint64(width)) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-    def cost(self, gram: str) -> float:
-        """Nats for the last of three characters."""
-        if gram not in self.known:
-            codes = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
-            three, two = self.counts[self.slots(codes, 3)[0]], self.counts[self.slots(codes[:2], 2)[0]]
-            pair, one = self.counts[self.slots(codes[1:], 2)[0]], self.counts[self.slots(codes[1:2], 1)[0]]
-            p = 0.75 * three / (two + 2.0) + 0.2 * pair / (one + 5.0) + 1e-6
-            self.known[gram] = -float(np.log(p))
-            if len(self.known) > 400_000:
-                self.known.clear()
-                self.known[gram] = -float(np.log(p))
-        return self.known[gram]
-
-    def line(self, text: str) -> float:
-        padded = "  " + text
-        return sum(self.cost(padded[i : i + 3]) for i in range(len(padded) - 2))
+MARKED = re.compile(r"[|#>*\-]|\d+[.、)]|第.{1,4}条")
+EDGE = " \t\r﻿"
+#: Below this confidence a line isn't counted for the model.
+LOW = 0.87
+#: Groups of tasks whose counts are added up first.
+FAN, WIDTH = 1024, 8192
 
 
-def is_scan(engine):
-    return engine.startswith("local:") | engine.startswith("cloud:")
+def _classes() -> dict[str, str]:
+    """One letter for all that may be taken for each other, where two different digits never get the same."""
+    groups: dict[str, set[str]] = {}
+    for a, others in BY_SHAPE.items():
+        for b in others:
+            if len(a) == len(b) == 1:
+                both = groups.get(a.lower(), {a.lower()}) | groups.get(b.lower(), {b.lower()})
+                if sum(c.isdigit() and c != "〇" for c in both) < 2:
+                    for c in both:
+                        groups[c] = both
+    return {c: min(g) for c, g in groups.items()}
 
 
-def trigrams(results: DataFrame) -> Trigrams:
-    """The model, summed over all texts; digits count as one of three kinds, so that numbers don't fill the table."""
+CLASS = _classes()
 
-    def count(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            texts, trust = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                kept = []
-                for text, c in zip(texts[a:b], trust[a:b]):
-                    lines = [x for x in text.split("\n") if x.strip()]
-                    if c and len(c) == len(lines):
-                        lines = [x for x, y in zip(lines, c) if y is None or y >= LOW]
-                    kept.append("  " + "\n  ".join(x.strip() for x in lines))
-                codes, _ = flatten(kept)
-                for width in (1, 2, 3):
-                    if len(codes) >= width:
-                        total += np.bincount(Trigrams.slots(codes, width), minlength=SLOTS)
-        parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(64, -1)
-        used = [i for i in range(64) if parts[i].any()]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in used], pa.binary())})
 
-    def add(rows):
-        import pandas as pd
+FOLD = str.maketrans(CLASS | dict.fromkeys(" \t\u00a0\u3000"))
 
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in rows["counts"])
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    schema = "part int, counts binary"
-    some = results.filter("text is not null").select("text", "confidences")
-    parts = some.mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect()  # 64 parts of SLOTS / 64 counts
-    counts = np.zeros((64, SLOTS // 64), np.int64)
-    for row in parts:
-        counts[row.part] = np.frombuffer(row.counts, np.int32)
-    return Trigrams(counts.ravel())
+def key_of(line: str) -> str:
+    """A line up to case, blanks, misread shapes and a number set off at its end; its other digits count."""
+    line = TAIL.sub("", line)
+    for a, b in PAIRS.items():
+        if a in line:
+            line = line.replace(a, b)
+    return line.lower().translate(FOLD)
 
 
 class Page:
     """The lines of one scan, sorted into furniture and body."""
 
-    def __init__(self, text: str, confidences: list | None, second: str | None):
-        self.lines = [x.strip(" \t\r﻿") for x in text.split("\n")]
-        full = [i for i, x in enumerate(self.lines) if x.strip()]
-        self.confidence: dict[int, float] = dict(zip(full, confidences)) if confidences and len(confidences) == len(full) else {}
+    def __init__(self, text: str, confidences: list | None, second: str | None, model: Model, mismatches: int | None = None):
+        self.lines = [x.strip(EDGE) for x in text.split("\n")]
+        self.full = [i for i, x in enumerate(self.lines) if x.strip()]
+        self.confidence: dict[int, float] = {i: c for i, c in zip(self.full, confidences) if c is not None} if confidences and len(confidences) == len(self.full) else {}
         other = second.split("\n") if second else []
-        self.second: dict[int, str] = {i: other[i].strip(" \t\r﻿") for i in full} if len(other) == len(self.lines) else {}
-        self.numbers, self.headers, self.numbered = self._furniture(full)
-        self.body = [i for i in full if i not in self.numbers and i not in self.headers]
-
-    def _furniture(self, full: list[int]) -> tuple[set[int], set[int], bool]:
-        numbers = {i for i in full if PAGE.fullmatch(self.lines[i])}
-        bare = [i for i in full if BARE.fullmatch(self.lines[i])]
-        at = {i: k for k, i in enumerate(full)}
-        alone = [i for i in bare if not any(0 <= at[i] + d < len(full) and full[at[i] + d] in bare for d in (-1, 1))]
-        run: list[int] = []
-        best: list[int] = []
-        for i in alone:  # the longest rise by one
-            run = [*run, i] if run and int(self.lines[i]) == int(self.lines[run[-1]]) + 1 else [i]
-            best = max(best, run, key=len)
-        if len(best) > 1 or best and (at[best[0]] in (0, len(full) - 1) or self._breaks(full, at[best[0]])):
-            numbers |= set(best)
-        rest = [i for i in full if i not in numbers]
-        keys = {i: self._key(self.lines[i]) for i in rest if 6 <= len(self.lines[i]) <= 90}
-        many = Counter(keys.values())
-        headers = {i for i, k in keys.items() if many[k] > 1 and not FULL_STOP.search(self.lines[i]) and not self.lines[i].startswith("|")}
-        for k in {keys[i] for i in headers}:  # a sentence's line may come twice by chance; a header is set off by its shape or place
-            own = [i for i in headers if keys[i] == k]
-            if not HEADER_SHAPE.fullmatch(self.lines[own[0]]) and not (sum(self._top(i, numbers) for i in own) >= 0.6 * len(own) and len(own) > 1):
-                headers -= set(own)
-        headers |= {i for i in rest[1:] if HEADER_SHAPE.fullmatch(self.lines[i]) and len(self.lines[i]) <= 70 and not FULL_STOP.search(self.lines[i]) and i in keys}
-        tails = [int(m.group(1).translate(DIGITS)) for i in sorted(headers) if (m := TAIL.search(self.lines[i]))]
-        return numbers, headers, len(tails) > 1 and len(set(tails)) > 1 or len(tails) == 1 and len(headers) == 1
-
-    def _breaks(self, full: list[int], k: int) -> bool:
-        """Whether a line stands between two parts of one sentence."""
-        return 0 < k < len(full) - 1 and not FULL_STOP.search(self.lines[full[k - 1]]) and not self.lines[full[k - 1]].startswith("|") and len(self.lines[full[k - 1]]) > 12
-
-    def _top(self, i: int, numbers: set[int]) -> bool:
-        return i == 0 or not self.lines[i - 1].strip() or i - 1 in numbers or not FULL_STOP.search(self.lines[i - 1])
-
-    @staticmethod
-    def _key(line: str) -> str:
-        """A line up to case, misread shapes and a number at its end."""
-        line = TAIL.sub("", line)
-        for a, b in PAIRS.items():
-            line = line.replace(a, b)
-        return "".join(FOLD.get(c, c) for c in line.lower()).replace(" ", "").replace("　", "")
-
-
-def _fold() -> dict[str, str]:
-    groups: dict[str, set[str]] = {}
-    for c in CONFUSIONS:
-        a, b = c[0].lower(), c[1].lower()
-        both = groups.get(a, {a}) | groups.get(b, {b})
-        for x in both:
-            groups[x] = both
-    return {x: min(g) for x, g in groups.items()}
-
-
-FOLD = _fold()
-
-
-def decode(line: str, model: Trigrams, undo: float, second: str | None = None, beam: int = 12) -> tuple[str, float]:
-    """The best reading of a line and how many nats it is better than the line as it is. `undo`: cost of undoing a confusion."""
-    if second is not None and len(second) == len(line):
-        allowed = {i: [second[i]] for i in range(len(line)) if second[i] != line[i]}
-    else:
-        allowed = None
-    beams = {0: {"  ": (0.0, "")}}
-    size = len(line)
-    for i in range(size):
-        here = beams.pop(i, None)
-        if not here:
-            continue
-        moves = [(line[i], 1, 0.0)]
-        for to in (allowed.get(i, []) if allowed is not None else BY_SHAPE.get(line[i], [])):
-            moves.append((to, 1, undo))
-        if allowed is None and line[i : i + 2] in PAIRS:
-            moves.append((PAIRS[line[i : i + 2]], 2, undo))
-        for context, (cost, made) in sorted(here.items(), key=lambda x: x[1][0])[:beam]:
-            for to, used, extra in moves:
-                c, after = cost + extra, context
-                for letter in to:
-                    c += model.cost(after + letter)
-                    after = after[1:] + letter
-                states = beams.setdefault(i + used, {})
-                if after not in states or c < states[after][0]:
-                    states[after] = (c, made + to)
-    cost, made = min(beams[size].values())
-    return made, model.line(line) - cost
-
-
-PUNCTUATION = str.maketrans("，。：；！？（）", ",.:;!?()")
-
-
-def misread(page: Page, i: int, model: Trigrams, restore: bool = True) -> tuple[bool, str]:
-    """Whether a line has a character that its page doesn't have, and, with `restore`, the line as it should be."""
-    line, c, other = page.lines[i], page.confidence.get(i), page.second.get(i)
-    if c is not None and c >= DOUBT:
-        if STRANGE.search(line) and (other is None or other != line):  # seldom, and only with proof
-            made, gain = decode(line, model, 9.0)
-            return gain > 3.0, made
-        return False, line
-    undo = 9.0 if c is None else 2.0 + 10.0 * max(0.0, c - 0.5)
-    if other is not None:
-        if line.translate(PUNCTUATION) == other.translate(PUNCTUATION):
-            return False, line
-        aligned = other if len(other) == len(line) else None
-        if aligned is not None:  # punctuation of the second engine is no evidence
-            aligned = "".join(a if a.translate(PUNCTUATION) == b.translate(PUNCTUATION) else b for a, b in zip(line, aligned))
-        if c is not None:
-            if c < SURE and not restore:
-                return True, line
-            better = model.line(other.translate(PUNCTUATION)) <= model.line(line.translate(PUNCTUATION)) + 3.0
-            return (c < SURE or better), decode(line, model, 0.0, aligned)[0] if better else line
-        if aligned is None:
-            better = model.line(other.translate(PUNCTUATION)) < model.line(line.translate(PUNCTUATION))
-            return better, other if better else line
-        made, gain = decode(line, model, 1.0, aligned)
-        return made != line and gain > 1.0, made
-    if c is not None and c < SURE and not restore:
-        return True, line
-    made, gain = decode(line, model, undo)
-    if c is None:
-        return gain > 2.0, made
-    return c < SURE or gain > 0.5, made
-
-
-def hyphenated(page: Page, model: Trigrams) -> list[tuple[int, int]]:
-    """Pairs of body lines of which the first ends in a part of a word that the second goes on with."""
-    out = []
-    for i, j in zip(page.body, page.body[1:]):
-        m = CUT.search(page.lines[i])
-        after = re.match(r"[^\W\d_]+", page.lines[j])
-        if m and after and m.group(1)[-1].islower() and after.group()[0].islower():
-            left, right = m.group(1)[-6:], after.group()[:6]
-            if model.line(left + right) <= model.line(left + "-" + right) + 1.0:
-                out.append((i, j))
-    return out
-
-
-def defects(page: Page, model: Trigrams) -> list[str]:
-    found = []
-    if hyphenated(page, model):
-        found.append("hyphenation")
-    doubtful = [i for i, x in enumerate(page.lines) if x]
-    if page.confidence:
-        doubtful = sorted((i for i, c in page.confidence.items() if c is not None and (c < DOUBT or STRANGE.search(page.lines[i]))), key=page.confidence.get)
-    if any(misread(page, i, model, False)[0] for i in doubtful):
+        self.second: dict[int, str] = {i: other[i].strip(EDGE) for i in self.full} if len(other) == len(self.lines) else {}
+        self.digits_agree = not self.second and mismatches == 0
+        self.model, self.known = model, None
+        self.numbers = self._page_numbers()
+        self.headers = self._running_headers()
+        tails = [int(m.group(1).translate(DIGITS)) for i in sorted(self.headers) if (m := TAIL.search(self.lines[i]))]
+        self.numbered = len(set(tails)) > 1 or len(tails) == 1 and len(self.headers) == 1
+        self.body = [i for i in self.full if i not in self.numbers and i not in self.headers]
+
+    def _page_numbers(self) -> set[int]:
+        """Lines of a number and little else, by the sum of what speaks for and against."""
+        lines, full = self.lines, self.full
+        bare = {i for i in full if BARE.fullmatch(lines[i])}
+        found, run = set(), {}
+        alone = [i for k, i in enumerate(full) if i in bare and not ({*full[max(0, k - 1) : k], *full[k + 1 : k + 2]} & bare)]
+        start = 0
+        for k in range(1, len(alone) + 1):  # how long the runs are that rise by one
+            if k == len(alone) or int(lines[alone[k]]) != int(lines[alone[k - 1]]) + 1:
+                run |= {i: k - start for i in alone[start:k]}
+                start = k
+        for k, i in enumerate(full):
+            form = bool(PAGE.fullmatch(lines[i]))
+            if i not in bare and not form:
+                continue
+            score = -1.5 + 3.0 * form + 3.0 * (run.get(i, 0) > 1)
+            score += 2.0 * (k in (0, len(full) - 1)) + 2.0 * (k > 0 and self._open(full[k - 1]))
+            score -= 4.0 * (i in bare and i not in run)
+            if score > 0:
+                found.add(i)
+        longest = max((run[i] for i in run), default=0)
+        return {i for i in found if i not in bare or run.get(i, 0) == longest}  # one numbering, not several
+
+    def _open(self, i: int) -> bool:
+        """Whether a line is one of running text that goes on after it."""
+        return not FULL_STOP.search(self.lines[i]) and not self.lines[i].startswith("|") and len(self.lines[i]) > 12
+
+    def _seam(self, a: str, b: str) -> float:
+        """Surprise where one line goes on with another."""
+        between = " " if a[-1:] < "ɐ" and b[:1] < "ɐ" else ""
+        text = shape(a[-2:] + between + b[:2])
+        return sum(self.model.gram(text[k : k + 3]) for k in range(len(text) - 2)) / max(1, len(text) - 2) * 3
+
+    def _running_headers(self) -> set[int]:
+        lines = self.lines
+        rest = [i for i in self.full if i not in self.numbers]
+        if len(rest) < 2:
+            return set()
+        width = float(np.percentile([len(lines[i]) for i in rest], 80))
+        keys = {i: key_of(lines[i]) for i in rest if 6 <= len(lines[i]) <= 1.3 * width + 10}
+        by_key: dict[str, list[int]] = {}
+        for i, key in keys.items():
+            by_key.setdefault(key, []).append(i)
+        order = sorted(by_key)
+        again = {i: len(own) - 1 for own in by_key.values() for i in own}
+        for a, b in zip(order, order[1:]):  # the same with something after it
+            if len(a) >= 8 and b.startswith(a):
+                for i in by_key[a] + by_key[b]:
+                    again[i] += len(by_key[b] if keys[i] == a else by_key[a])
+        scores = {}
+        for k, i in enumerate(rest):
+            if i not in keys:
+                continue
+            line = lines[i]
+            edge = k in (0, len(rest) - 1) or i - 1 in self.numbers or i + 1 in self.numbers or not lines[i - 1].strip() and self._open(rest[k - 1])
+            score = -4.0 + 3.0 * (again[i] > 0) + 1.0 * (again[i] > 1) + 2.0 * edge - 4.0 * bool(FULL_STOP.search(line)) - 4.0 * bool(MARKED.match(line))
+            if score > -5.0 and 0 < k < len(rest) - 1:  # what is left can add 1.5 and 3
+                a, b = lines[rest[k - 1]], lines[rest[k + 1]]
+                score += min(1.5, max(-1.5, (self._seam(a, line) + self._seam(line, b) - 2 * self._seam(a, b)) / 4))
+            if score > -3.0:
+                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(line)))
+            scores[i] = score
+        found = {i for i, score in scores.items() if score > 0}
+        # copies of one line are judged together, and a header that stands first of all is one only if it, or another, comes again
+        for own in by_key.values():
+            if len(own) > 1 and found & set(own):
+                found = found | set(own) if sum(scores[i] for i in own) > 0 else found - set(own)
+        return found if found - {rest[0]} else set()
+
+    # --- misread characters
+
+    def odds(self, i: int, own_tokens: list[tuple[str, int]], han: dict[int, list[tuple[str, str, float]]]) -> tuple[float, float]:
+        """Log-odds that a line (with these tokens) has a character that its page doesn't have, and the price of undoing a confusion in it. `han`: gains of ideographs by line."""
+        model, line, other = self.model, self.lines[i], self.second.get(i)
+        prior = model.odds(self.confidence.get(i))
+        if other is not None:
+            if line.translate(PUNCTUATION) == other.translate(PUNCTUATION):
+                return -12.0, 16.0
+            # one of the two is wrong
+            return prior + math.log((1 - model.slips) / model.slips) + model.line(line) - model.line(other), 16.0
+        gains = [g for _, _, g in han.get(i, ())]
+        sites = len(gains)
+        for token, _ in own_tokens:
+            if not is_wide(token):
+                continue
+            count, cost = model.word(token)
+            if count >= KNOWN and prior < -4.0 and not any(c.isdigit() for c in token):  # a word that is well known gains nothing worth so small a chance
+                sites += sum(len(BY_SHAPE.get(c, ())) for c in token)
+                continue
+            own = shape(token)
+            for v in variants(token):
+                if self.digits_agree and (any(c.isdigit() for c in token) or any(c.isdigit() for c in v)):
+                    continue
+                sites += 1
+                if shape(v) == own:
+                    gains.append(0.0)
+                elif count < KNOWN or model.word(v)[0] > 0:
+                    gains.append(cost - model.word(v)[1])
+        if not sites:
+            return prior - 4.0, 16.0
+        mean = float(np.logaddexp.reduce(gains)) - math.log(sites) if gains else -12.0
+        return prior + mean, max(0.5, math.log(sites) - prior)
+
+    def read(self) -> tuple[list[str], float, list, dict[int, str]]:
+        """Defects but for furniture, with the chance that a line is misread, the path, and the lines as they should be."""
+        if self.known:
+            return self.known
+        body, han = self.body, self._han_gains()
+        chance, prices, made = 1.0, {}, {}
+        split = {i: tokens(self.lines[i]) for i in self.full}
+        for i in self.full:
+            odds, prices[i] = self.odds(i, split[i], han)
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, odds))))
+            chance *= 1 - p
+            made[i] = self.lines[i]
+            if odds > 0 and i in self.second:
+                made[i] = self._aligned(i)
+                split[i] = tokens(made[i])
+            elif odds > 0:
+                for was, to, gain in sorted(han.get(i, ()), key=lambda x: -x[2]):
+                    if gain > max(1.0, prices[i]) and made[i].count(was) == 1:
+                        made[i] = made[i].replace(was, was[0] + to + was[-1] if len(was) == 3 else to)
+                split[i] = tokens(made[i])
+        path, _ = decode([split[i] for i in body], [prices[i] for i in body], self.model)
+        self.known = path, 1 - chance, body, made
+        return self.known
+
+    def _han_gains(self) -> dict[int, list[tuple[str, str, float]]]:
+        """Gains of ideographs in the stream, by line; each with the piece of its line around it."""
+        out: dict[int, list[tuple[str, str, float]]] = {}
+        for part in (self.body, [i for i in self.full if i in self.headers]):
+            rows = [i for i in part if any(c in HAN_SHAPES for c in self.lines[i]) or "帐长" in self.lines[i]]
+            if not rows:
+                continue
+            wanted = set(rows)
+            text, starts = [], []
+            at = 0
+            for i in part:
+                starts.append(at)
+                text.append(self.lines[i])
+                at += len(self.lines[i])
+            edges = np.array(starts)
+            for place, to, gain in han_gains(self.model, "".join(text)):
+                k = int(np.searchsorted(edges, place, "right")) - 1
+                i, p = part[k], place - starts[k]
+                line = self.lines[i]
+                if i in wanted:
+                    inner = 0 < p < len(line) - 1 and line[p : p + 2] not in PAIRS
+                    out.setdefault(i, []).append((line[p - 1 : p + 2] if inner else line[p : p + 2] if line[p : p + 2] in PAIRS else line[p], to, gain))
+        return out
+
+    def _aligned(self, i: int) -> str:
+        """The second reading of a line, with the line's own punctuation where both are as long."""
+        line, other = self.lines[i], self.second[i]
+        if len(line) != len(other):
+            return other
+        return "".join(a if a.translate(PUNCTUATION) == b.translate(PUNCTUATION) else b for a, b in zip(line, other))
+
+
+def defects(page: Page) -> list[str]:
+    path, chance, _, _ = page.read()
+    found = ["hyphenation"] if any(what[0] == "hyphen" for what in path) else []
+    if chance > 0.5:
         found.append("misread")
     if page.headers:
         found.append("running_header")
@@ -285,75 +261,156 @@ def defects(page: Page, model: Trigrams) -> list[str]:
     return found
 
 
-def paragraphs(page: Page, model: Trigrams) -> str:
-    """The body as continuous paragraphs, lines joined and misread characters undone."""
-    body = page.body
+def paragraphs(page: Page) -> str:
+    """The body as continuous paragraphs, in the words of the cheapest path."""
+    path, _, body, made = page.read()
     if not body:
         return ""
-    lines = {i: misread(page, i, model)[1] for i in body}
-    joined = dict(hyphenated(page, model))
-    width = float(np.percentile([len(lines[i]) for i in body], 80))
-    # costs of a boundary after each line, and of none
-    cut, keep = [], []
-    for i, j in zip(body, body[1:]):
-        stop, blank, short = bool(FULL_STOP.search(lines[i])), any(not page.lines[k].strip() for k in range(i + 1, j)), len(lines[i]) < 0.75 * width
-        marked = bool(re.match(r"[|#>*\-]|\d+[.、)]|第.{1,4}条", lines[j])) or lines[i].startswith(("|", "#"))
-        cut.append((0.5 if stop else 5.0) + (0.0 if blank else 1.5) - (2.0 if marked else 0.0) - (3.0 if short and blank else 0.0) + (20.0 if joined.get(i) == j else 0.0))
-        keep.append((2.0 if stop and blank else 0.0) + (2.0 if short else 0.0) + (4.0 if marked else 0.0))
-    best, back = [0.0], [0]
-    for end in range(1, len(body) + 1):  # the cheapest way to end a paragraph after `end` lines
-        options = []
-        inside = 0.0
-        for start in range(end - 1, max(-1, end - 400), -1):
-            options.append((best[start] + inside + (cut[end - 1] if end < len(body) else 0.0) + 0.5, start))
-            if start:
-                inside += keep[start - 1]
-        cost, start = min(options)
-        best.append(cost)
-        back.append(start)
-    cuts, at = [], len(body)
-    while at:
-        cuts.append((back[at], at))
-        at = back[at]
-    out = []
-    for a, b in reversed(cuts):
-        text = lines[body[a]]
-        for i, j in zip(body[a:b], body[a + 1 : b]):
-            if joined.get(i) == j:
-                text = text[:-1] + lines[j]
-            elif lines[i].startswith("|") or lines[j].startswith("|") or BARE.fullmatch(lines[i]) or BARE.fullmatch(lines[j]):
-                text += "\n" + lines[j]
-            else:
-                latin = not (re.search(r"\d[.,]$", text) and lines[j][:1].isdigit()) and text[-1:].isascii() and lines[j][:1].isascii() and not (text[-1:].isdigit() and lines[j][:1].isdigit()) or text[-1:].isalpha() and text[-1:] < "ɐ"
-                text += (" " if latin and lines[j][:1] < "ɐ" else "") + lines[j]
-        out.append(text)
-    return "\n\n".join(out)
+    lines = [made[i] for i in body]
+    joined: set[int] = set()  # line ends at which a word goes on
+    for kind, _, _, k, was, becomes in path:
+        line = lines[k]
+        if kind in ("hyphen", "cut"):
+            joined.add(k)
+            head = re.match(r"(?:[^\W\d_]|!(?=[a-zà-ÿ])|[0-9|](?=[a-zà-ÿ]))+", lines[k + 1])
+            rest = lines[k + 1][len(head.group()) :] if head else lines[k + 1]
+            at = line.rfind(was)
+            lines[k], lines[k + 1] = line[:at] + becomes, rest
+        elif kind == "merge":
+            left, right = was, becomes[len(was) :]
+            lines[k] = re.sub(rf"(?<![^\W_]){re.escape(left)}[ \t ]+{re.escape(right)}(?![^\W_])", lambda _: becomes, line, count=1)
+        else:
+            lines[k] = re.sub(rf"(?<![^\W_]){re.escape(was)}(?![^\W_])", lambda _: becomes, line, count=1)
+    ends = _boundaries(page, lines, joined)
+    out, text = [], lines[0]
+    for k in range(1, len(lines)):
+        a, b = text, lines[k]
+        if k - 1 in joined:
+            text += b
+        elif k - 1 in ends:
+            out.append(text)
+            text = b
+        elif a.startswith("|") or b.startswith("|") or BARE.fullmatch(lines[k - 1]) or BARE.fullmatch(b):
+            text += "\n" + b
+        else:
+            number = re.search(r"\d[.,]?$", a) and b[:1].isdigit() or re.search(r"\d$", a) and re.match(r"[.,]\d", b)
+            code = a.endswith("-") and b[:1].isdigit() or re.search(r"[A-Z]{2}$", a) and re.match(r"-\d", b)
+            latin = not number and not code and a[-1:] < "ɐ" and b[:1] < "ɐ" and not b[:1] in ",.;:)!?%" and a[-1:] != "("
+            text += (" " if latin else "") + b
+    out.append(text)
+    return "\n\n".join(t for t in out if t.strip())
+
+
+def _boundaries(page: Page, lines: list[str], joined: set[int]) -> set[int]:
+    """The line ends at which a paragraph ends: the cheapest sequence of ends and goings-on, where an end right after another costs more."""
+    body = page.body
+    width = float(np.percentile([len(x) for x in lines], 80))
+    best, back = (0.0, 1.5), []  # costs with a paragraph going on, and with one that has just ended
+    for k, (i, j) in enumerate(zip(body, body[1:])):
+        stop, blank, short = bool(FULL_STOP.search(lines[k])), any(not page.lines[x].strip() for x in range(i + 1, j)), len(lines[k]) < 0.75 * width
+        marked = bool(MARKED.match(lines[k + 1])) or lines[k].startswith(("|", "#"))
+        table = lines[k].startswith("|") and lines[k + 1].startswith("|")
+        cut = (0.5 if stop else 5.0) + (0.0 if blank else 1.5) - (2.0 if marked else 0.0) - (3.0 if short and blank else 0.0) + (20.0 if k in joined or table else 0.0) + 0.5
+        keep = (2.0 if stop and blank else 0.0) + (2.0 if short else 0.0) + (4.0 if marked and not table else 0.0)
+        again = 0.0 if marked or short else 1.0  # a paragraph of one full line
+        on = min((best[0], 0), (best[1], 1))
+        end = min((best[0], 0), (best[1] + again, 1))
+        back.append((on[1], end[1]))
+        best = (on[0] + keep, end[0] + cut)
+    ends, state = set(), 0 if best[0] <= best[1] else 1
+    for k in range(len(back) - 1, -1, -1):
+        if state:
+            ends.add(k)
+        state = back[k][state]
+    return ends
+
+
+# --- Spark
+
+
+def is_scan(engine):
+    return engine.startswith("local:") | engine.startswith("cloud:")
+
+
+def _with_second(results: DataFrame, cross_checks: DataFrame) -> DataFrame:
+    """Each result with text once, with what is known of its second reading."""
+    second = cross_checks.groupBy("result_id").agg(F.min("second_text").alias("second_text"), F.max("digit_mismatches").alias("digit_mismatches"))
+    some = results.filter(F.length(F.trim("text")) > 0).select("result_id", "engine", "text", "confidences").dropDuplicates(["result_id"])
+    return some.join(second, "result_id", "left").select("result_id", F.coalesce(is_scan(F.col("engine")), F.lit(False)).alias("scan"), "text", "confidences", "second_text", "digit_mismatches")
+
+
+def learn(rows: DataFrame) -> Model:
+    """The model of all texts: what is counted in a task is added up over groups of tasks and then over the groups, in parts of fixed size."""
+
+    def count(batches):
+        counts, blind = Counts(), Model(np.zeros(SIZE, np.int64))
+        for batch in batches:
+            for scan, text, confidences, second in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                lines = [x.strip(EDGE) for x in text.split("\n")]
+                full = [i for i, x in enumerate(lines) if x.strip()]
+                sure = dict(zip(full, confidences)) if confidences and len(confidences) == len(full) else {}
+                good = {i for i in full if (sure.get(i) or 1.0) >= LOW}
+                if not scan:
+                    counts.text([lines[i] for i in full])
+                    continue
+                page = Page(text, None, None, blind)
+                for i in page.headers:
+                    counts.furniture(lines[i])
+                for part in (page.body, page.headers):
+                    counts.text([lines[i] for i in part if i in good])
+                other = second.split("\n") if second else []
+                if sure and len(other) == len(lines):
+                    for i, c in sure.items():
+                        if c is not None:
+                            counts.twice(c, lines[i].translate(PUNCTUATION) != other[i].strip(EDGE).translate(PUNCTUATION))
+        counts.flush()
+        parts = np.minimum(counts.all, 2**31 - 1).astype(np.int32).reshape(-1, WIDTH)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in used], pa.binary())})
+
+    def add(group):
+        import pandas as pd
+
+        total = np.zeros(WIDTH, np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, np.int32)
+        return pd.DataFrame({"part": group["part"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    schema = "part int, counts binary"
+    counted = rows.select("result_id", "scan", "text", "confidences", "second_text").mapInArrow(count, schema)
+    grouped = counted.withColumn("fan", F.spark_partition_id() % FAN).groupBy("part", "fan").applyInPandas(add, schema)
+    total = np.zeros((SIZE // WIDTH, WIDTH), np.int64)
+    for row in grouped.groupBy("part").applyInPandas(add, schema).collect():  # SIZE counts, whatever the number of texts
+        total[row.part] = np.frombuffer(row.counts, np.int32)
+    return Model(total.ravel())
 
 
 def _run(results: DataFrame, cross_checks: DataFrame, schema: str, make) -> DataFrame:
-    model = results.sparkSession.sparkContext.broadcast(trigrams(results).counts.astype(np.int32))
-    second = cross_checks.groupBy("result_id").agg(F.min("second_text").alias("second_text"))
-    scans = results.filter(is_scan(F.col("engine")) & (F.length(F.trim("text")) > 0)).select("result_id", "text", "confidences").dropDuplicates(["result_id"]).join(second, "result_id", "left")
+    from lexmill.checkpoints import Stages
+
+    rows = Stages(results.sparkSession, "scans").write("rows", _with_second(results, cross_checks))
+    model = learn(rows)
+    sent = rows.sparkSession.sparkContext.broadcast(np.concatenate([model.grams, model.words.ravel(), model.marks, model.bins.ravel()]).astype(np.int32))
 
     def run(batches):
-        trigram = Trigrams(model.value.astype(np.int64))
+        own = Model(sent.value)
         for batch in batches:
-            rows = []
-            for key, text, confidences, other in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += make(key, Page(text, confidences, other), trigram)
-            yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)}, schema=arrow)
+            out = []
+            for key, text, confidences, other, mismatches in zip(*(c.to_pylist() for c in batch.columns)):
+                out += make(key, Page(text, confidences, other, own, mismatches))
+            yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(names)}, schema=arrow)
 
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     arrow = pa.schema([(part.split()[0], kinds[part.split()[1]]) for part in schema.split(", ")])
-    return scans.mapInArrow(run, schema)
+    return rows.filter("scan").select("result_id", "text", "confidences", "second_text", "digit_mismatches").mapInArrow(run, schema)
 
 
 def find_defects(results: DataFrame, cross_checks: DataFrame) -> DataFrame:
     """result_id, defect: one row for each scan and defect."""
-    return _run(results, cross_checks, "result_id bigint, defect string", lambda key, page, model: [(key, d) for d in defects(page, model)])
+    return _run(results, cross_checks, "result_id bigint, defect string", lambda key, page: [(key, d) for d in defects(page)])
 
 
 def repair(results: DataFrame, cross_checks: DataFrame) -> DataFrame:
     """result_id, repaired (continuous paragraphs) and defects of every scan with text."""
-    return _run(results, cross_checks, "result_id bigint, repaired string, defects array<string>", lambda key, page, model: [(key, paragraphs(page, model), defects(page, model))])
+    return _run(results, cross_checks, "result_id bigint, repaired string, defects array<string>", lambda key, page: [(key, paragraphs(page), defects(page))])

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from lexmill.llm import bpe, lookalike, mojibake, neardup, packing, queries, residue, scans, split
+from lexmill.llm import bpe, lattice, lookalike, mojibake, neardup, packing, queries, residue, scans, split
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -310,14 +310,71 @@ enance log within ten working days, and the parties
 signed the agreement t0 pay. The end of the text is here."""
 
 
+EMPTY = lattice.Model(np.zeros(lattice.SIZE, np.int64))
+
+
+@pytest.fixture(scope="module")
+def language():
+    """A model of a small text of its own."""
+    lines = [
+        "the parties agree that the agreement was signed in the presence of both witnesses", "the agreement was signed by the tenant and the landlord in the morning", "the company shall inspect the maintenance log within ten working days",
+        "the court notes that the document was filed in time and that no objection was raised", "双方已经确认货款已经付清", "合同双方已经签署补充协议并已经履行", "公司已经支付全部货款",
+    ] * 20
+    counts = lattice.Counts()
+    counts.text(lines)
+    counts.flush()
+    return lattice.Model(counts.all)
+
+
 def test_page_furniture_and_paragraphs():
-    model = scans.Trigrams(np.zeros(scans.SLOTS, np.int64))
-    page = scans.Page(SCAN, None, None)
+    page = scans.Page(SCAN, None, None, EMPTY)
     assert {page.lines[i] for i in page.headers} == {"（2026）松浦民初2724号判决"} and {page.lines[i] for i in page.numbers} == {"— 1 —", "— 2 —"}
-    assert [page.lines[i] for i, _ in scans.hyphenated(page, model)] == ["The claimant asks that the company inspect the maint-"]
-    text = scans.paragraphs(page, model)
+    text = scans.paragraphs(page)
     assert "maintenance log within ten" in text and "合伙企业（有限合伙）尚应" in text and "— 1 —" not in text and "民初" not in text
-    assert scans.Page("a plain text\nwithout anything", None, None).headers == set()
+    assert scans.Page("a plain text\nwithout anything", None, None, EMPTY).headers == set()
+
+
+@pytest.mark.parametrize("header", ["Minutes of the harbour board, second sitting", "ARKIVEKSEMPLAR TIL RETTEN", "甲乙丙调解笔录摘编", "Akt V/17 - odpis", "Copia para el fiscal del distrito"])
+def test_headers_of_any_kind_at_the_top_of_pages(header):
+    pages = [("The panel heard the first witness at length on the second day and then", "turned to the ledger, which both sides had brought along and"), ("which the clerk had copied out by hand before the sitting so that", "nobody could say any longer which of the entries was the older"), ("one, a point on which counsel for the owners laid great weight when", "the board came to the question of the berth and")]
+    text = "".join(f"{header}\n{a}\n{b}\n- {k} -\n" for k, (a, b) in enumerate(pages, 1)) + "closed the hearing."
+    page = scans.Page(text, None, None, EMPTY)
+    assert {page.lines[i] for i in page.headers} == {header} and len(page.numbers) == 3
+    assert header not in scans.paragraphs(page) and all(x in scans.paragraphs(page) for pair in pages for x in pair)
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [["Instalment of 3000 euro on the account", "Instalment of 8000 euro on the account", "Instalment of 5000 euro on the account"], ["1. 支付租金人民币3000元", "2. 支付租金人民币8000元"], ["数量", "250", "3", "41"], ["Paid in full, room 3", "Paid in full, room 4"]],
+)
+def test_lines_that_differ_in_digits_are_content(lines):
+    text = "The tenant owes the landlord these sums.\n" + "\n".join(lines) + "\nThe claim is allowed."
+    for given in (text, text.replace("\n", "\n\n")):
+        page = scans.Page(given, None, None, EMPTY)
+        assert not page.headers and not page.numbers
+        assert all(x in scans.paragraphs(page) for x in lines)
+
+
+def test_the_lattice_splits_merges_and_joins(language):
+    cases = {
+        "the agree ment was sig ned by the tenant": "the agreement was signed by the tenant", "the agreementwas signed by the tenant": "the agreement was signed by the tenant", "the agreement was sign-\ned by the tenant": "the agreement was signed by the tenant",
+        "the agree\nment was signed by the tenant": "the agreement was signed by the tenant", "the agreemcnt was signed by the tenant": "the agreement was signed by the tenant", "the docurn-\nent was filed in time": "the document was filed in time", "the agreement was\nsigned by the tenant": "the agreement was signed by the tenant",
+    }
+    for given, wanted in cases.items():
+        n = given.count("\n") + 1
+        assert scans.paragraphs(scans.Page(given, [0.7] * n, None, language)) == wanted, given
+    path, _ = lattice.decode([lattice.tokens(x) for x in "the docurn-\nent was filed".split("\n")], [4.0, 4.0], language)
+    assert [(what[0], what[-1]) for what in path] == [("hyphen", "document")]
+    assert scans.defects(scans.Page("双方己经确认货款已经付清", [0.7], None, language)) == ["misread"] and scans.paragraphs(scans.Page("双方己经确认货款已经付清", [0.7], None, language)) == "双方已经确认货款已经付清"
+    assert scans.defects(scans.Page("双方已经确认货款已经付清", [0.99], None, language)) == []
+    # the second reading decides, and where it is silent the count of mismatched numbers does
+    assert scans.defects(scans.Page("the sum of 381 was filed", [0.7], "the sum of 881 was filed", language)) == ["misread"]
+    assert scans.defects(scans.Page("the sum of 381 was filed", [0.3], "the sum of 381 was filed", language)) == []
+
+
+def test_a_paragraph_of_very_many_lines():
+    text = "\n".join("the witness went on to say that the goods which had been" for _ in range(900)) + " sent."
+    assert scans.paragraphs(scans.Page(text, None, None, EMPTY)).count("\n\n") == 0
 
 
 def test_defects_table(spark):
@@ -329,7 +386,7 @@ def test_defects_table(spark):
         (6, "local:a", clean, [0.9], None, ""), (7, "local:a", "x" * 100000, [0.95], None, ""), (8, None, clean, None, None, ""), (9, "local:a", clean.replace("pay", "pav"), [0.5, 0.95], None, ""),
     ]
     results = spark.createDataFrame(rows, RESULTS)
-    checks = spark.createDataFrame([(2, clean), (2, clean), (9, clean), (77, "x")], "result_id bigint, second_text string")
+    checks = spark.createDataFrame([(1, SCAN.replace("t0", "to"), 0, ""), (2, clean, 0, "x"), (2, clean, 0, "x"), (9, clean, 0, None), (77, "x", None, None)], "result_id bigint, second_text string, digit_mismatches int, text string")
     got = sorted(tuple(r) for r in scans.find_defects(results, checks).collect())
     assert got == [(1, "hyphenation"), (1, "misread"), (1, "page_number"), (1, "running_header"), (9, "misread")]
     repaired = {r.result_id: r.repaired for r in scans.repair(results, checks).collect()}
