@@ -238,6 +238,49 @@ def test_similar_pairs_of_nothing(spark):
     assert neardup.similar_pairs(chunks, results).count() == 0 and neardup.similar_groups(chunks, results).count() == 0
 
 
+def test_copies_are_all_in_pairs(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, text) for i in range(60)] + [(100 + i, text + " end") for i in range(3)]
+    chunks = spark.createDataFrame([(i, 1, None, t, 1, "f") for i, t in rows], CHUNKS)
+    got = [tuple(r)[1:] for r in neardup.similar_pairs(chunks, spark.createDataFrame([], RESULTS)).collect()]
+    ids = [i for i, _ in rows]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in ids for b in ids if a < b}
+
+
+def test_trees_of_real_sketches_are_mostly_not_visited(spark, small):
+    """The share of a tree's nodes that a search sees, over the short sketches of 2,500 real texts."""
+    folder = small.replace("0.001", "0.01")
+    texts = lookalike.texts_of(spark.read.parquet(f"{folder}/chunks.parquet"), spark.read.parquet(f"{folder}/conversion_results.parquet"))
+    rows = neardup.sketches(texts, {}).select("id", "short").limit(2500).collect()
+    for table in (0, 17, 35):
+        tree = neardup.BKTree()
+        short = [r.short[table] for r in rows]
+        for i, x in enumerate(short):
+            tree.add(x, i)
+        seen = []
+        for x in short[::10]:
+            tree.within(x, neardup.RADIUS)
+            seen.append(tree.visited / len(set(short)))
+        assert np.mean(seen) < 0.2
+
+
+@pytest.mark.parametrize("low, high, least", [(0.6, 0.65, 0.97), (0.65, 0.8, 0.99)])
+def test_recall_by_similarity(spark, low, high, least):
+    """Pairs of made texts of known similarity that the trees find, of all."""
+    rng = random.Random(7)
+    texts, n = [], 0
+    while n < 600:
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+        other = [w if rng.random() > 0.16 * rng.random() else "".join(rng.choice("klmnop") for _ in w) for w in words]
+        a, b = ("".join(x) for x in (words, other))
+        sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in (a, b)]
+        if low <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < high:
+            texts += [(2 * n, a), (2 * n + 1, b)]
+            n += 1
+    chunks = spark.createDataFrame([(i, 1, None, t, 1, "f") for i, t in texts], CHUNKS)
+    assert neardup.similar_pairs(chunks, spark.createDataFrame([], RESULTS)).count() >= least * n
+
+
 def test_tree_finds_all_within_the_radius():
     rng = random.Random(4)
     base = [rng.getrandbits(256) for _ in range(20)]
