@@ -40,11 +40,12 @@ for _c in CONFUSIONS:
 for _a, _b in PAIRS.items():
     if len(_b) == 1 and _b.isascii():
         BY_SHAPE.setdefault(_b, []).append(_a)
-HAN_SHAPES = "".join(c for c in BY_SHAPE if c > "⺀" and c != "〇")
+HAN = re.compile("[" + "".join(c for c in BY_SHAPE if c > "⺀" and c != "〇") + "]")
 MASK = (1 << 64) - 1
 DIGITS = str.maketrans("123456789", "000000000")
 TOKEN = re.compile(r"(?:[A-Za-zÀ-ɏ0-9〇|]|!(?=[a-zà-ÿ])|(?<=\d)[.,](?=[\dOlISZBb〇|])|(?<=[OlISZBb〇|])[.,](?=\d))+|[-‐‑¬­!.,]|[^A-Za-zÀ-ɏ0-9〇|\s\-‐‑¬­!.,]+")
 PUNCTUATION = str.maketrans("，。：；！？（）", ",.:;!?()")
+CUT_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[-‐‑¬­]\n  [^\W\d_]+")
 #: Nats for a blank taken out, a blank put in, a word cut at a line end without a hyphen, a hyphen that cuts a word, one that belongs there.
 MERGE, SPLIT, CUT, HYPHEN, KEPT_HYPHEN = 7.0, 7.0, 5.0, 1.0, 4.0
 #: Share of words that no count of words can foretell; the count from which a word is known; the odds of a confusion in a line without any confidence.
@@ -55,7 +56,7 @@ LONGEST = 64
 
 def shape(word: str) -> str:
     """Numbers count by their shape, so that they don't fill the tables."""
-    return word.translate(DIGITS)
+    return word if word.isalpha() else word.translate(DIGITS)
 
 
 def word_slots(word: str) -> tuple[int, int]:
@@ -122,8 +123,8 @@ class Counts:
         for width in (1, 2, 3):
             if len(codes) >= width:
                 self.part["grams"] += np.bincount(gram_slots(codes, width), minlength=GRAMS)
-        whole = re.sub(r"(?<![^\W\d_])[^\W\d_]++[-‐‑¬­]\n[^\W\d_]+", "\n", "\n".join(lines))
-        found = Counter(TOKEN.findall(shape(whole)))
+        text = codes.astype(np.uint32).tobytes().decode("utf-32-le")
+        found = Counter(TOKEN.findall(CUT_WORD.sub("\n", text)))
         each = {w: n for w, n in found.items() if is_wide(w) and len(w) <= LONGEST}
         for run, n in found.items():
             if run not in each and not is_wide(run):
@@ -166,6 +167,7 @@ class Model:
         self.slips = float(np.clip((d[sure] / n[sure]).min() if sure.any() else 0.01, 0.002, 0.2))  # mistakes of second readings themselves
         self.share = np.clip((rate - self.slips) / (1 - self.slips), 0.0005, 0.995)
         self.known: dict[str, float] = {}
+        self.seams: dict[str, float] = {}
         self.costs_of: dict[str, tuple[int, float]] = {}
 
     def odds(self, confidence: float | None) -> float:
@@ -193,8 +195,8 @@ class Model:
         return got
 
     def letters(self, text: str) -> float:
-        """Cost of a text by its letters."""
-        padded, total = "  " + shape(text), 0.0
+        """Cost of a text by its letters; digits as in `shape`."""
+        padded, total = "  " + text, 0.0
         for i in range(len(padded) - 2):
             total += self.gram(padded[i : i + 3])
         return total
@@ -208,12 +210,23 @@ class Model:
             key = shape(word)
             a, b = word_slots(key)
             n = int(min(self.words[0][a], self.words[1][b])) if len(key) <= LONGEST else 0
-            n = n if n >= KNOWN else 0  # a few may be chance, or pieces that a page's end left
+            n = max(0, n - 1)  # once may be chance, or a piece that a page's end left
             unseen = math.log(UNSEEN) - self.letters(key + " ")
             got = (n, -(float(np.logaddexp(math.log((1 - UNSEEN) * n / self.n_words), unseen)) if n else unseen))
             self.costs_of[word] = got
         return got
 
+    def seam(self, text: str) -> float:
+        """Mean cost of the characters where two lines meet, times three."""
+        got = self.seams.get(text)
+        if got is None:
+            if len(self.seams) > 200_000:
+                self.seams.clear()
+            given = shape(text)
+            n = len(given) - 2
+            got = self.seams[text] = 3 * sum(self.gram(given[k : k + 3]) for k in range(n)) / max(1, n)
+        return got
+
     def line(self, text: str) -> float:
         """Cost of a line: its words, and by letters what is between them."""
         total, rest = 0.0, []
@@ -223,7 +236,7 @@ class Model:
                 rest.append(" ")
             else:
                 rest.append(t)
-        return total + self.letters("".join(rest))
+        return total + self.letters(shape("".join(rest)))
 
     def furniture(self, line: str) -> float:
         """How much likelier the words of a line are in furniture than anywhere (mean log-ratio)."""
@@ -249,20 +262,22 @@ def variants(word: str) -> list[str]:
 
 def han_gains(model: Model, text: str) -> list[tuple[int, str, float]]:
     """(place, character, gain) of every ideograph of a stream that may stand for another."""
-    at = [i for i, c in enumerate(text) if c in HAN_SHAPES]
-    sites = [(i, to) for i in at for to in BY_SHAPE[text[i]]]
+    sites = [(m.start(), to) for m in HAN.finditer(text) for to in BY_SHAPE[m.group()]]
     found = []
     if sites:
-        codes = np.frombuffer(("  " + shape(text) + "  ").encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(("  " + text + "  ").encode("utf-32-le"), np.uint32)
+        codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
         place = np.array([i for i, _ in sites])
         window = codes[place[:, None] + np.arange(5)]
         other = window.copy()
         other[:, 2] = [ord(to) for _, to in sites]
-        cost = [sum(-np.log(model._p(w[:, k : k + 3])) for k in range(3)) for w in (window, other)]
+        grams = np.stack([w[:, k : k + 3] for w in (window, other) for k in range(3)])
+        cost = -np.log(model._p(grams)).reshape(2, 3, -1).sum(1)
         found = [(i, to, g) for (i, to), g in zip(sites, (cost[0] - cost[1]).tolist())]
     for a in re.finditer("帐长", text):
         i, to = a.start(), PAIRS["帐长"]
-        found.append((i, to, model.letters(text[max(0, i - 2) : i + 4]) - model.letters(text[max(0, i - 2) : i] + to + text[i + 2 : i + 4])))
+        before, after = shape(text[max(0, i - 2) : i]), shape(text[i + 2 : i + 4])
+        found.append((i, to, model.letters(before + "帐长" + after) - model.letters(before + to + after)))
     return found
 
 

@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.lattice import BY_SHAPE, HAN_SHAPES, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Model, decode, han_gains, is_wide, shape, tokens, variants
+from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Model, decode, han_gains, is_wide, shape, tokens, variants
 
 NUMBER = r"[0-9lIOoZSB〇|]{1,4}"
 PAGE = re.compile(
@@ -120,8 +121,7 @@ class Page:
     def _seam(self, a: str, b: str) -> float:
         """Surprise where one line goes on with another."""
         between = " " if a[-1:] < "ɐ" and b[:1] < "ɐ" else ""
-        text = shape(a[-2:] + between + b[:2])
-        return sum(self.model.gram(text[k : k + 3]) for k in range(len(text) - 2)) / max(1, len(text) - 2) * 3
+        return self.model.seam(a[-2:] + between + b[:2])
 
     def _running_headers(self) -> set[int]:
         lines = self.lines
@@ -129,7 +129,10 @@ class Page:
         if len(rest) < 2:
             return set()
         width = float(np.percentile([len(lines[i]) for i in rest], 80))
-        keys = {i: key_of(lines[i]) for i in rest if 6 <= len(lines[i]) <= 1.3 * width + 10}
+        able = [i for i in rest if 6 <= len(lines[i]) <= 1.3 * width + 10]
+        start = {i: CLASS.get(c := lines[i][0].lower(), c) for i in able}
+        many = Counter(start.values())
+        keys = {i: key_of(lines[i]) if many[start[i]] > 1 else lines[i] for i in able}  # a line that starts as no other comes once
         by_key: dict[str, list[int]] = {}
         for i, key in keys.items():
             by_key.setdefault(key, []).append(i)
@@ -146,7 +149,7 @@ class Page:
             line = lines[i]
             edge = k in (0, len(rest) - 1) or i - 1 in self.numbers or i + 1 in self.numbers or not lines[i - 1].strip() and self._open(rest[k - 1])
             score = -4.0 + 3.0 * (again[i] > 0) + 1.0 * (again[i] > 1) + 2.0 * edge - 4.0 * bool(FULL_STOP.search(line)) - 4.0 * bool(MARKED.match(line))
-            if score > -5.0 and 0 < k < len(rest) - 1:  # what is left can add 1.5 and 3
+            if score > -4.5 and 0 < k < len(rest) - 1 and self.model.n_letters:  # what is left can add 1.5 and 3
                 a, b = lines[rest[k - 1]], lines[rest[k + 1]]
                 score += min(1.5, max(-1.5, (self._seam(a, line) + self._seam(line, b) - 2 * self._seam(a, b)) / 4))
             if score > -3.0:
@@ -176,7 +179,7 @@ class Page:
             if not is_wide(token):
                 continue
             count, cost = model.word(token)
-            if count >= KNOWN and prior < -4.0 and not any(c.isdigit() for c in token):  # a word that is well known gains nothing worth so small a chance
+            if count >= KNOWN and prior < -4.0:  # a word that is well known gains nothing worth so small a chance
                 sites += sum(len(BY_SHAPE.get(c, ())) for c in token)
                 continue
             own = shape(token)
@@ -221,7 +224,7 @@ class Page:
         """Gains of ideographs in the stream, by line; each with the piece of its line around it."""
         out: dict[int, list[tuple[str, str, float]]] = {}
         for part in (self.body, [i for i in self.full if i in self.headers]):
-            rows = [i for i in part if any(c in HAN_SHAPES for c in self.lines[i]) or "帐长" in self.lines[i]]
+            rows = [i for i in part if HAN.search(self.lines[i]) or "帐长" in self.lines[i]]
             if not rows:
                 continue
             wanted = set(rows)
