@@ -24,7 +24,7 @@ import numpy as np
 
 from lexmill.llm.codepoints import mix64
 
-GRAMS, WORDS, BINS = 1 << 19, 1 << 19, 64
+GRAMS, WORDS, BINS = 1 << 19, 1 << 18, 64
 #: Where each table starts in the array of counts, and its length: grams, two rows of words, words of furniture, lines read twice and those that differ.
 PARTS = {"grams": (0, GRAMS), "words": (GRAMS, 2 * WORDS), "furniture": (GRAMS + 2 * WORDS, WORDS), "bins": (GRAMS + 3 * WORDS, 2 * BINS)}
 SIZE = 8192 * -(-(GRAMS + 3 * WORDS + 2 * BINS) // 8192)
@@ -64,6 +64,11 @@ def word_slots(word: str) -> tuple[int, int]:
     return int.from_bytes(d[:4], "little") & (WORDS - 1), int.from_bytes(d[4:], "little") & (WORDS - 1)
 
 
+def same_but_marks(a: str, b: str) -> bool:
+    """Whether two readings of a line differ in the width of punctuation at most."""
+    return a == b or len(a) == len(b) and a.translate(PUNCTUATION) == b.translate(PUNCTUATION)
+
+
 def is_wide(token: str) -> bool:
     """Whether a token is a word or a number (others are runs of ideographs or of marks)."""
     c = token[0]
@@ -163,11 +168,13 @@ class Model:
         middle = (np.arange(BINS) + 0.5) / BINS
         before = np.clip(1.9 - 2.1 * middle, 0.01, 0.9)  # what four lines of each bin would say before any is seen
         rate = (d + 4 * before) / (n + 4)
-        sure = n >= 50
-        self.slips = float(np.clip((d[sure] / n[sure]).min() if sure.any() else 0.01, 0.002, 0.2))  # mistakes of second readings themselves
-        self.share = np.clip((rate - self.slips) / (1 - self.slips), 0.0005, 0.995)
+        top = np.cumsum(n[::-1])[::-1] - n <= n.sum() / 2  # the bins of the surer half of the lines: where they differ, it is mostly the second reading's slip
+        self.slips = float(np.clip((d[top].sum() + 0.1) / (n[top].sum() + 10), 0.002, 0.2))
+        noise = np.sqrt(rate * (1 - rate) / (n + 4))
+        self.share = np.clip((rate - np.where(n >= 20, noise, 0.0) - self.slips) / (1 - self.slips), 0.0005, 0.995)
         self.known: dict[str, float] = {}
         self.seams: dict[str, float] = {}
+        self.counts_of: dict[str, int] = {}
         self.costs_of: dict[str, tuple[int, float]] = {}
 
     def odds(self, confidence: float | None) -> float:
@@ -201,19 +208,25 @@ class Model:
             total += self.gram(padded[i : i + 3])
         return total
 
+    def seen(self, word: str) -> int:
+        """How often a word was counted, but for once, which may be chance, or a piece that a page's end left."""
+        got = self.counts_of.get(word)
+        if got is None:
+            if len(self.counts_of) > 500_000:
+                self.counts_of.clear()
+            a, b = word_slots(shape(word))
+            got = self.counts_of[word] = max(0, int(min(self.words[0][a], self.words[1][b])) - 1) if len(word) <= LONGEST else 0
+        return got
+
     def word(self, word: str) -> tuple[int, float]:
         """How often a word was counted, and its cost."""
         got = self.costs_of.get(word)
         if got is None:
             if len(self.costs_of) > 300_000:
                 self.costs_of.clear()
-            key = shape(word)
-            a, b = word_slots(key)
-            n = int(min(self.words[0][a], self.words[1][b])) if len(key) <= LONGEST else 0
-            n = max(0, n - 1)  # once may be chance, or a piece that a page's end left
-            unseen = math.log(UNSEEN) - self.letters(key + " ")
-            got = (n, -(float(np.logaddexp(math.log((1 - UNSEEN) * n / self.n_words), unseen)) if n else unseen))
-            self.costs_of[word] = got
+            n = self.seen(word)
+            unseen = math.log(UNSEEN) - self.letters(shape(word) + " ")
+            got = self.costs_of[word] = (n, -(float(np.logaddexp(math.log((1 - UNSEEN) * n / self.n_words), unseen)) if n else unseen))
         return got
 
     def seam(self, text: str) -> float:
@@ -317,21 +330,23 @@ def decode(lines: list[list[tuple[str, int]]], prices: list[float], model: Model
         if best[a] + cost < best[b]:
             best[b], back[b] = best[a] + cost, (a, what)
 
+    costs, word = model.costs_of, model.word
     for k, (token, line) in enumerate(s.tokens):
-        wide = is_wide(token)
-        count, cost = model.word(token) if wide else (KNOWN, 1.0)
         after = s.after[k]
-        edge(k, k + 1, cost + (KEPT_HYPHEN if after == "-\n" else 0.0), None)
-        if not wide:
+        wide = is_wide(token)
+        count, cost = (costs.get(token) or word(token)) if wide else (KNOWN, 1.0)
+        total = best[k] + cost + (KEPT_HYPHEN if after == "-\n" else 0.0)
+        if total < best[k + 1]:
+            best[k + 1], back[k + 1] = total, (k, None)
+        if not wide or count >= KNOWN and after == "":
             continue
         if count < KNOWN:
             for v in variants(token):
                 edge(k, k + 1, model.word(v)[1] + prices[line], ("confusion", k, 1, line, token, v))
             if is_word(token):
                 for i in range(max(2, len(token) - LONGEST), min(len(token) - 1, LONGEST + 1)):
-                    (na, a), (nb, b) = model.word(token[:i]), model.word(token[i:])
-                    if na >= KNOWN and nb >= KNOWN:
-                        edge(k, k + 1, a + b + SPLIT, ("split", k, 1, line, token, token[:i] + " " + token[i:]))
+                    if model.seen(token[:i]) >= KNOWN and model.seen(token[i:]) >= KNOWN:
+                        edge(k, k + 1, word(token[:i])[1] + word(token[i:])[1] + SPLIT, ("split", k, 1, line, token, token[:i] + " " + token[i:]))
         if after and k + 1 < n and is_word(token) and is_word(s.tokens[k + 1][0]):
             following = s.tokens[k + 1][0]
             joined = token + following
@@ -342,10 +357,9 @@ def decode(lines: list[list[tuple[str, int]]], prices: list[float], model: Model
                     if nj < KNOWN:
                         for v in variants(joined):
                             edge(k, k + 2, model.word(v)[1] + HYPHEN + prices[line], ("hyphen", k, 2, line, token, v))
-            elif count < KNOWN or model.word(following)[0] < KNOWN:
-                nj, cj = model.word(joined)
-                if nj >= KNOWN and following[0].islower():
-                    edge(k, k + 2, cj + (MERGE if after == " " else CUT), ("merge" if after == " " else "cut", k, 2, line, token, joined))
+            elif (count < KNOWN or model.seen(following) < KNOWN) and following[0].islower():
+                if model.seen(joined) >= KNOWN:
+                    edge(k, k + 2, word(joined)[1] + (MERGE if after == " " else CUT), ("merge" if after == " " else "cut", k, 2, line, token, joined))
     path, at = [], n
     while at:
         at, what = back[at]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Model, decode, han_gains, is_wide, shape, tokens, variants
+from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Model, decode, han_gains, is_wide, same_but_marks, shape, tokens, variants
 
 NUMBER = r"[0-9lIOoZSB〇|]{1,4}"
 PAGE = re.compile(
@@ -169,7 +169,7 @@ class Page:
         model, line, other = self.model, self.lines[i], self.second.get(i)
         prior = model.odds(self.confidence.get(i))
         if other is not None:
-            if line.translate(PUNCTUATION) == other.translate(PUNCTUATION):
+            if same_but_marks(line, other):
                 return -12.0, 16.0
             # one of the two is wrong
             return prior + math.log((1 - model.slips) / model.slips) + model.line(line) - model.line(other), 16.0
@@ -189,7 +189,7 @@ class Page:
                 sites += 1
                 if shape(v) == own:
                     gains.append(0.0)
-                elif count < KNOWN or model.word(v)[0] > 0:
+                elif count < KNOWN or model.seen(v):
                     gains.append(cost - model.word(v)[1])
         if not sites:
             return prior - 4.0, 16.0
@@ -365,7 +365,7 @@ def learn(rows: DataFrame) -> Model:
                 if sure and len(other) == len(lines):
                     for i, c in sure.items():
                         if c is not None:
-                            counts.twice(c, lines[i].translate(PUNCTUATION) != other[i].strip(EDGE).translate(PUNCTUATION))
+                            counts.twice(c, not same_but_marks(lines[i], other[i].strip(EDGE)))
         counts.flush()
         parts = np.minimum(counts.all, 2**31 - 1).astype(np.int32).reshape(-1, WIDTH)
         used = np.flatnonzero(parts.any(1))
