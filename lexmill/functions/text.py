@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 #: Blanks that texts of the domain have at their edges and inside.
 WS = r"[ \t\r\n\x{3000}\x{A0}]"
 # Punctuation that counts as its half-width form, and characters without weight, when quotes are compared.
-QUOTE_FROM, QUOTE_TO = "，（）：；“”‘’－—–→", ",():;\"\"''----"
+QUOTE_FROM, QUOTE_TO = "，（）：；“”‘’－—–", ",():;\"\"''---"
 QUOTE_DROP = " \t\r\n,|*#>`~_　"
 # Forms that two readings of a page may differ in.
-OCR_FROM = "０１２３４５６７８９，。：；（）！？"
-OCR_TO = "0123456789,.:;()!?"
+_WIDE = [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]  # full-width digits and letters lie 0xFEE0 above the others
+OCR_FROM = "".join(map(chr, _WIDE)) + "，。、；：（）％～－"
+OCR_TO = "".join(chr(c - 0xFEE0) for c in _WIDE) + ",.,;:()%~-"
+# Characters of an address on the net, and words that carry no content in a question.
+URL = r"https?://[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+"
+FUNCTION_WORDS = "的了是在与及或和其被把将对从为以而也都就"
 
 
 def strip(c: Column) -> Column:
@@ -29,27 +33,40 @@ def norm_quote(c: Column) -> Column:
 def norm_reading(c: Column) -> Column:
     """Form in which two readings of a page are compared: half-width, no commas between thousands, no blanks."""
     forms = F.translate(c, OCR_FROM, OCR_TO)
-    plain = F.regexp_replace(F.regexp_replace(forms, r"(\d),(\d\d\d)([^\d\p{L}_]|\z)", "$1$2$3"), r"(\d),(\d\d\d)([^\d\p{L}_]|\z)", "$1$2$3")
-    return F.regexp_replace(plain, rf"{WS}+", "")
+    return F.regexp_replace(F.regexp_replace(forms, r"(?<=\d),(?=\d{3}(?![\p{L}\p{N}_]))", ""), r"(?U)\s+", "")
 
 
 def clean_passage(c: Column) -> Column:
-    """Passage for reranking: images, links, tags, addresses, marks and table rules gone, three line ends or more made two."""
+    """Passage for reranking: images, links, tags, addresses, marks and rules gone, three line ends or more made two; blanks at the edges stay."""
+    # What marks a passage up.
     steps = [
-        (r"\r\n", "\n"),
-        (r"!\[[^\]\n]*\]\([^)\n]*\)", ""),
-        (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
-        (r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]*)?/?>", ""),
-        (r"https?://[!-~]+", ""),
-        (r"(?m)^#{1,6}[ \t]+", ""),
+        (r"\r\n?", "\n"),
+        (r"!\[[^\]]*\]\([^)]*\)", ""),
+        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"</?[A-Za-z][A-Za-z0-9]*(?:[ \t/][ !-;=?-~]*)?>", ""),
+        (URL, ""),
+        (r"(?m)^#{1,6} ", ""),
         (r"\*\*|__", ""),
-        (r"(?m)^```[^\n]*$", ""),
-        (r"(?m)^[|:\- ]*\|[|:\- ]*$", ""),
+        (r"(?m)^[ \t]*`{3,}[^\n]*$", ""),
+        (r"(?m)^[ \t|:\-]*[|:\-][ \t|:\-]*$", ""),
         (r"\n{3,}", "\n\n"),
     ]
     for pattern, to in steps:
         c = F.regexp_replace(c, pattern, to)
-    return strip(c)
+    return c
+
+
+def query_variants(question: Column) -> Column:
+    """Up to two shorter forms of a question: its content words in order, and the two longest of three or more (of equal ones the earlier).
+
+    Words are runs of letters and digits; function words and lone ideographs carry no content. No variant equals the question.
+    """
+    words = F.regexp_extract_all(question, F.lit(r"[\p{L}\p{N}]+"), 0)
+    content = F.filter(words, lambda w: ~F.contains(F.lit(FUNCTION_WORDS), w) & ~w.rlike(r"\A[\x{4e00}-\x{9fff}]\z"))
+    ranked = F.sort_array(F.transform(content, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    two = F.when(F.size(content) >= 3, F.array_join(F.transform(F.slice(ranked, 1, 2), lambda x: x["w"]), " "))
+    whole, asked = F.array_join(content, " "), F.array(F.array_join(words, " "), strip(question))
+    return F.array_distinct(F.filter(F.array_compact(F.array(whole, two)), lambda v: (v != "") & ~F.array_contains(asked, v)))
 
 
 def snippet(c: Column) -> Column:
@@ -100,9 +117,9 @@ def body(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Terms of a text: runs of Latin letters and digits in lower case, ideographs in pairs (a lone one for itself)."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9à-öø-ÿ]+"), 0)
-    han = F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]+"), 0)
-    pairs = F.flatten(F.transform(han, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1))), lambda i: F.substring(h, i, F.lit(2)))))
-    return F.concat(F.filter(words, lambda w: F.length(w) <= 40), pairs)
+    pairs = F.regexp_extract_all(text, F.lit(r"(?=([\x{4e00}-\x{9fff}]{2}))"), 1)
+    alone = F.regexp_extract_all(text, F.lit(r"(?<![\x{4e00}-\x{9fff}])[\x{4e00}-\x{9fff}](?![\x{4e00}-\x{9fff}])"), 0)
+    return F.concat(F.filter(words, lambda w: F.length(w) <= 40), pairs, alone)
 
 
 def mark_images(c: Column) -> Column:

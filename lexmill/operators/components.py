@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.checkpoints import Stages
 
 
-def components(edges: DataFrame, stages: Stages | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stages: Stages | None = None) -> DataFrame:
     """node, component (the smallest node of its component) for every node of `edges` (a, b); one column of any orderable type.
 
     Each round turns every node's edges into edges of its neighbours to the smallest of them (large-star, then small-star),
@@ -29,7 +29,7 @@ def components(edges: DataFrame, stages: Stages | None = None, rounds: int = 60)
     now = stages.write("edges", edges.select("a", "b").filter("a != b").distinct())
     nodes = stages.write("nodes", edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         now = stages.write("edges", star(star(now, True), False))
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == before:

@@ -12,8 +12,8 @@ from lexmill.functions.text import WS, norm_reading
 
 # Which file types go which way.
 ROUTES = {
-    "native": ["docx", "pptx", "xlsx", "html", "htm", "md", "txt", "csv", "json", "eml"],
-    "image": ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"],
+    "native": ["docx", "pptx", "xlsx", "html", "htm", "md", "txt", "csv", "json", "xml", "epub"],
+    "image": ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp"],
     "legacy": ["doc", "wps"],
     "anydoc": ["ppt", "xls", "xlsb"],
 }

@@ -2,46 +2,26 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 
-#: Terms that are looked for at once, in every task; more of them are joined instead.
-MOST_TERMS, MOST_CHARS = 100_000, 8_000_000
+GRAM = 2
 
 
 def find_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """term, doc_id, line_no where `wanted` of `terms` (term, wanted) is in `norm` of `rows` (doc_id, line_no, norm); an empty `wanted` is nowhere.
 
-    One automaton of all terms reads each line once, whatever the number of terms.
+    A term is looked for in the lines that have its first pair of characters (or its one character), so both sides are joined on equal keys, whatever
+    their number; a side that is known to be small is sent to the tasks by the optimizer. A pair that very many lines and terms share is split by AQE.
     """
-    terms = terms.filter("wanted != ''").distinct()
-    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("wanted")), F.lit(0))).first()
-    try:
-        import ahocorasick
-    except ImportError:
-        ahocorasick = None
-    if ahocorasick is None or n > MOST_TERMS or chars > MOST_CHARS:
-        return rows.join(terms, F.expr("contains(norm, wanted)")).select("term", "doc_id", "line_no")
-    if not n:
-        return rows.limit(0).join(terms, F.lit(False)).select("term", "doc_id", "line_no")
-    wanted: dict[str, list[str]] = {}
-    for r in terms.collect():
-        wanted.setdefault(r.wanted, []).append(r.term)
-
-    def run(batches):
-        machine = ahocorasick.Automaton()
-        for word, names in wanted.items():
-            machine.add_word(word, names)
-        machine.make_automaton()
-        for batch in batches:
-            docs, numbers, texts = (c.to_pylist() for c in batch.columns)
-            found = [(name, d, k) for d, k, text in zip(docs, numbers, texts) for names in {id(x): x for _, x in machine.iter(text)}.values() for name in names]
-            yield pa.RecordBatch.from_pydict({"term": pa.array([f[0] for f in found], pa.string()), "doc_id": pa.array([f[1] for f in found], pa.int64()), "line_no": pa.array([f[2] for f in found], pa.int32())})
-
-    return rows.select("doc_id", "line_no", "norm").mapInArrow(run, "term string, doc_id bigint, line_no int")
+    terms = terms.filter("wanted != ''").distinct().withColumn("gram", F.substring("wanted", 1, GRAM))
+    pairs = F.regexp_extract_all("norm", F.lit(r"(?s)(?=(.{2}))"), 1)
+    single = terms.filter(F.length("gram") < GRAM)
+    found = rows.select("doc_id", "line_no", "norm", F.explode(F.array_distinct(pairs)).alias("gram")).join(terms, "gram").filter(F.contains("norm", "wanted"))
+    ones = rows.select("doc_id", "line_no", F.explode(F.array_distinct(F.split("norm", ""))).alias("gram")).join(single, "gram")
+    return found.select("term", "doc_id", "line_no").unionByName(ones.select("term", "doc_id", "line_no"))
 
 
 def capped(hits: DataFrame, most: int = 20) -> DataFrame:

@@ -39,9 +39,14 @@ def bm25(index: DataFrame, key: str, queries: DataFrame, k: int, k1: float = 1.2
     return ranked(scored, key, k)
 
 
+def first(scored: DataFrame, order, k: int) -> DataFrame:
+    """The first k rows of each window with their rank from 0. The limit is on the row number itself, so that every task keeps k rows of a window before the shuffle."""
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
 def ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    return first(scored, order, k)
 
 
 def cosine(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int, floor: float | None = None, exclude_self: bool = False) -> DataFrame:
@@ -94,17 +99,18 @@ def fuse(vector: DataFrame, text: DataFrame, key: str, k: int, rrf_k: int = 60)
     both = vector.select("query", key, "rank", F.lit(0).alias("channel")).unionByName(text.select("query", key, "rank", F.lit(1).alias("channel")))
     score = both.groupBy("query", key).agg(F.round(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))), 6).alias("score"), F.min(F.struct("channel", "rank")).alias("first"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "first", key)
-    return score.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("query", "rank", key, "score")
+    return first(score, order, k).select("query", "rank", key, "score")
 
 
 def rerank(hits: DataFrame, key: str, docs: DataFrame, text: Column, queries: DataFrame, k: int) -> DataFrame:
     """Hits in the order of the share of the query's terms that a row has (a stand-in for a model's score), then of their rank."""
     wanted = queries.groupBy("query").agg(F.collect_set("term").alias("wanted"))
-    own = docs.select(key, F.array_distinct(tokens(text)).alias("own"))
+    few = docs.join(hits.select(key).distinct(), key, "left_semi")  # only the hits' texts are cut into terms
+    own = few.select(key, F.array_distinct(tokens(text)).alias("own"))
     scored = hits.join(wanted, "query").join(own, key)
     scored = scored.select("query", key, "rank", F.round(F.size(F.array_intersect("own", "wanted")) / F.size("wanted"), 6).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "rank")
-    return scored.withColumn("new", F.row_number().over(order) - 1).filter(F.col("new") < k).select("query", F.col("new").alias("rank"), key, "score")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "was")
+    return first(scored.withColumnRenamed("rank", "was"), order, k).select("query", "rank", key, "score")
 
 
 def parents(chunks: DataFrame) -> DataFrame:

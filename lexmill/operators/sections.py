@@ -64,10 +64,12 @@ def outline(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     heads = all_lines.filter("level is not null")
     order = Window.partitionBy(key).orderBy("line_no")
     heads = heads.withColumn("idx", F.row_number().over(order) - 1)
+    # Of each level, the next heading after a line and the last one before it: six running values, whatever the number of headings.
     later, sooner = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    after = F.filter(F.collect_list(F.struct("line_no", "level")).over(later), lambda x: x["level"] <= F.col("level"))
-    before = F.filter(F.collect_list(F.struct("idx", "level")).over(sooner), lambda x: x["level"] < F.col("level"))
-    heads = heads.withColumn("stop", F.get(after, 0)["line_no"]).withColumn("parent_idx", F.element_at(F.when(F.size(before) > 0, before), -1)["idx"])
+    for n in range(1, 7):
+        heads = heads.withColumn(f"next{n}", F.min(F.when(F.col("level") == n, F.col("line_no"))).over(later)).withColumn(f"last{n}", F.max(F.when(F.col("level") == n, F.col("idx"))).over(sooner))
+    heads = heads.withColumn("stop", F.least(*(F.when(F.col("level") >= n, F.col(f"next{n}")) for n in range(1, 7))))
+    heads = heads.withColumn("parent_idx", F.greatest(*(F.when(F.col("level") > n, F.col(f"last{n}")) for n in range(1, 7))))
     return heads.join(last, key).select(key, "idx", "level", "title", F.col("line_no").alias("line_start"), F.coalesce(F.col("stop") - 1, F.col("last_line")).alias("line_end"), "parent_idx")
 
 

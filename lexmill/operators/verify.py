@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,48 @@ def out_of_order(entries: DataFrame, page: str, order: str, line: str, width: in
 
 
 def closures(checks: DataFrame, column: str) -> DataFrame:
-    """Adds verdict to lines `> [!check] a + b == c`: ok, wrong (by more than 1e-6) or unreadable."""
-    claim = F.regexp_replace(F.translate(F.regexp_extract(column, r"\A>[ ]*\[!check\][ ]*([^\n]+)\z", 1), "，＋＝", ",+="), "[ ,]", "")
-    good = claim.rlike(r"\A[0-9.]+(\+[0-9.]+)*==[0-9.]+\z")
-    left = F.aggregate(F.split(F.substring_index(claim, "==", 1), r"\+"), F.lit(0.0), lambda a, x: a + x.try_cast("double"))
-    right = F.substring_index(claim, "==", -1).try_cast("double")
-    return checks.withColumn("verdict", F.when(~good | left.isNull() | right.isNull(), "unreadable").when(F.abs(left - right) <= 1e-6, "ok").otherwise("wrong"))
+    """Adds verdict to lines `> [!check] left == right`: ok, wrong (by more than 1e-6) or unreadable.
+
+    Each side is numbers with `+`, `-`, `*`, signs and brackets; anything else is unreadable. Full-width marks and commas between digits are read as they are meant.
+    """
+
+    @F.pandas_udf("string")
+    def verdict(claims):
+        import pandas as pd
+
+        return pd.Series([_verdict(c) for c in claims], dtype=object)
+
+    claim = F.translate(F.regexp_extract(column, r"\A>[ ]*\[!check\][ ]*([^\n]+)\z", 1), "，（）＋－＊＝０１２３４５６７８９", ",()+-*=0123456789")
+    return checks.withColumn("verdict", verdict(F.regexp_replace(claim, r"[\s,]", "")))
+
+
+def _verdict(claim: str) -> str:
+    sides = (claim or "").split("==")
+    if len(sides) != 2:
+        return "unreadable"
+    values = [_value(x) for x in sides]
+    if None in values:
+        return "unreadable"
+    return "ok" if abs(values[0] - values[1]) <= 1e-6 else "wrong"
+
+
+def _value(text: str) -> float | None:
+    """Value of a sum of products; brackets are worked out from the innermost outwards, null where something is left over."""
+    number = r"(?:\d+\.?\d*|\.\d+)"
+    while True:
+        inner = re.search(r"\(([^()]*)\)", text)
+        part = inner.group(1) if inner else text
+        if not re.fullmatch(rf"[+-]*{number}(?:[+*-][+-]*{number})*", part):
+            return None
+        total = 0.0
+        for sign, product in re.findall(rf"((?:\A|(?<=[\d.]))[+-]*)({number}(?:\*[+-]*{number})*)", part):
+            value = -1.0 if sign.count("-") % 2 else 1.0
+            for factor in product.split("*"):
+                value *= float(factor.lstrip("+-")) * (-1 if factor.count("-") % 2 else 1)
+            total += value
+        if not inner:
+            return total
+        text = f"{text[: inner.start()]}{'-' if total < 0 else ''}{abs(total):.10f}{text[inner.end() :]}"
 
 
 def skip_ledger(logs: DataFrame, key: str, text: str = "text") -> DataFrame:

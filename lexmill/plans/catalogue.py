@@ -87,7 +87,7 @@ def prefix_filter_topk(spark, folder):
 
 @query(
     f"""WITH {_R}, e AS (SELECT result_id, lower(string_split(string_split(source, '/')[-1], '.')[-1]) AS ext, engine, pages, length(text) AS n FROM r),
-    k AS (SELECT *, CASE WHEN ext IN ('docx','pptx','xlsx','html','htm','md','txt','csv','json','eml') THEN 'native' WHEN ext IN ('png','jpg','jpeg','tif','tiff','bmp','webp') THEN 'ocr'
+    k AS (SELECT *, CASE WHEN ext IN ('docx','pptx','xlsx','html','htm','md','txt','csv','json','xml','epub') THEN 'native' WHEN ext IN ('png','jpg','jpeg','tif','tiff','bmp','gif','webp') THEN 'ocr'
     WHEN ext IN ('doc','wps') THEN 'legacy' WHEN ext IN ('ppt','xls','xlsb') THEN 'anydoc' WHEN ext = 'pdf' AND n / greatest(coalesce(pages, 1), 1) >= 50 THEN 'native' WHEN ext = 'pdf' THEN 'ocr' ELSE 'unsupported' END AS route FROM e)
     SELECT ext, route, engine, count(*) AS n FROM k GROUP BY ALL"""
 )
@@ -136,7 +136,7 @@ def incremental_todo(spark, folder):
 # --- text
 
 
-_NORM_SQL = "translate(translate(regexp_replace({0}, '<[^>]*>', '', 'g'), '，（）：；“”‘’－—–→', ',():;\"\"''''----'), ' \t\r\n,|*#>`~_　', '')"
+_NORM_SQL = "translate(translate(regexp_replace({0}, '<[^>]*>', '', 'g'), '，（）：；“”‘’－—–', ',():;\"\"''''---'), ' \t\r\n,|*#>`~_　', '')"
 
 
 @query(f"WITH {_C} SELECT chunk_id, md5({_NORM_SQL.format('text')}) AS digest FROM c WHERE text IS NOT NULL")
@@ -145,10 +145,15 @@ def norm_text(spark, folder):
     return _chunks(spark, folder, "text").filter("text is not null").select("chunk_id", F.md5(X.norm_quote(F.col("text")).cast("binary")).alias("digest"))
 
 
-_OCR_SQL = r"regexp_replace(regexp_replace(regexp_replace(translate({0}, '０１２３４５６７８９，。：；（）！？', '0123456789,.:;()!?'), '(\d),(\d\d\d)([^\d\p{{L}}_]|\z)', '\1\2\3', 'g'), '(\d),(\d\d\d)([^\d\p{{L}}_]|\z)', '\1\2\3', 'g'), '" + _WS.replace("{", "{{").replace("}", "}}") + r"+', '', 'g')"
+def _ocr_sql(c: str) -> str:
+    """RE2 has no look-around: commas between thousands become a mark in two passes (the second takes what the first had to leave), and the marks go."""
+    forms = f"translate({c}, '{X.OCR_FROM}', '{X.OCR_TO}')"
+    for _ in range(2):
+        forms = r"regexp_replace(" + forms + r", '(\d),(\d\d\d)([^\d\p{L}\p{N}_]|\z)', '\1'||chr(1)||'\2\3', 'g')"
+    return "regexp_replace(replace(" + forms + r", chr(1), ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]+', '', 'g')"
 
 
-@query(f"WITH {_R} SELECT result_id, md5({_OCR_SQL.format('text')}) AS digest, length({_OCR_SQL.format('text')}) AS n FROM r WHERE text IS NOT NULL")
+@query(f"WITH {_R} SELECT result_id, md5({_ocr_sql('text')}) AS digest, length({_ocr_sql('text')}) AS n FROM r WHERE text IS NOT NULL")
 def ocr_normalize(spark, folder):
     """Digests of the form in which readings are compared."""
     n = X.norm_reading(F.col("text"))
@@ -157,11 +162,11 @@ def ocr_normalize(spark, folder):
 
 def _clean_sql(c: str) -> str:
     for pattern, to in [
-        (r"\r\n", "\n"), (r"!\[[^\]\n]*\]\([^)\n]*\)", ""), (r"\[([^\]\n]*)\]\([^)\n]*\)", r"\1"), (r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]*)?/?>", ""), (r"https?://[!-~]+", ""), (r"(?m)^#{1,6}[ \t]+", ""),
-        (r"\*\*|__", ""), (r"(?m)^```[^\n]*$", ""), (r"(?m)^[|:\- ]*\|[|:\- ]*$", ""), (r"\n{3,}", "\n\n"),
+        (r"\r\n?", "\n"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"</?[A-Za-z][A-Za-z0-9]*(?:[ \t/][ !-;=?-~]*)?>", ""), (X.URL.replace("'", "''"), ""), (r"(?m)^#{1,6} ", ""),
+        (r"\*\*|__", ""), (r"(?m)^[ \t]*`{3,}[^\n]*$", ""), (r"(?m)^[ \t|:\-]*[|:\-][ \t|:\-]*$", ""), (r"\n{3,}", "\n\n"),
     ]:
         c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
-    return _strip_sql(c)
+    return c
 
 
 @query(f"SELECT doc_id, md5({_clean_sql('text')}) AS digest FROM documents WHERE text IS NOT NULL")
@@ -241,7 +246,7 @@ _TOK = r"regexp_extract_all({0}, '\d+[年月日]?')"
 
 @query(
     rf"""WITH {_R}, x AS (SELECT result_id, min(second_text) AS second_text, max(digit_mismatches) AS reported FROM cross_checks GROUP BY result_id),
-    t AS (SELECT result_id, reported, {_TOK.format(_OCR_SQL.format('text'))} AS a, {_TOK.format(_OCR_SQL.format('second_text'))} AS b FROM r JOIN x USING (result_id) WHERE text IS NOT NULL AND second_text IS NOT NULL)
+    t AS (SELECT result_id, reported, {_TOK.format(_ocr_sql('text'))} AS a, {_TOK.format(_ocr_sql('second_text'))} AS b FROM r JOIN x USING (result_id) WHERE text IS NOT NULL AND second_text IS NOT NULL)
     SELECT result_id, reported, (abs(len(a) - len(b)) + len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])))::INTEGER AS mismatches FROM t"""
 )
 def crosscheck_digits(spark, folder):
@@ -429,16 +434,17 @@ def rerank(spark, folder):
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, list_distinct(list_transform(regexp_split_to_array(title, '[ ,，的了是在与及或和]+'), lambda w: w)) AS w FROM documents WHERE title IS NOT NULL),
-    u AS (SELECT doc_id, word, length(word) AS n FROM (SELECT doc_id, unnest(w) AS word FROM t) WHERE length(word) > 1), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM u)
-    SELECT doc_id, string_agg(word, ' ' ORDER BY rank) AS variant FROM k WHERE rank <= 2 GROUP BY doc_id"""
+    rf"""WITH w AS (SELECT doc_id, title, regexp_extract_all(title, '[\p{{L}}\p{{N}}]+') AS words FROM documents WHERE title IS NOT NULL),
+    c AS (SELECT *, list_filter(words, lambda x: NOT contains('{X.FUNCTION_WORDS}', x) AND NOT regexp_full_match(x, '[\x{{4e00}}-\x{{9fff}}]')) AS content FROM w),
+    r AS (SELECT *, list_sort(list_transform(range(1, len(content) + 1), lambda i: {{'n': -length(content[i]), 'i': i}})) AS best FROM c),
+    v AS (SELECT doc_id, title, array_to_string(words, ' ') AS whole, [array_to_string(content, ' '), CASE WHEN len(content) >= 3 THEN content[best[1].i] || ' ' || content[best[2].i] END] AS made FROM r),
+    k AS (SELECT doc_id, list_filter(made, lambda x: x IS NOT NULL AND x <> '' AND x <> whole AND x <> {_strip_sql('title')}) AS kept FROM v)
+    SELECT doc_id, kept[1] AS first, CASE WHEN kept[2] <> kept[1] THEN kept[2] END AS second FROM k"""
 )
 def query_expand(spark, folder):
-    """The two longest content words of each title as a variant of it."""
-    d = table(spark, folder, "documents").filter("title is not null")
-    words = F.filter(F.array_distinct(F.split("title", "[ ,，的了是在与及或和]+")), lambda w: F.length(w) > 1)
-    best = F.slice(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
-    return d.filter(F.size(words) > 0).select("doc_id", F.array_join(F.transform(best, lambda x: x["w"]), " ").alias("variant"))
+    """Shorter forms of each title that are searched as well as it; null where there is none."""
+    v = table(spark, folder, "documents").filter("title is not null").select("doc_id", X.query_variants(F.col("title")).alias("v"))
+    return v.select("doc_id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(1)).alias("second"))
 
 
 @query(

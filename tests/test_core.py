@@ -136,7 +136,7 @@ def test_retrieval(spark):
     assert [(r.id, r.score) for r in retrieval.fuse(a, b, "id", 5).orderBy("rank").collect()] == [(20, round(1 / 61 + 1 / 60, 6)), (10, round(1 / 60, 6)), (30, round(1 / 61, 6))]
 
 
-def test_terms(spark, monkeypatch):
+def test_terms(spark):
     rows = spark.createDataFrame([(1, i, "甲乙丙" if i % 2 else "乙") for i in range(50)] + [(2, 0, "none")], "doc_id bigint, line_no int, norm string")
     terms = spark.createDataFrame([("a", "甲乙"), ("b", "乙"), ("c", "丁"), ("d", ""), ("e", "乙"), ("b", "乙")], "term string, wanted string")
     want = sorted([("a", 1, i) for i in range(1, 50, 2)] + [(t, 1, i) for t in "be" for i in range(50)])
@@ -144,8 +144,6 @@ def test_terms(spark, monkeypatch):
     assert evidence.find_terms(rows, terms.filter("term = 'd'")).count() == 0
     first = evidence.capped(evidence.find_terms(rows, terms)).collect()
     assert all(r.truncated for r in first) and sorted((r.term, r.line_no) for r in first) == sorted([("a", i) for i in range(1, 40, 2)] + [(t, i) for t in "be" for i in range(20)])
-    monkeypatch.setattr(evidence, "MOST_TERMS", 1)
-    assert sorted(tuple(r) for r in evidence.find_terms(rows, terms).collect()) == want
 
 
 def test_small_text_rules(spark):
@@ -289,3 +287,45 @@ def test_paths_have_no_limit(spark):
     assert len(want["n14"]) == 15 and "lost" not in want
     assert {r.node: r.distance for r in graph.distances(g, start).collect()} == {n: len(p) - 1 for n, p in want.items()}
     assert {r.node: (r.hops, r.path) for r in graph.paths(g, start).collect()} == {n: (len(want[n]) - 1, want[n]) if n in want else (None, None) for n in sides}
+
+
+# --- rules that a query and its SQL could share a mistake in: cases by hand
+
+
+def each(spark, expression, *values):
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    return [r[0] for r in df.select(expression(F.col("x"))).collect()]
+
+
+def test_forms_by_hand(spark):
+    assert each(spark, X.norm_quote, "甲→乙", "甲－乙", "<b>（a）</b>，“b” 3,000") == ["甲→乙", "甲-乙", '(a)"b"3000']
+    assert each(spark, X.norm_reading, "１，２３４，５６７元 ＡＢｚ", "1,234,567,890", "a、b％～－！？", "3,0001") == ["1234,567元ABz", "1234567890", "a,b%~-！？", "3,0001"]
+    assert each(spark, X.clean_passage, "参见https://example.invalid/a。第3条应付款50,000.00元", "借款<50,000.00元，第3条见后续>", "a\rb\n---\nc", "  ```py\nx\n```", "<b class='x'>y</b>") == [
+        "参见。第3条应付款50,000.00元", "借款<50,000.00元，第3条见后续>", "a\nb\n\nc", "\nx\n", "y",
+    ]
+    assert each(spark, X.query_variants, "甲 的 违约金", "违约金 合同", "甲方 乙方 违约金", "合同 的 违约金 是 多少", "", "的 是") == [["违约金"], [], ["违约金 甲方"], ["合同 违约金 多少", "违约金 合同"], [], []]
+    assert each(spark, lambda c: conversion.route(c), "a.gif", "b.XML", "c.epub", "d.eml", "e.wps", "f.xlsb", "g") == ["ocr", "native", "native", "unsupported", "legacy", "anydoc", "unsupported"]
+
+
+def test_closures_of_all_kinds(spark):
+    lines = ["128,205 + 128,205 + 25,641 == 282,051", "1,000 + 1 == 1,002", "2*(3-1)==4", "-(2-5)*2 == 6", "１＋２==3", "1 + 1 == 2 or so", "(1==1", "1==1==1", "5-2-1==2", "2*-3 == -6"]
+    df = spark.createDataFrame([(i, "> [!check] " + x) for i, x in enumerate(lines)], "i int, line string")
+    got = [r.verdict for r in verify.closures(df, "line").orderBy("i").collect()]
+    assert got == ["ok", "wrong", "ok", "ok", "ok", "unreadable", "unreadable", "unreadable", "ok", "ok"]
+
+
+def test_terms_of_any_number_and_length(spark):
+    rows = spark.createDataFrame([(1, 0, "abcabc"), (1, 1, "x"), (2, 0, "a\nbc甲乙"), (3, 0, "")], "doc_id bigint, line_no int, norm string")
+    terms = spark.createDataFrame([("t1", "abc"), ("t2", "x"), ("t3", "甲乙"), ("t4", ""), ("t5", "abc"), ("t6", "bc甲"), ("t7", "zz"), ("t1", "abc")], "term string, wanted string")
+    got = sorted(tuple(r) for r in evidence.find_terms(rows, terms).collect())
+    assert got == [("t1", 1, 0), ("t2", 1, 1), ("t3", 2, 0), ("t5", 1, 0), ("t6", 2, 0)]
+    many = spark.range(150_000).selectExpr("cast(id as string) as term", "concat('k', id, 'e') as wanted")
+    assert evidence.find_terms(spark.createDataFrame([(1, 0, "k77e-k140000e")], "doc_id bigint, line_no int, norm string"), many).count() == 2
+    assert evidence.find_terms(rows, terms.limit(0)).count() == 0 == evidence.find_terms(rows.limit(0), terms).count()
+
+
+def test_limits_reach_the_tasks(spark):
+    scored = spark.range(1000).selectExpr("id % 7 as query", "id as doc", "cast(id % 13 as double) as score")
+    ranked = retrieval.ranked(scored, "doc", 3)
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+    assert sorted({r.rank for r in ranked.collect()}) == [0, 1, 2]
