@@ -17,8 +17,9 @@ def edges(links: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def neighbours(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, degree and its neighbours' smallest name, for each of `nodes`."""
-    return nodes.join(graph, nodes["node"] == graph["a"], "left").groupBy("node").agg(F.count("b").alias("degree"), F.min("b").alias("first"))
+    """node, degree and its neighbours in order, for each of `nodes`; a node without any has an empty list."""
+    found = nodes.join(graph, nodes["node"] == graph["a"], "left").groupBy("node")
+    return found.agg(F.count("b").alias("degree"), F.array_sort(F.collect_list("b")).alias("neighbours"))
 
 
 def distances(graph: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ def split_structured(text: str, limit: int) -> list[str]:
 
 
 def _exploded(docs: DataFrame, keys: list[str], text: str, fields: list[StructField], split) -> DataFrame:
-    """keys and the fields of every tuple that `split` makes of a text; null texts have none."""
+    """keys and the fields of every tuple that `split` makes of a value of the column `text`; nulls have none."""
     rows = docs.filter(F.col(text).isNotNull()).select(*keys, text)
     schema = StructType([*(rows.schema[k] for k in keys), *fields])
     kinds = [pa.int32() if isinstance(f.dataType, IntegerType) else pa.string() for f in fields]
@@ -195,32 +195,40 @@ def table_pieces(docs: DataFrame, keys: list[str], limit: int, text: str = "text
     return _exploded(docs, keys, text, fields, lambda t: [(line, i, count_tokens(p), p) for is_table, line, block in blocks(t) if is_table for i, p in enumerate(split_table(block, limit))])
 
 
-def packed(units: DataFrame, keys: list[str], order: str, unit: str, limit: int, overlap: int = 0) -> DataFrame:
-    """keys, chunk, text, n_tokens: units in order, packed greedily up to `limit`; a chunk starts with the last units of the one before, up to `overlap`.
+def pack_units(units: list[str], limit: int, overlap: int = 0) -> list[tuple[int, str, int]]:
+    """(number, text, tokens) of chunks: units in order, as many as keep the limit; a chunk starts with the last units of the one before, up to
+    `overlap` and as far as they leave room. Every unit is looked at once, and once more where it is carried over."""
+    out: list[list[tuple[str, int]]] = []
+    now: list[tuple[str, int]] = []
+    used = 0
+    for unit in units:
+        n = count_tokens(unit)
+        if now and used + n > limit:
+            out.append(now)
+            start, carried = len(now), 0
+            while start and carried + now[start - 1][1] <= overlap:
+                start -= 1
+                carried += now[start][1]
+            now, used = (now[start:], carried) if carried + n <= limit else ([], 0)
+        now.append((unit, n))
+        used += n
+    if now:
+        out.append(now)
+    return [(k, "\n\n".join(u for u, _ in chunk), sum(n for _, n in chunk)) for k, chunk in enumerate(out)]
 
-    A fold over the units of one section (bounded by its text), inside Catalyst. Units of `units` keep the limit; another above it is a chunk of its own.
-    """
-    gathered = units.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, unit))), lambda x: x[unit]).alias("units"))
-    sized = gathered.withColumn("units", F.transform("units", lambda u: F.struct(u.alias("text"), approximate_tokens(u).alias("n"))))
-    kind = "struct<done:array<array<struct<text:string,n:int>>>,now:array<struct<text:string,n:int>>,n:int>"
-    start = F.from_json(F.lit('{"done":[],"now":[],"n":0}'), kind)
-
-    def carry(now: Column) -> Column:
-        return F.aggregate(
-            F.reverse(now),
-            F.struct(F.slice(now, 1, 0).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")),
-            lambda acc, u: F.when(acc["open"] & (acc["n"] + u["n"] <= overlap), F.struct(F.concat(F.array(u), acc["kept"]).alias("kept"), (acc["n"] + u["n"]).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"), F.lit(False).alias("open"))),
-        )
-
-    def step(acc: Column, u: Column) -> Column:
-        kept = carry(acc["now"])
-        fresh = F.when(kept["n"] + u["n"] <= limit, F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), F.concat(kept["kept"], F.array(u)).alias("now"), (kept["n"] + u["n"]).alias("n")))
-        fresh = fresh.otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), F.array(u).alias("now"), u["n"].alias("n")))
-        added = F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(u)).alias("now"), (acc["n"] + u["n"]).alias("n"))
-        return F.when((F.size(acc["now"]) == 0) | (acc["n"] + u["n"] <= limit), added).otherwise(fresh).cast(kind)
-
-    folded = sized.withColumn("f", F.aggregate("units", start, step)).select(*keys, F.posexplode(F.concat("f.done", F.array("f.now"))).alias("chunk", "parts"))
-    return folded.select(*keys, "chunk", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"), F.aggregate("parts", F.lit(0), lambda a, p: a + p["n"]).alias("n_tokens"))
+
+CHUNK = [StructField("chunk", IntegerType()), StructField("text", StringType()), StructField("n_tokens", IntegerType())]
+
+
+def chunked(docs: DataFrame, keys: list[str], limit: int, overlap: int = 0, text: str = "text") -> DataFrame:
+    """keys, chunk, text, n_tokens: each text cut into units and these packed, in one pass and without a shuffle."""
+    return _exploded(docs, keys, text, CHUNK, lambda t: pack_units(split_structured(t, limit), limit, overlap))
+
+
+def packed(units: DataFrame, keys: list[str], order: str, unit: str, limit: int, overlap: int = 0) -> DataFrame:
+    """keys, chunk, text, n_tokens of units that are rows: gathered by key (bounded by one text) and packed in their order. A unit above the limit is a chunk of its own."""
+    gathered = units.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, unit))), lambda x: x[unit]).alias("_units"))
+    return _exploded(gathered, keys, "_units", CHUNK, lambda given: pack_units(given, limit, overlap))
 
 
 def blank(c: Column) -> Column:

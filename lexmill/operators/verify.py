@@ -7,12 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import fragments, norm_quote
+from lexmill.functions.text import body, fragments, frontmatter_field, norm_quote, strip
 from lexmill.operators.sections import lines
 
 # The forms that pages are written in.
 ANCHOR = r"〔来源:[ \t]*([^\n：]+?)：「([^\n]+?)」〕"
 WIKILINK = r"\[\[([^\[\]\n]+)\]\]"
+NOT_FOUND = "未在本案材料中找到"
+SECTION_NAMES = (
+    "回答 结论 本案结论 摘要 案件摘要 概览 案件概况 事实 案件事实 事实依据 证据 证据依据 依据 说明 分析 法律分析 检索结果 材料情况 付款情况 争议焦点 时间线 案件主体 法律关系 风险 风险提示 建议 待核实事项 案件索引".split() + ["案件 wiki 索引"]
+)
+NAVIGATION = ["", "见", "参见", "另见", "主体", "相关主体", "相关页面", "相关法律事实", "关系"]
 DATE = r"(\d{4})[ ]*年(?:[ ]*(\d{1,2})[ ]*月)?(?:[ ]*(\d{1,2})[ ]*日)?"
 
 
@@ -124,6 +129,33 @@ def _value(text: str) -> float | None:
         text = f"{text[: inner.start()]}{'-' if total < 0 else ''}{abs(total):.10f}{text[inner.end() :]}"
 
 
+def provenance(pages: DataFrame, originals: DataFrame, text: str = "text") -> DataFrame:
+    """pages with `findings`, for those that have any, in a fixed order: legacy (no version), unsupported (another version than 1), incomplete (a source or hash is
+    missing), then no original or original changed, then body changed (fixed terms). `originals`: source, sha (of the file as it is now)."""
+    own = ("provenance_version", "source", "source_sha256", "content_sha256")
+    read = pages.select("*", *(frontmatter_field(F.col(text), k).alias(f"_{k}") for k in own), F.sha2(body(F.col(text)), 256).alias("_now"))
+    joined = read.join(originals.select(F.col("source").alias("_source"), F.col("sha").alias("_sha")), "_source", "left")
+    version, missing = F.col("_provenance_version"), F.col("_source").isNull() | F.col("_source_sha256").isNull() | F.col("_content_sha256").isNull()
+    head = F.when(version.isNull(), "legacy").when(version != "1", "unsupported").when(missing, "incomplete")
+    original = F.when(F.col("_source_sha256").isNotNull(), F.when(F.col("_sha").isNull(), "no original").when(F.col("_sha") != F.col("_source_sha256"), "original changed"))
+    changed = F.when(F.col("_now") != F.col("_content_sha256"), "body changed")
+    found = joined.withColumn("findings", F.array_join(F.array_compact(F.array(head, original, changed)), ", "))
+    return found.filter("findings != ''").drop(*(f"_{k}" for k in own), "_now", "_sha")
+
+
+def gate(drafts: DataFrame, key: str, sources: DataFrame, text: str = "text", root: str = "_md") -> DataFrame:
+    """key, n_failed (citations that don't hold), n_outside (of sources outside of `root`), n_checks (sums that are wrong or unreadable), n_bare (lines without a citation) and exit_code
+    (1 if there is any) of every draft."""
+    found = anchors(drafts, key, text)
+    failed = verify_anchors(found, sources).groupBy(key).agg(F.count_if(F.col("verdict") != "ok").alias("n_failed"), F.count_if(~closed_world(F.col("source"), root)).alias("n_outside"))
+    sums = lines(drafts, key, text).filter(F.col("line").rlike(r">\s*\[!check\]"))
+    wrong = closures(sums, "line").filter("verdict != 'ok'").groupBy(key).agg(F.count("*").alias("n_checks"))
+    bare = unanchored(drafts, key, text).groupBy(key).agg(F.count("*").alias("n_bare"))
+    joined = drafts.select(key).join(failed, key, "left").join(wrong, key, "left").join(bare, key, "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_failed", "n_outside", "n_checks", "n_bare")]
+    return joined.select(key, *counts).withColumn("exit_code", F.when(F.expr("n_failed + n_outside + n_checks + n_bare > 0"), 1).otherwise(0))
+
+
 def skip_ledger(logs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """path, has_reason from log texts: `## [date] skip | path`, and `- 原因：...` below it before any other heading; a path with a reason once has one."""
     rows = lines(logs, key, text)
@@ -141,18 +173,39 @@ def coverage(sources: DataFrame, cited: DataFrame, skips: DataFrame) -> DataFram
     return joined.select("path", F.when(F.col("cited"), "cited").when(F.col("has_reason"), "skipped").otherwise("unresolved").alias("state"))
 
 
-def unanchored(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line_no, line of factual lines without a citation: no headings, rules, fences and their content, tables' rules and the
-    line before one, link rows, note callouts with their continuation, or blank lines."""
-    rows = lines(pages, key, text)
+def unanchored(pages: DataFrame, key: str, text: str = "text", title: str | None = None, navigation: bool = False) -> DataFrame:
+    """key, line_no, line of factual lines without a citation that ends them.
+
+    Exempt are blank lines, rules, marks of fences (not what is in them), lines of analysis (a note callout that says so, with what continues it), sums to
+    check, heads of callouts, headings that only name a section, the first heading where it is the column `title`, a table's rule and the row above it, the phrase for what wasn't
+    found, and with `navigation` rows of links. A line with a citation must end with it, but for punctuation and the mark of suspect sources.
+    """
     order = Window.partitionBy(key).orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("t", F.trim("line"))
-    fence, rule = F.col("t").startswith("```"), F.col("t").rlike(r"\A[|:\- ]*\|[|:\- ]*\z") | F.col("t").rlike(r"\A(-{3,}|\*{3,})\z")
-    rows = rows.withColumn("fenced", F.sum(fence.cast("int")).over(so_far) % 2).withColumn("next_rule", F.coalesce(F.lead(rule).over(order), F.lit(False)))
-    note = F.when(F.col("t").rlike(r"\A>[ ]*\[!note\]"), 1).when(F.col("t").startswith(">"), None).otherwise(0)
-    rows = rows.withColumn("in_note", F.last(note, ignorenulls=True).over(so_far))
-    exempt = (F.col("t") == "") | fence | (F.col("fenced") == 1) | rule | F.col("next_rule") | F.col("t").startswith("#") | (F.coalesce("in_note", F.lit(0)) == 1) | F.col("t").rlike(r"〔来源:") | F.col("t").rlike(r"\A(- )?(\[\[[^\n]*\]\][、, ]*)+\z")
+    rows = lines(pages.withColumn("_body", body(F.col(text))), key, "_body")
+    if title:
+        rows = rows.join(pages.select(key, F.col(title).alias("_title")), key)
+    given = strip(F.col("line"))
+    rows = rows.withColumn("s", given).withColumn("quoted", given.startswith(">"))
+    skip = (F.col("s") == "") | F.col("s").rlike(r"\A[-*_]{3,}\z") | F.col("s").startswith("```")
+    state = F.when(skip, None).when(F.col("s").rlike(r"\A>\s*\[!note\]\s*分析(?:（非本案证据）)?\s*\z"), 1).when(F.col("quoted"), None).otherwise(0)
+    rows = rows.withColumn("skip", skip).withColumn("analysis", F.coalesce(F.last(state, ignorenulls=True).over(so_far), F.lit(0)) == 1)
+    rows = rows.withColumn("t", F.when(F.col("quoted"), F.regexp_replace("s", r"\A[> ]+", "")).otherwise(F.col("s")))
+    rule = F.col("s").rlike(r"\A\|?[\s:|-]+\|?\z")
+    rows = rows.withColumn("head_row", F.col("t").rlike(r"(?s)\A\|.*\|\z") & F.coalesce(F.lead(rule).over(order), F.lit(False)))
+    name = F.when(F.col("t").startswith("#"), F.regexp_replace("t", r"\A[# ]+", ""))
+    rows = rows.withColumn("heading", F.when(~F.col("skip") & ~F.col("analysis"), name))
+    rows = rows.withColumn("n_heading", F.count("heading").over(so_far))
+    label = F.coalesce(F.col("heading").isin(SECTION_NAMES), F.lit(False))
+    if title:
+        label |= F.coalesce((F.col("heading") == F.col("_title")) & (F.col("n_heading") == 1), F.lit(False))
+    mark = F.col("t").startswith("[!check]") | F.col("t").rlike(r"\A(?:\[!warning\]\s*⚠?\s*冲突|\[!caution\]\s*含未核验来源)\z")
+    after = F.element_at(F.split("t", ANCHOR, -1), -1)
+    cited = F.col("t").rlike(ANCHOR) & after.rlike(r"\A(?:[ \t]*（未核验）)?[ \t，,。；;：:|]*\z")
+    exempt = F.col("skip") | F.col("analysis") | (F.col("t") == "") | F.col("t").rlike(r"\A\|?[\s:|-]+\|?\z") | mark | label | F.col("head_row") | cited | F.col("t").rlike(rf"\A{NOT_FOUND}[。！？]?\z")
+    if navigation:
+        rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"\[\[[^\[\]\n|]+\]\]", ""), r"\A[-*+]\s*", ""), r"\A[ \t，,。；;：:]+|[ \t，,。；;：:]+\z", "")
+        exempt |= F.col("t").rlike(r"\[\[") & rest.isin(NAVIGATION)
     return rows.filter(~exempt).select(key, "line_no", F.col("t").alias("line"))
 
 

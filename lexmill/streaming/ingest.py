@@ -27,7 +27,7 @@ def index_continuously(stream: DataFrame, index: str, checkpoint: str, limit: in
 
     def batch(rows: DataFrame, _: int) -> None:
         docs = rows.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("string").alias("source"), "text")
-        chunks = sections.packed(sections.units(docs, ["source"], limit), ["source"], "unit_no", "unit", limit, overlap)
+        chunks = sections.chunked(docs, ["source"], limit, overlap)
         write_index(chunks, index)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

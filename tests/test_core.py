@@ -103,9 +103,28 @@ def test_closures_dates_skips_links(spark):
 
 
 def test_unanchored(spark):
-    text = "---\n# 标题\n事实一\n事实二〔来源: a：「b」〕\n> [!note] 分析\n> 意见\n事实三\n| a | b |\n|---|---|\n| 1 | 2 |\n```\ncode\n```\n- [[甲]]\n"
-    got = verify.unanchored(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), "id").orderBy("line_no").collect()
-    assert [r.line for r in got] == ["事实一", "事实三", "| 1 | 2 |"]
+    text = "\n".join(
+        ["# 标题", "事实一", "事实二〔来源: a：「b」〕", "事实三〔来源: a：「b」〕，另有其他", "## 付款情况", "## 甲方欠款", "# 标题", "> [!note] 分析", "> 意见", "", "> 仍是意见", "事实四", "> [!check] 1 + 1 == 2", "> 引文", "| a | b |", "|---|---|", "| 1 | 2 |",
+         "```", "code", "```", "- [[甲]]", "未在本案材料中找到。", "未在本案材料中找到，但是", "> [!warning] ⚠ 冲突", "***", "[[甲|乙]]", "结论〔来源: a：「b」〕（未核验）。"]
+    )
+    pages = spark.createDataFrame([(1, "标题", "---\nsource: x\n---\n\n" + text), (2, "t", None)], "id int, title string, text string")
+    bare = ["事实一", "事实三〔来源: a：「b」〕，另有其他", "## 甲方欠款", "# 标题", "事实四", "引文", "| 1 | 2 |", "code", "未在本案材料中找到，但是", "[[甲|乙]]"]
+    assert [r.line for r in verify.unanchored(pages, "id", title="title", navigation=True).orderBy("line_no").collect()] == bare
+    assert [r.line for r in verify.unanchored(pages, "id").orderBy("line_no").collect()] == ["# 标题", *bare[:7], bare[7], "- [[甲]]", *bare[8:]]
+
+
+def test_gate_and_provenance(spark):
+    drafts = spark.createDataFrame([(1, "事实〔来源: _md/a.md：「甲方付款」〕"), (2, "裸事实\n> [!check] 1+1==3"), (3, "x〔来源: b.md：「甲方」〕"), (4, "")], "id int, text string")
+    sources = spark.createDataFrame([("_md/a.md", "甲方 付款。", False), ("b.md", "甲方", False)], "source string, body string, suspect boolean")
+    got = {r.id: tuple(r)[1:] for r in verify.gate(drafts, "id", sources).collect()}
+    assert got == {1: (0, 0, 0, 0, 0), 2: (0, 0, 1, 1, 1), 3: (0, 1, 0, 0, 1), 4: (0, 0, 0, 0, 0)}
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    page = lambda version, source, s, c, text: "---\n" + "".join(f"{k}: {v}\n" for k, v in (("provenance_version", version), ("source", source), ("source_sha256", s), ("content_sha256", c)) if v) + "---\n\n" + text
+    pages = [(1, page("1", "a.pdf", sha("A"), sha("t\r\n"), "t\r\n")), (2, page(None, "a.pdf", sha("A"), sha("t"), "t")), (3, page("2", "a.pdf", sha("B"), sha("t"), "u")), (4, page("1", None, sha("A"), sha("t"), "t")), (5, page("1", "z.pdf", sha("A"), None, "t")), (6, "plain"), (7, None)]
+    found = verify.provenance(spark.createDataFrame(pages, "id int, text string"), spark.createDataFrame([("a.pdf", sha("A"))], "source string, sha string"))
+    assert {r.id: r.findings for r in found.collect()} == {2: "legacy", 3: "unsupported, original changed, body changed", 4: "incomplete, no original", 5: "incomplete, no original", 6: "legacy", 7: "legacy"}
 
 
 def test_routes_names_quality(spark):
