@@ -45,7 +45,7 @@ MASK = (1 << 64) - 1
 DIGITS = str.maketrans("123456789", "000000000")
 TOKEN = re.compile(r"(?:[A-Za-zÀ-ɏ0-9〇|]|!(?=[a-zà-ÿ])|(?<=\d)[.,](?=[\dOlISZBb〇|])|(?<=[OlISZBb〇|])[.,](?=\d))+|[-‐‑¬­!.,]|[^A-Za-zÀ-ɏ0-9〇|\s\-‐‑¬­!.,]+")
 PUNCTUATION = str.maketrans("，。：；！？（）", ",.:;!?()")
-CUT_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[-‐‑¬­]\n  [^\W\d_]+")
+LAST_WORD, FIRST_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[-‐‑¬­]$"), re.compile(r"[^\W\d_]+")
 #: Nats for a blank taken out, a blank put in, a word cut at a line end without a hyphen, a hyphen that cuts a word, one that belongs there.
 MERGE, SPLIT, CUT, HYPHEN, KEPT_HYPHEN = 7.0, 7.0, 5.0, 1.0, 4.0
 #: Share of words that no count of words can foretell; the count from which a word is known; the odds of a confusion in a line without any confidence.
@@ -103,6 +103,19 @@ def gram_slot(text: str) -> int:
     return (h ^ (h >> 31)) & (GRAMS - 1)
 
 
+def whole_words(lines: list[str]) -> list[str]:
+    """Lines without the words that a hyphen cuts at their ends."""
+    out, cut = [], False
+    for line in lines:
+        if cut:
+            line = FIRST_WORD.sub("", line, count=1) if line[:1].isalpha() else line
+        cut = line[-1:] in "-‐‑¬­" and line[-1:] != ""
+        if cut:
+            line = LAST_WORD.sub("", line)
+        out.append(line)
+    return out
+
+
 class Counts:
     """Sums of one task."""
 
@@ -110,17 +123,19 @@ class Counts:
         self.all = np.zeros(SIZE, np.int64)
         self.part = {name: self.all[a : a + n] for name, (a, n) in PARTS.items()}
         self.waiting: list[str] = []
+        self.waiting_words: list[str] = []
         self.size = 0
 
     def text(self, lines: list[str]) -> None:
         """Letters and words of lines, counted when there are enough; words that a hyphen cuts at a line end are left out."""
         self.waiting += lines
+        self.waiting_words += whole_words(lines) if any(line[-1:] in "-‐‑¬­" for line in lines) else lines
         self.size += sum(map(len, lines))
         if self.size > 1_000_000:
             self.flush()
 
     def flush(self) -> None:
-        lines, self.waiting, self.size = self.waiting, [], 0
+        lines, words, self.waiting, self.waiting_words, self.size = self.waiting, self.waiting_words, [], [], 0
         if not lines:
             return
         codes = np.frombuffer(("  " + "\n  ".join(lines)).encode("utf-32-le"), np.uint32)
@@ -128,8 +143,10 @@ class Counts:
         for width in (1, 2, 3):
             if len(codes) >= width:
                 self.part["grams"] += np.bincount(gram_slots(codes, width), minlength=GRAMS)
-        text = codes.astype(np.uint32).tobytes().decode("utf-32-le")
-        found = Counter(TOKEN.findall(CUT_WORD.sub("\n", text)))
+        found: dict[str, int] = {}
+        for word, n in Counter(TOKEN.findall("\n".join(words))).items():
+            word = shape(word)
+            found[word] = found.get(word, 0) + n
         each = {w: n for w, n in found.items() if is_wide(w) and len(w) <= LONGEST}
         for run, n in found.items():
             if run not in each and not is_wide(run):
@@ -175,6 +192,7 @@ class Model:
         self.known: dict[str, float] = {}
         self.seams: dict[str, float] = {}
         self.counts_of: dict[str, int] = {}
+        self.ratios: dict[str, float] = {}
         self.costs_of: dict[str, tuple[int, float]] = {}
 
     def odds(self, confidence: float | None) -> float:
@@ -256,8 +274,13 @@ class Model:
         words = words_of(line) if self.n_marks else []
         share, total = self.n_marks / self.n_words, 0.0
         for word in words:
-            a = word_slots(word)[0]
-            total += math.log((int(self.marks[a]) + share) / (int(self.words[0][a]) + 1.0) / share)  # furniture is counted among the words, too
+            got = self.ratios.get(word)
+            if got is None:
+                if len(self.ratios) > 200_000:
+                    self.ratios.clear()
+                a = word_slots(word)[0]  # furniture is counted among the words, too
+                got = self.ratios[word] = math.log((int(self.marks[a]) + share) / (int(self.words[0][a]) + 1.0) / share)
+            total += got
         return total / len(words) if words else 0.0
 
 

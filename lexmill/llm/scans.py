@@ -149,11 +149,11 @@ class Page:
             line = lines[i]
             edge = k in (0, len(rest) - 1) or i - 1 in self.numbers or i + 1 in self.numbers or not lines[i - 1].strip() and self._open(rest[k - 1])
             score = -4.0 + 3.0 * (again[i] > 0) + 1.0 * (again[i] > 1) + 2.0 * edge - 4.0 * bool(FULL_STOP.search(line)) - 4.0 * bool(MARKED.match(line))
-            if score > -4.5 and 0 < k < len(rest) - 1 and self.model.n_letters:  # what is left can add 1.5 and 3
+            if score > -4.5:  # what is left can add 3 and 1.5
+                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(line)))
+            if score > -1.5 and 0 < k < len(rest) - 1 and self.model.n_letters:
                 a, b = lines[rest[k - 1]], lines[rest[k + 1]]
                 score += min(1.5, max(-1.5, (self._seam(a, line) + self._seam(line, b) - 2 * self._seam(a, b)) / 4))
-            if score > -3.0:
-                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(line)))
             scores[i] = score
         found = {i for i, score in scores.items() if score > 0}
         # copies of one line are judged together, and a header that stands first of all is one only if it, or another, comes again
