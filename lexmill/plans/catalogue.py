@@ -514,7 +514,8 @@ def anchor_verify(spark, folder):
 
 
 @query(
-    rf"""WITH {_PAGES} SELECT doc_id, 1 AS line_no, 0 AS claim_no, 'claim ' || doc_id AS claim, regexp_extract(text, {_ANCHOR}, 1) AS source FROM pg WHERE regexp_matches(text, {_ANCHOR})"""
+    rf"""WITH {_PAGES}, ln AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM pg), ll AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM ln)
+    SELECT doc_id, line_no, 0 AS claim_no, trim(split_part(line, '〔来源:', 1), ' ') AS claim, regexp_extract(line, {_ANCHOR}, 1) AS source FROM ll WHERE NOT starts_with(line, '#') AND regexp_matches(line, {_ANCHOR})"""
 )
 def claim_pairs(spark, folder):
     """Claims of pages with the source that each cites."""
@@ -536,7 +537,9 @@ def dead_links(spark, folder):
 
 @query(
     r"""WITH p AS (SELECT result_id, CASE result_id % 4 WHEN 0 THEN '_md/' || case_id || '/a.md' WHEN 1 THEN '_md/../wiki/' || case_id || '.md' WHEN 2 THEN './_md//' || case_id || '/../b.md' ELSE case_id || '.md' END AS path FROM (SELECT DISTINCT result_id, case_id FROM conversion_results))
-    SELECT result_id, path, (result_id % 4 IN (0, 2)) AS inside FROM p"""
+    , q AS (SELECT result_id, path, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'), lambda x: [x])),
+    lambda done, x: CASE WHEN x[1] = '..' AND len(done) > 0 THEN done[:len(done) - 1] ELSE list_concat(done, x) END) AS parts FROM p)
+    SELECT result_id, path, NOT starts_with(path, '/') AND len(parts) > 1 AND parts[1] = '_md' AS inside FROM q"""
 )
 def closed_world(spark, folder):
     """Whether cited paths stay inside the folder of sources."""
@@ -584,7 +587,8 @@ def timeline_order(spark, folder):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'wrong' WHEN l_linenumber % 5 = 0 THEN 'unreadable' ELSE 'ok' END AS verdict FROM lineitem"""
+    r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT || '+' || l_partkey || '==' || (l_quantity::BIGINT + l_partkey + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) || CASE WHEN l_linenumber % 5 = 0 AND l_linenumber % 3 <> 0 THEN ' or so' ELSE '' END AS claim FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN NOT regexp_full_match(claim, '[0-9.]+(\+[0-9.]+)*==[0-9.]+') THEN 'unreadable' WHEN abs(list_sum(list_transform(string_split(split_part(claim, '==', 1), '+'), lambda x: x::DOUBLE)) - split_part(claim, '==', 2)::DOUBLE) <= 1e-6 THEN 'ok' ELSE 'wrong' END AS verdict FROM t"""
 )
 def closure_check(spark, folder):
     """Sums written as text, evaluated and compared."""
@@ -627,7 +631,19 @@ def coverage_ledger(spark, folder):
     return states.groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query()
+_NAMES_SQL = ", ".join(f"'{n}'" for n in verify.SECTION_NAMES)
+
+
+@query(
+    rf"""WITH b AS (SELECT doc_id, string_split(replace(regexp_replace(text, '\A---\r?\n[\s\S]*?\r?\n---\r?\n\r?\n', ''), chr(13) || chr(10), chr(10)), chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, line_no, {_strip_sql('line')} AS s FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM b)),
+    k AS (SELECT *, s = '' OR regexp_matches(s, '\A[-*_]{{3,}}\z') OR starts_with(s, '```') AS skip, starts_with(s, '>') AS quoted, regexp_matches(s, '\A\|?[\s:|-]+\|?\z') AS is_rule FROM s),
+    n AS (SELECT *, CASE WHEN skip THEN NULL WHEN regexp_matches(s, '\A>\s*\[!note\]\s*分析(?:（非本案证据）)?\s*\z') THEN 1 WHEN quoted THEN NULL ELSE 0 END AS state, CASE WHEN quoted THEN regexp_replace(s, '\A[> ]+', '') ELSE s END AS t FROM k),
+    w AS (SELECT *, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) = 1 AS analysis, coalesce(lead(is_rule) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS next_rule FROM n)
+    SELECT doc_id, count(*) AS n_lines, min(line_no) AS first_line FROM w WHERE NOT (skip OR analysis OR t = '' OR regexp_matches(t, '\A\|?[\s:|-]+\|?\z') OR starts_with(t, '[!check]') OR regexp_matches(t, '\A(?:\[!warning\]\s*⚠?\s*冲突|\[!caution\]\s*含未核验来源)\z')
+    OR (starts_with(t, '#') AND regexp_replace(t, '\A[# ]+', '') IN ({_NAMES_SQL})) OR (regexp_matches(t, '(?s)\A\|.*\|\z') AND next_rule) OR (regexp_matches(t, {_ANCHOR}) AND regexp_matches(regexp_split_to_array(t, {_ANCHOR})[-1], '\A(?:[ \t]*（未核验）)?[ \t，,。；;：:|]*\z'))
+    OR regexp_matches(t, '\A{verify.NOT_FOUND}[。！？]?\z')) GROUP BY doc_id"""
+)
 def unanchored_lines(spark, folder):
     """Lines of documents that state something without a citation."""
     u = verify.unanchored(table(spark, folder, "documents"), "doc_id")

@@ -1,10 +1,11 @@
-"""Reading files into tables, and writing an index partitioned by source."""
+"""Reading files into tables, and an index of chunks in which sources are replaced and deleted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.checkpoints import Stages
 from lexmill.functions.text import body, frontmatter_field, strip
 from lexmill.operators.conversion import extension, route
 
@@ -52,6 +53,42 @@ def html_to_text(html):
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Writes chunks partitioned by source; sources in `chunks` replace their older rows, all others stay."""
-    chunks.repartition("source").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("source").parquet(path)
+BUCKETS = 64
+
+
+def write_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes chunks (source and others) to the index at `path`: sources in `chunks` replace their older rows, all others stay."""
+    _replace(chunks.sparkSession, chunks, chunks.select("source").distinct(), path, buckets)
+
+
+def delete_sources(sources: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Takes the rows of `sources` (source) out of the index at `path`; an unknown source is no error."""
+    _replace(sources.sparkSession, None, sources.select("source").distinct(), path, buckets)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """source and n_chunks of an index."""
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n_chunks"))
+
+
+def _replace(spark: SparkSession, chunks: DataFrame | None, sources: DataFrame, path: str, buckets: int) -> None:
+    """An index has a fixed number of folders, by the hash of the source. Folders that a change touches are merged in a table beside it, and then overwritten
+    at once; those that come out empty are deleted."""
+    bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
+    stages = Stages(spark, "index")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = stages.write("sources", sources)
+    touched = [r.bucket for r in gone.select(bucket.alias("bucket")).distinct().collect()]  # at most as many as folders
+    rows = chunks.withColumn("bucket", bucket) if chunks is not None else None
+    if fs.exists(where):
+        kept = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).join(gone, "source", "left_anti")
+        rows = kept if rows is None else rows.unionByName(kept, allowMissingColumns=True)
+    if rows is not None and touched:
+        merged = stages.write("merged", rows.repartition("bucket"))
+        merged.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+        left = {r.bucket for r in merged.select("bucket").distinct().collect()}
+        for b in touched:
+            if b not in left:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}"), True)
+    stages.clear()

@@ -38,3 +38,15 @@ def test_continuous_index(spark, small, tmp_path):
     q = counts.writeStream.format("memory").queryName("deliveries").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("deliveries").agg(F.sum("n")).first()[0] > 0
+
+
+def test_index_replaces_and_deletes_sources(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = lambda *given: spark.createDataFrame(list(given), "source string, ord int, text string")
+    files.write_index(rows(("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")), path, buckets=2)
+    files.write_index(rows(("a", 0, "new"), ("c", 0, "w")), path, buckets=2)
+    assert sorted((r.source, r.ord, r.text) for r in spark.read.parquet(path).collect()) == [("a", 0, "new"), ("b", 0, "z"), ("c", 0, "w")]
+    files.delete_sources(spark.createDataFrame([("a",), ("nothing",), ("c",)], "source string"), path, buckets=2)
+    assert {r.source: r.n_chunks for r in files.manifest(spark, path).collect()} == {"b": 1}
+    files.write_index(rows(("b", 0, "z2")).limit(0), path, buckets=2)
+    assert spark.read.parquet(path).count() == 1
