@@ -45,6 +45,8 @@ MIN_CHARS, THRESHOLD = 80, 0.6
 #: Pairs whose share of equal minima is lower than the threshold by more than this aren't compared run by run (3.2 standard deviations).
 MARGIN = 0.14
 NONE = np.uint32(0xFFFFFFFF)
+#: Bytes of a row that is sent to its shard, and about as many as a task should get.
+ROW_BYTES, TASK_BYTES = 50, 64 << 20
 
 
 def runs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +263,11 @@ def candidates(classes: DataFrame, stages: Stages, radius: int = RADIUS, shard:
     coded = classes.select((F.col("id") * 2 + (F.col("tbl") == "chunks").cast("bigint")).alias("id"), *SKETCH, F.explode(F.arrays_zip("keys", "short")).alias("k"))
     rows = coded.select(F.col("k.keys").alias("key"), F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("home"), "id", F.col("k.short").alias("short"), *SKETCH)
 
+    at_least = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(at_least, classes.count() * TABLES * ROW_BYTES // TASK_BYTES)  # as many as the rows ask for: a task's share doesn't grow with the data
+
     def search(rows: DataFrame, limit: int) -> DataFrame:
-        return rows.select(*_COLUMNS).repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda batches: _search_shards(batches, radius, limit), schema)
+        return rows.select(*_COLUMNS).repartition(tasks, "key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda batches: _search_shards(batches, radius, limit), schema)
 
     some = classes.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
     hot = stages.write("hot", some.groupBy("key").count().filter(F.col("count") * SAMPLE > shard).select("key"))
