@@ -672,11 +672,12 @@ def _first_case(spark, folder) -> DataFrame:
     return table(spark, folder, "documents").filter("case_id is not null and source is not null").agg(F.min("case_id").alias("node"))
 
 
-@query(f"WITH {_GRAPH} SELECT a AS node, count(*) AS degree, list(b ORDER BY b) AS neighbours FROM gs GROUP BY a")
+@query(f"WITH {_GRAPH} SELECT a AS node, count(*) AS degree, string_agg(b, ', ' ORDER BY b) AS neighbours FROM gs GROUP BY a")
 def graph_neighbors(spark, folder):
     """Nodes of the graph with their neighbours in order."""
     g = _graph(spark, folder)
-    return graph.neighbours(g, g.select(F.col("a").alias("node")).distinct())
+    found = graph.neighbours(g, g.select(F.col("a").alias("node")).distinct())
+    return found.withColumn("neighbours", F.array_join("neighbours", ", "))
 
 
 @query(
