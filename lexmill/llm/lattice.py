@@ -149,7 +149,7 @@ class Counts:
             found[word] = found.get(word, 0) + n
         each = {w: n for w, n in found.items() if is_wide(w) and len(w) <= LONGEST}
         for run, n in found.items():
-            if run not in each and not is_wide(run):
+            if not is_wide(run):
                 for c in run:
                     each[c] = each.get(c, 0) + n
         slots = np.array([word_slots(w) for w in each]).reshape(-1, 2)

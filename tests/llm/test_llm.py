@@ -391,6 +391,17 @@ def language():
     return lattice.Model(counts.all)
 
 
+def test_counts_are_the_same_in_any_order():
+    lines = ["(a): one", "two : three", "four : five", "双方：已经", "六 ： 七"]
+    both = []
+    for given in (lines, lines[::-1]):
+        counts = lattice.Counts()
+        counts.text(given)
+        counts.flush()
+        both.append(counts.part["words"].copy())
+    assert both[0][lattice.word_slots(":")[0]] == 3 and both[0][lattice.word_slots("：")[0]] == 2 and (both[0] == both[1]).all()
+
+
 def test_page_furniture_and_paragraphs():
     page = scans.Page(SCAN, None, None, EMPTY)
     assert {page.lines[i] for i in page.headers} == {"（2026）松浦民初2724号判决"} and {page.lines[i] for i in page.numbers} == {"— 1 —", "— 2 —"}
