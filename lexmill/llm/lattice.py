@@ -18,6 +18,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -42,21 +43,48 @@ for _a, _b in PAIRS.items():
         BY_SHAPE.setdefault(_b, []).append(_a)
 HAN = re.compile("[" + "".join(c for c in BY_SHAPE if c > "⺀" and c != "〇") + "]")
 MASK = (1 << 64) - 1
-DIGITS = str.maketrans("123456789", "000000000")
-TOKEN = re.compile(r"(?:[A-Za-zÀ-ɏ0-9〇|]|!(?=[a-zà-ÿ])|(?<=\d)[.,](?=[\dOlISZBb〇|])|(?<=[OlISZBb〇|])[.,](?=\d))+|[-‐‑¬­!.,]|[^A-Za-zÀ-ɏ0-9〇|\s\-‐‑¬­!.,]+")
-PUNCTUATION = str.maketrans("，。：；！？（）", ",.:;!?()")
+
+
+class Letters(dict):
+    """A table for `str.translate` that leaves what it doesn't list as it is, without an exception for each such letter."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+class Kept(dict):
+    """Answers kept up to a number of them, worked out when first asked for."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[key] = self.make(key)
+        return got
+
+
+DIGITS, DIGIT = Letters(str.maketrans("123456789", "000000000")), re.compile("[1-9]")
+TOKEN = re.compile(r"(?:[A-Za-zÀ-ɏ0-9〇|]++|!(?=[a-zà-ÿ])|(?<=\d)[.,](?=[\dOlISZBb〇|])|(?<=[OlISZBb〇|])[.,](?=\d))++|[-‐‑¬­!.,]|[^A-Za-zÀ-ɏ0-9〇|\s\-‐‑¬­!.,]++")
+TOKEN_AND_BLANKS = re.compile(rf"({TOKEN.pattern})(\s*+)")
+PUNCTUATION = Letters(str.maketrans("，。：；！？（）", ",.:;!?()"))
 LAST_WORD, FIRST_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[-‐‑¬­]$"), re.compile(r"[^\W\d_]+")
 #: Nats for a blank taken out, a blank put in, a word cut at a line end without a hyphen, a hyphen that cuts a word, one that belongs there.
 MERGE, SPLIT, CUT, HYPHEN, KEPT_HYPHEN = 7.0, 7.0, 5.0, 1.0, 4.0
 #: Share of words that no count of words can foretell; the count from which a word is known; the odds of a confusion in a line without any confidence.
 UNSEEN, KNOWN, BLIND = 0.02, 3, 0.05
+#: Stands for how often a run of ideographs or marks was counted, which isn't asked.
+NO_WORD = 1 << 40
 #: A run of more letters is no word: it has no other readings, and costs what its letters cost.
 LONGEST = 64
 
 
 def shape(word: str) -> str:
     """Numbers count by their shape, so that they don't fill the tables."""
-    return word if word.isalpha() else word.translate(DIGITS)
+    return word.translate(DIGITS) if not word.isalpha() and DIGIT.search(word) else word
 
 
 def word_slots(word: str) -> tuple[int, int]:
@@ -75,9 +103,9 @@ def is_wide(token: str) -> bool:
     return c < "ɐ" and c.isalnum() or c == "〇" or c in "|!" and len(token) > 1
 
 
-def tokens(line: str) -> list[tuple[str, int]]:
-    """(text, place) of the tokens of a line; blanks are none."""
-    return [(m.group(), m.start()) for m in TOKEN.finditer(line)]
+def tokens(line: str) -> list[tuple[str, str]]:
+    """The tokens of a line, each with the blanks after it."""
+    return TOKEN_AND_BLANKS.findall(line)
 
 
 def words_of(line: str) -> list[str]:
@@ -88,7 +116,7 @@ def words_of(line: str) -> list[str]:
 def gram_slots(codes: np.ndarray, width: int) -> np.ndarray:
     h = np.zeros(codes.shape[:-1] + (codes.shape[-1] - width + 1,), np.uint64)
     for k in range(width):
-        h = h * np.uint64(0x2545F4914F6CDD1D) + codes[..., k : codes.shape[-1] - width + 1 + k].astype(np.uint64)
+        h = h * np.uint64(0x2545F4914F6CDD1D) + codes[..., k : codes.shape[-1] - width + 1 + k].astype(np.uint64, copy=False)
     return (mix64(h + np.uint64(width)) & np.uint64(GRAMS - 1)).astype(np.int64)
 
 
@@ -103,6 +131,9 @@ def gram_slot(text: str) -> int:
     return (h ^ (h >> 31)) & (GRAMS - 1)
 
 
+slots_of = Kept(gram_slot, 200_000)
+
+
 def whole_words(lines: list[str]) -> list[str]:
     """Lines without the words that a hyphen cuts at their ends."""
     out, cut = [], False
@@ -139,19 +170,21 @@ class Counts:
         if not lines:
             return
         codes = np.frombuffer(("  " + "\n  ".join(lines)).encode("utf-32-le"), np.uint32)
-        codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
+        codes = np.where((codes >= 48) & (codes <= 57), 48, codes).astype(np.uint64)
         for width in (1, 2, 3):
             if len(codes) >= width:
                 self.part["grams"] += np.bincount(gram_slots(codes, width), minlength=GRAMS)
-        found: dict[str, int] = {}
+        each: dict[str, int] = {}
+        runs = []
         for word, n in Counter(TOKEN.findall("\n".join(words))).items():
-            word = shape(word)
-            found[word] = found.get(word, 0) + n
-        each = {w: n for w, n in found.items() if is_wide(w) and len(w) <= LONGEST}
-        for run, n in found.items():
-            if not is_wide(run):
-                for c in run:
-                    each[c] = each.get(c, 0) + n
+            if not is_wide(word):
+                runs.append(word * n)
+            elif len(word) <= LONGEST:
+                word = shape(word)
+                each[word] = each.get(word, 0) + n
+        single = np.bincount(np.frombuffer(shape("".join(runs)).encode("utf-32-le"), np.uint32))
+        for c in np.flatnonzero(single).tolist():
+            each[chr(c)] = each.get(chr(c), 0) + int(single[c])
         slots = np.array([word_slots(w) for w in each]).reshape(-1, 2)
         n = np.fromiter(each.values(), np.int64, len(each))
         np.add.at(self.part["words"], slots[:, 0], n)
@@ -189,74 +222,88 @@ class Model:
         self.slips = float(np.clip((d[top].sum() + 0.1) / (n[top].sum() + 10), 0.002, 0.2))
         noise = np.sqrt(rate * (1 - rate) / (n + 4))
         self.share = np.clip((rate - np.where(n >= 20, noise, 0.0) - self.slips) / (1 - self.slips), 0.0005, 0.995)
-        self.known: dict[str, float] = {}
-        self.seams: dict[str, float] = {}
-        self.counts_of: dict[str, int] = {}
-        self.ratios: dict[str, float] = {}
-        self.costs_of: dict[str, tuple[int, float]] = {}
+        self.known = Kept(self._gram, 400_000)
+        self.seams = Kept(self._seam, 200_000)
+        self.counts_of = Kept(self._seen, 500_000)
+        self.ranks_of = Kept(lambda token: self.counts_of[token] if is_wide(token) else NO_WORD, 100_000)
+        self.ratios = Kept(self._ratio, 200_000)
+        self.costs_of = Kept(self._word, 300_000)
+        self.gains_of = Kept(self._readings, 100_000)
+        self.places_of = Kept(lambda word: sum(len(BY_SHAPE.get(c, ())) for c in word), 200_000)
+        self.han_of = Kept(self._han, 200_000)
 
     def odds(self, confidence: float | None) -> float:
         """Log-odds that a line of this confidence is misread."""
         p = BLIND if confidence is None else float(self.share[bin_of(confidence)])
         return math.log(p / (1 - p))
 
-    def _p(self, codes: np.ndarray) -> np.ndarray:
-        """Probabilities of the last of three characters, for rows of three."""
-        three, two, pair, one, own = (self.grams[gram_slots(codes[..., a:b], b - a)[..., 0]] for a, b in ((0, 3), (0, 2), (1, 3), (1, 2), (2, 3)))
-        return self._mix(three, two, pair, one, own)
-
     def _mix(self, three, two, pair, one, own):
         """From the counts of the three, the first two, the last two, the middle one and the last one; what has hardly been seen leaves its share to the shorter ones."""
         rest = 1.0 - 0.75 * two / (two + 2.0) - 0.2 * one / (one + 5.0)
         return 0.75 * three / (two + 2.0) + 0.2 * pair / (one + 5.0) + rest * (own + 1.0) / (self.n_letters + 200.0)
 
-    def gram(self, gram: str) -> float:
+    def _gram(self, gram: str) -> float:
         """Cost of the last of three characters."""
-        got = self.known.get(gram)
-        if got is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            got = self.known[gram] = -math.log(self._mix(*(int(self.grams[gram_slot(g)]) for g in (gram, gram[:2], gram[1:], gram[1], gram[2]))))
-        return got
+        three = int(self.grams[gram_slot(gram)])
+        return -math.log(self._mix(three, *(int(self.grams[slots_of[g]]) for g in (gram[:2], gram[1:], gram[1], gram[2]))))
 
     def letters(self, text: str) -> float:
         """Cost of a text by its letters; digits as in `shape`."""
-        padded, total = "  " + text, 0.0
-        for i in range(len(padded) - 2):
-            total += self.gram(padded[i : i + 3])
-        return total
+        padded, known = "  " + text, self.known
+        return sum([known[padded[i : i + 3]] for i in range(len(text))])
 
     def seen(self, word: str) -> int:
         """How often a word was counted, but for once, which may be chance, or a piece that a page's end left."""
-        got = self.counts_of.get(word)
-        if got is None:
-            if len(self.counts_of) > 500_000:
-                self.counts_of.clear()
-            a, b = word_slots(shape(word))
-            got = self.counts_of[word] = max(0, int(min(self.words[0][a], self.words[1][b])) - 1) if len(word) <= LONGEST else 0
-        return got
+        return self.counts_of[word]
+
+    def _seen(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return 0
+        a, b = word_slots(shape(word))
+        return max(0, min(int(self.words[0, a]), int(self.words[1, b])) - 1)
 
     def word(self, word: str) -> tuple[int, float]:
         """How often a word was counted, and its cost."""
-        got = self.costs_of.get(word)
-        if got is None:
-            if len(self.costs_of) > 300_000:
-                self.costs_of.clear()
-            n = self.seen(word)
-            unseen = math.log(UNSEEN) - self.letters(shape(word) + " ")
-            got = self.costs_of[word] = (n, -(float(np.logaddexp(math.log((1 - UNSEEN) * n / self.n_words), unseen)) if n else unseen))
-        return got
+        return self.costs_of[word]
+
+    def _word(self, word: str) -> tuple[int, float]:
+        n = self.counts_of[word]
+        unseen = math.log(UNSEEN) - self.letters(shape(word) + " ")
+        return n, -(_either(math.log((1 - UNSEEN) * n / self.n_words), unseen) if n else unseen)
+
+    def readings(self, word: str) -> tuple[list[tuple[str, float]], str, float]:
+        """What a word gains by each reading that has one confusion undone (a known word has nothing to gain by one never seen: minus infinity); and, of a word that isn't known, the cheapest such reading with its cost."""
+        return self.gains_of[word]
+
+    def _readings(self, word: str) -> tuple[list[tuple[str, float]], str, float]:
+        count, cost = self.costs_of[word]
+        own, gains, best, least = shape(word), [], "", math.inf
+        for v in variants(word):
+            if count < KNOWN:
+                other = self.costs_of[v][1]
+                if other < least:
+                    best, least = v, other
+                gains.append((v, 0.0 if shape(v) == own else cost - other))
+            elif shape(v) == own:
+                gains.append((v, 0.0))
+            else:
+                gains.append((v, cost - self.costs_of[v][1] if self.counts_of[v] else -math.inf))
+        return gains, best, least
 
     def seam(self, text: str) -> float:
         """Mean cost of the characters where two lines meet, times three."""
-        got = self.seams.get(text)
-        if got is None:
-            if len(self.seams) > 200_000:
-                self.seams.clear()
-            given = shape(text)
-            n = len(given) - 2
-            got = self.seams[text] = 3 * sum(self.gram(given[k : k + 3]) for k in range(n)) / max(1, n)
-        return got
+        return self.seams[text]
+
+    def _seam(self, text: str) -> float:
+        given = shape(text)
+        n = len(given) - 2
+        return 3 * sum(self.known[given[k : k + 3]] for k in range(n)) / max(1, n)
+
+    def _han(self, window: str) -> list[tuple[str, float]]:
+        """What the ideograph in the middle of five characters gains by each that it may stand for."""
+        cost = sum(self.known[window[k : k + 3]] for k in range(3))
+        others = [(to, window[:2] + to + window[3:]) for to in BY_SHAPE[window[2]]]
+        return [(to, cost - sum(self.known[w[k : k + 3]] for k in range(3))) for to, w in others]
 
     def line(self, text: str) -> float:
         """Cost of a line: its words, and by letters what is between them."""
@@ -269,19 +316,26 @@ class Model:
                 rest.append(t)
         return total + self.letters(shape("".join(rest)))
 
-    def furniture(self, line: str) -> float:
-        """How much likelier the words of a line are in furniture than anywhere (mean log-ratio)."""
-        words = words_of(line) if self.n_marks else []
-        share, total = self.n_marks / self.n_words, 0.0
-        for word in words:
-            got = self.ratios.get(word)
-            if got is None:
-                if len(self.ratios) > 200_000:
-                    self.ratios.clear()
-                a = word_slots(word)[0]  # furniture is counted among the words, too
-                got = self.ratios[word] = math.log((int(self.marks[a]) + share) / (int(self.words[0][a]) + 1.0) / share)
-            total += got
-        return total / len(words) if words else 0.0
+    def furniture(self, own_tokens: list[tuple[str, str]]) -> float:
+        """How much likelier the words of a line, given by its tokens, are in furniture than anywhere (mean log-ratio)."""
+        if not self.n_marks:
+            return 0.0
+        ratio, ranks = self.ratios.__getitem__, self.ranks_of
+        words = [t for t, _ in own_tokens if ranks[t] != NO_WORD]
+        runs = "".join([t for t, _ in own_tokens if ranks[t] == NO_WORD]) if len(words) < len(own_tokens) else ""
+        n = len(words) + len(runs)
+        return (sum(map(ratio, words)) + sum(map(ratio, runs))) / n if n else 0.0
+
+    def _ratio(self, word: str) -> float:
+        share = self.n_marks / self.n_words
+        a = word_slots(shape(word))[0]  # furniture is counted among the words, too
+        return math.log((int(self.marks[a]) + share) / (int(self.words[0, a]) + 1.0) / share)
+
+
+def _either(a: float, b: float) -> float:
+    """The logarithm of the sum of two chances that are given by theirs."""
+    high, low = (a, b) if a > b else (b, a)
+    return high + math.log1p(math.exp(low - high))
 
 
 def variants(word: str) -> list[str]:
@@ -298,18 +352,8 @@ def variants(word: str) -> list[str]:
 
 def han_gains(model: Model, text: str) -> list[tuple[int, str, float]]:
     """(place, character, gain) of every ideograph of a stream that may stand for another."""
-    sites = [(m.start(), to) for m in HAN.finditer(text) for to in BY_SHAPE[m.group()]]
-    found = []
-    if sites:
-        codes = np.frombuffer(("  " + text + "  ").encode("utf-32-le"), np.uint32)
-        codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
-        place = np.array([i for i, _ in sites])
-        window = codes[place[:, None] + np.arange(5)]
-        other = window.copy()
-        other[:, 2] = [ord(to) for _, to in sites]
-        grams = np.stack([w[:, k : k + 3] for w in (window, other) for k in range(3)])
-        cost = -np.log(model._p(grams)).reshape(2, 3, -1).sum(1)
-        found = [(i, to, g) for (i, to), g in zip(sites, (cost[0] - cost[1]).tolist())]
+    padded, han = "  " + shape(text) + "  ", model.han_of
+    found = [(i, to, gain) for m in HAN.finditer(text) for i in (m.start(),) for to, gain in han[padded[i : i + 5]]]
     for a in re.finditer("帐长", text):
         i, to = a.start(), PAIRS["帐长"]
         before, after = shape(text[max(0, i - 2) : i]), shape(text[i + 2 : i + 4])
@@ -318,74 +362,91 @@ def han_gains(model: Model, text: str) -> list[tuple[int, str, float]]:
 
 
 class Stream:
-    """Lines put end to end, as tokens: (text, line). `after` is what parts a token from the next: nothing, a blank, a line end, a hyphen and a line end."""
+    """Lines put end to end, as tokens with the blanks after them. `first`: the first token of each line that has any, `numbers`: which lines these are, `ends`: what follows the last token of each, a line end, or a hyphen and a line end."""
 
-    def __init__(self, lines: list[list[tuple[str, int]]]):
-        self.tokens: list[tuple[str, int]] = []
-        self.after: list[str] = []
+    def __init__(self, lines: list[list[tuple[str, str]]]):
+        self.tokens: list[tuple[str, str]] = []
+        self.first: list[int] = []
+        self.numbers: list[int] = []
+        self.ends: dict[int, str] = {}
         for k, line in enumerate(lines):
             if not line:
                 continue
-            last = len(line) - 1
-            cut = last > 0 and k + 1 < len(lines) and line[last][0] in "-‐‑¬­" and line[last - 1][1] + len(line[last - 1][0]) == line[last][1]
-            for i in range(last if cut else last + 1):
-                token, at = line[i]
-                self.tokens.append((token, k))
-                self.after.append("\n" if i == last else "" if line[i + 1][1] == at + len(token) else " ")
-            if cut:
-                self.after[-1] = "-\n"
+            self.first.append(len(self.tokens))
+            self.numbers.append(k)
+            cut = len(line) > 1 and k + 1 < len(lines) and line[-1][0] in "-‐‑¬­" and not line[-2][1]
+            self.tokens += line[:-1] if cut else line
+            self.ends[len(self.tokens) - 1] = "-\n" if cut else "\n"
 
 
 def is_word(token: str) -> bool:
     return token[0].isalpha() and token[0] < "ɐ"
 
 
-def decode(lines: list[list[tuple[str, int]]], prices: list[float], model: Model) -> tuple[list[tuple[int, int, int, int, str, str]], float]:
+def decode(lines: list[list[tuple[str, str]]], prices: list[float], model: Model) -> tuple[list[tuple[int, int, int, int, str, str]], float]:
     """The cheapest path over a stream of lines, each given by its tokens. `prices`: what undoing a confusion costs in each line.
 
-    Edges other than a token as it is: (kind, token, tokens, line, was, becomes), kind of `confusion`, `merge`, `split`, `cut`, `hyphen`; and the path's cost.
+    Edges other than a token as it is: (kind, token, tokens, line, was, becomes), kind of `confusion`, `merge`, `split`, `cut`, `hyphen`; and what the path costs beyond the tokens as they are.
+
+    Costs are counted from those of the tokens as they are, so that an edge counts only if it is cheaper than its tokens, and between the tokens that may have one (those that aren't known,
+    the ones before them, and those that a hyphen cuts) the path goes straight on.
     """
     s = Stream(lines)
-    n = len(s.tokens)
-    best, back = [0.0] + [math.inf] * n, [None] * (n + 1)
-
-    def edge(a: int, b: int, cost: float, what) -> None:
-        if best[a] + cost < best[b]:
-            best[b], back[b] = best[a] + cost, (a, what)
-
-    costs, word = model.costs_of, model.word
-    for k, (token, line) in enumerate(s.tokens):
-        after = s.after[k]
-        wide = is_wide(token)
-        count, cost = (costs.get(token) or word(token)) if wide else (KNOWN, 1.0)
-        total = best[k] + cost + (KEPT_HYPHEN if after == "-\n" else 0.0)
-        if total < best[k + 1]:
-            best[k + 1], back[k + 1] = total, (k, None)
-        if not wide or count >= KNOWN and after == "":
+    n, costs, seen, ranks = len(s.tokens), model.costs_of, model.counts_of, model.ranks_of
+    rare = [k for k, (t, _) in enumerate(s.tokens) if ranks[t] < KNOWN]
+    able = sorted({*rare, *(k - 1 for k in rare if k), *(k for k, after in s.ends.items() if after == "-\n")})
+    waiting: dict[int, tuple[float, int, tuple]] = {}
+    taken: list[tuple[int, int, tuple]] = []
+    cost, settled = 0.0, 0
+
+    def as_it_is(k: int) -> float:
+        token = s.tokens[k][0]
+        return (costs[token][1] if is_wide(token) else 1.0) + (KEPT_HYPHEN if s.ends.get(k) == "-\n" else 0.0)
+
+    def edge(b: int, more: float, what: tuple) -> None:
+        if more < 0 and (b not in waiting or cost + more < waiting[b][0]):
+            waiting[b] = cost + more, what[1], what
+
+    for k in [*able, n]:
+        for b in range(settled + 1, min(settled + 2, k) + 1):
+            if b in waiting:
+                other, a, what = waiting.pop(b)
+                if other < cost:
+                    cost = other
+                    taken.append((b, a, what))
+        settled = k
+        if k == n:
+            break
+        token, blanks = s.tokens[k]
+        if not is_wide(token):
             continue
+        after, count, own = s.ends.get(k) or blanks, seen[token], as_it_is(k)
+        line = s.numbers[bisect_right(s.first, k) - 1]
         if count < KNOWN:
-            for v in variants(token):
-                edge(k, k + 1, model.word(v)[1] + prices[line], ("confusion", k, 1, line, token, v))
+            _, v, least = model.readings(token)
+            edge(k + 1, least + prices[line] - own, ("confusion", k, 1, line, token, v))
             if is_word(token):
                 for i in range(max(2, len(token) - LONGEST), min(len(token) - 1, LONGEST + 1)):
-                    if model.seen(token[:i]) >= KNOWN and model.seen(token[i:]) >= KNOWN:
-                        edge(k, k + 1, word(token[:i])[1] + word(token[i:])[1] + SPLIT, ("split", k, 1, line, token, token[:i] + " " + token[i:]))
+                    if seen[token[:i]] >= KNOWN and seen[token[i:]] >= KNOWN:
+                        edge(k + 1, costs[token[:i]][1] + costs[token[i:]][1] + SPLIT - own, ("split", k, 1, line, token, token[:i] + " " + token[i:]))
         if after and k + 1 < n and is_word(token) and is_word(s.tokens[k + 1][0]):
             following = s.tokens[k + 1][0]
             joined = token + following
             if after == "-\n":
                 if token[-1].islower() and following[0].islower():
-                    nj, cj = model.word(joined)
-                    edge(k, k + 2, cj + HYPHEN, ("hyphen", k, 2, line, token, joined))
+                    own += as_it_is(k + 1)
+                    nj, cj = costs[joined]
+                    edge(k + 2, cj + HYPHEN - own, ("hyphen", k, 2, line, token, joined))
                     if nj < KNOWN:
-                        for v in variants(joined):
-                            edge(k, k + 2, model.word(v)[1] + HYPHEN + prices[line], ("hyphen", k, 2, line, token, v))
-            elif (count < KNOWN or model.seen(following) < KNOWN) and following[0].islower():
-                if model.seen(joined) >= KNOWN:
-                    edge(k, k + 2, word(joined)[1] + (MERGE if after == " " else CUT), ("merge" if after == " " else "cut", k, 2, line, token, joined))
+                        _, v, least = model.readings(joined)
+                        edge(k + 2, least + HYPHEN + prices[line] - own, ("hyphen", k, 2, line, token, v))
+            elif (count < KNOWN or seen[following] < KNOWN) and following[0].islower():
+                if seen[joined] >= KNOWN:
+                    inner = s.ends.get(k) is None
+                    edge(k + 2, costs[joined][1] + (MERGE if inner else CUT) - own - as_it_is(k + 1), ("merge" if inner else "cut", k, 2, line, token, joined))
     path, at = [], n
-    while at:
-        at, what = back[at]
-        if what:
+    for b, a, what in reversed(taken):
+        if b <= at:
             path.append(what)
-    return path[::-1], best[n]
+            at = a
+    return path[::-1], cost

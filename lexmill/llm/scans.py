@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -28,16 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Model, decode, han_gains, is_wide, same_but_marks, shape, tokens, variants
+from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, NO_WORD, PAIRS, PUNCTUATION, SIZE, Counts, Letters, Model, decode, han_gains, same_but_marks, tokens
 
 NUMBER = r"[0-9lIOoZSB〇|]{1,4}"
 PAGE = re.compile(
     rf"[—–\-·•\[(（]\s*{NUMBER}\s*[—–\-·•\])）]|第\s*{NUMBER}\s*页(?:\s*[，,/]?\s*共\s*{NUMBER}\s*页)?|{NUMBER}\s*/\s*{NUMBER}|(?i:p\.|pp\.|s\.|pág\.|page|seite|página|pagina|folio)\s*{NUMBER}(?:\s*(?:of|von|sur|de|/)\s*{NUMBER})?"
 )
+#: What the last letter of a page number may be.
+PAGE_END = frozenset("0123456789lIOoZSB〇|—–-·•])）页")
 BARE = re.compile(r"\d{1,4}")
 TAIL = re.compile(rf"(?<!\s)\s{{2,}}+({NUMBER})$")
+TAIL_END = frozenset("0123456789lIOoZSB〇|")
 DIGITS = str.maketrans("lI|OoZSB〇", "111002580")
-FULL_STOP = re.compile(r"[。！？.!?:：；;][”’\"»」』）)]*$")
+FULL_STOP, CLOSING = frozenset("。！？.!?:：；;"), "”’\"»」』）)"
 MARKED = re.compile(r"[|#>*\-]|\d+[.、)]|第.{1,4}条")
 EDGE = " \t\r﻿"
 #: Below this confidence a line isn't counted for the model.
@@ -62,18 +66,33 @@ def _classes() -> dict[str, str]:
 CLASS = _classes()
 
 
-FOLD = str.maketrans(CLASS | dict.fromkeys(" \t\u00a0\u3000"))
+FOLD = Letters(str.maketrans(CLASS | dict.fromkeys(" \t\u00a0\u3000")))
 
 
 def key_of(line: str) -> str:
     """A line up to case, blanks, misread shapes and a number set off at its end; its other digits count."""
-    line = TAIL.sub("", line)
+    if line[-1:] in TAIL_END:
+        line = TAIL.sub("", line)
     for a, b in PAIRS.items():
         if a in line:
             line = line.replace(a, b)
     return line.lower().translate(FOLD)
 
 
+def stops(line: str) -> bool:
+    """Whether a line ends with a full stop, or with closing marks after one."""
+    return line.rstrip(CLOSING)[-1:] in FULL_STOP
+
+
+def width_of(lines: list[str]) -> float:
+    """The length that four fifths of the lines don't exceed (as numpy's percentile has it)."""
+    sizes = sorted(map(len, lines))
+    place = (len(sizes) - 1) * 0.8
+    k = int(place)
+    a, b, part = sizes[k], sizes[min(k + 1, len(sizes) - 1)], place - k
+    return float(b - (b - a) * (1 - part) if part >= 0.5 else a + (b - a) * part)
+
+
 class Page:
     """The lines of one scan, sorted into furniture and body."""
 
@@ -85,6 +104,7 @@ class Page:
         self.second: dict[int, str] = {i: other[i].strip(EDGE) for i in self.full} if len(other) == len(self.lines) else {}
         self.digits_agree = not self.second and mismatches == 0
         self.model, self.known = model, None
+        self.split = {i: tokens(self.lines[i]) for i in self.full} if model.n_marks or model.n_letters else {}
         self.numbers = self._page_numbers()
         self.headers = self._running_headers()
         tails = [int(m.group(1).translate(DIGITS)) for i in sorted(self.headers) if (m := TAIL.search(self.lines[i]))]
@@ -94,7 +114,7 @@ class Page:
     def _page_numbers(self) -> set[int]:
         """Lines of a number and little else, by the sum of what speaks for and against."""
         lines, full = self.lines, self.full
-        bare = {i for i in full if BARE.fullmatch(lines[i])}
+        bare = {i for i in full if len(lines[i]) <= 4 and BARE.fullmatch(lines[i])}
         found, run = set(), {}
         alone = [i for k, i in enumerate(full) if i in bare and not ({*full[max(0, k - 1) : k], *full[k + 1 : k + 2]} & bare)]
         start = 0
@@ -103,7 +123,7 @@ class Page:
                 run |= {i: k - start for i in alone[start:k]}
                 start = k
         for k, i in enumerate(full):
-            form = bool(PAGE.fullmatch(lines[i]))
+            form = lines[i][-1] in PAGE_END and bool(PAGE.fullmatch(lines[i]))
             if i not in bare and not form:
                 continue
             score = -1.5 + 3.0 * form + 3.0 * (run.get(i, 0) > 1)
@@ -116,7 +136,7 @@ class Page:
 
     def _open(self, i: int) -> bool:
         """Whether a line is one of running text that goes on after it."""
-        return not FULL_STOP.search(self.lines[i]) and not self.lines[i].startswith("|") and len(self.lines[i]) > 12
+        return not stops(self.lines[i]) and not self.lines[i].startswith("|") and len(self.lines[i]) > 12
 
     def _seam(self, a: str, b: str) -> float:
         """Surprise where one line goes on with another."""
@@ -128,7 +148,7 @@ class Page:
         rest = [i for i in self.full if i not in self.numbers]
         if len(rest) < 2:
             return set()
-        width = float(np.percentile([len(lines[i]) for i in rest], 80))
+        width = width_of([lines[i] for i in rest])
         able = [i for i in rest if 6 <= len(lines[i]) <= 1.3 * width + 10]
         start = {i: CLASS.get(c := lines[i][0].lower(), c) for i in able}
         many = Counter(start.values())
@@ -143,14 +163,17 @@ class Page:
                 for i in by_key[a] + by_key[b]:
                     again[i] += len(by_key[b] if keys[i] == a else by_key[a])
         scores = {}
+        more = 4.5 if self.split else 0.0
         for k, i in enumerate(rest):
             if i not in keys:
                 continue
             line = lines[i]
             edge = k in (0, len(rest) - 1) or i - 1 in self.numbers or i + 1 in self.numbers or not lines[i - 1].strip() and self._open(rest[k - 1])
-            score = -4.0 + 3.0 * (again[i] > 0) + 1.0 * (again[i] > 1) + 2.0 * edge - 4.0 * bool(FULL_STOP.search(line)) - 4.0 * bool(MARKED.match(line))
-            if score > -4.5:  # what is left can add 3 and 1.5
-                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(line)))
+            if not again[i] and 2.0 * edge + more <= 4.0:  # nothing can make it one
+                continue
+            score = -4.0 + 3.0 * (again[i] > 0) + 1.0 * (again[i] > 1) + 2.0 * edge - 4.0 * stops(line) - 4.0 * bool(MARKED.match(line))
+            if score > -4.5 and self.split:  # what is left can add 3 and 1.5
+                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(self.split[i])))
             if score > -1.5 and 0 < k < len(rest) - 1 and self.model.n_letters:
                 a, b = lines[rest[k - 1]], lines[rest[k + 1]]
                 score += min(1.5, max(-1.5, (self._seam(a, line) + self._seam(line, b) - 2 * self._seam(a, b)) / 4))
@@ -164,7 +187,7 @@ class Page:
 
     # --- misread characters
 
-    def odds(self, i: int, own_tokens: list[tuple[str, int]], han: dict[int, list[tuple[str, str, float]]]) -> tuple[float, float]:
+    def odds(self, i: int, own_tokens: list[tuple[str, str]], han: dict[int, list[tuple[str, str, float]]]) -> tuple[float, float]:
         """Log-odds that a line (with these tokens) has a character that its page doesn't have, and the price of undoing a confusion in it. `han`: gains of ideographs by line."""
         model, line, other = self.model, self.lines[i], self.second.get(i)
         prior = model.odds(self.confidence.get(i))
@@ -175,25 +198,22 @@ class Page:
             return prior + math.log((1 - model.slips) / model.slips) + model.line(line) - model.line(other), 16.0
         gains = [g for _, _, g in han.get(i, ())]
         sites = len(gains)
+        ranks, places, readings = model.ranks_of, model.places_of, model.gains_of
         for token, _ in own_tokens:
-            if not is_wide(token):
+            if (rank := ranks[token]) == NO_WORD:
                 continue
-            count, cost = model.word(token)
-            if count >= KNOWN and prior < -4.0:  # a word that is well known gains nothing worth so small a chance
-                sites += sum(len(BY_SHAPE.get(c, ())) for c in token)
+            if prior < -4.0 and rank >= KNOWN:  # a word that is well known gains nothing worth so small a chance
+                sites += places[token]
                 continue
-            own = shape(token)
-            for v in variants(token):
-                if self.digits_agree and (any(c.isdigit() for c in token) or any(c.isdigit() for c in v)):
-                    continue
-                sites += 1
-                if shape(v) == own:
-                    gains.append(0.0)
-                elif count < KNOWN or model.seen(v):
-                    gains.append(cost - model.word(v)[1])
+            own = readings[token][0]
+            if self.digits_agree and own:
+                own = [] if any(c.isdigit() for c in token) else [(v, g) for v, g in own if not any(c.isdigit() for c in v)]
+            sites += len(own)
+            gains += [g for _, g in own if g > -math.inf]
         if not sites:
             return prior - 4.0, 16.0
-        mean = float(np.logaddexp.reduce(gains)) - math.log(sites) if gains else -12.0
+        most = max(gains, default=0.0)
+        mean = most + math.log(sum([math.exp(g - most) for g in gains])) - math.log(sites) if gains else -12.0
         return prior + mean, max(0.5, math.log(sites) - prior)
 
     def read(self) -> tuple[list[str], float, list, dict[int, str]]:
@@ -202,7 +222,7 @@ class Page:
             return self.known
         body, han = self.body, self._han_gains()
         chance, prices, made = 1.0, {}, {}
-        split = {i: tokens(self.lines[i]) for i in self.full}
+        split = self.split or {i: tokens(self.lines[i]) for i in self.full}
         for i in self.full:
             odds, prices[i] = self.odds(i, split[i], han)
             p = 1 / (1 + math.exp(-min(30.0, max(-30.0, odds))))
@@ -234,9 +254,8 @@ class Page:
                 starts.append(at)
                 text.append(self.lines[i])
                 at += len(self.lines[i])
-            edges = np.array(starts)
             for place, to, gain in han_gains(self.model, "".join(text)):
-                k = int(np.searchsorted(edges, place, "right")) - 1
+                k = bisect_right(starts, place) - 1
                 i, p = part[k], place - starts[k]
                 line = self.lines[i]
                 if i in wanted:
@@ -307,10 +326,10 @@ def paragraphs(page: Page) -> str:
 def _boundaries(page: Page, lines: list[str], joined: set[int]) -> set[int]:
     """The line ends at which a paragraph ends: the cheapest sequence of ends and goings-on, where an end right after another costs more."""
     body = page.body
-    width = float(np.percentile([len(x) for x in lines], 80))
+    width = width_of(lines)
     best, back = (0.0, 1.5), []  # costs with a paragraph going on, and with one that has just ended
     for k, (i, j) in enumerate(zip(body, body[1:])):
-        stop, blank, short = bool(FULL_STOP.search(lines[k])), any(not page.lines[x].strip() for x in range(i + 1, j)), len(lines[k]) < 0.75 * width
+        stop, blank, short = stops(lines[k]), any(not page.lines[x].strip() for x in range(i + 1, j)), len(lines[k]) < 0.75 * width
         marked = bool(MARKED.match(lines[k + 1])) or lines[k].startswith(("|", "#"))
         table = lines[k].startswith("|") and lines[k + 1].startswith("|")
         cut = (0.5 if stop else 5.0) + (0.0 if blank else 1.5) - (2.0 if marked else 0.0) - (3.0 if short and blank else 0.0) + (20.0 if k in joined or table else 0.0) + 0.5
@@ -349,14 +368,13 @@ def learn(rows: DataFrame) -> Model:
         counts, blind = Counts(), Model(np.zeros(SIZE, np.int64))
         for batch in batches:
             for scan, text, confidences, second in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-                lines = [x.strip(EDGE) for x in text.split("\n")]
-                full = [i for i, x in enumerate(lines) if x.strip()]
-                sure = dict(zip(full, confidences)) if confidences and len(confidences) == len(full) else {}
-                good = {i for i in full if (sure.get(i) or 1.0) >= LOW}
                 if not scan:
-                    counts.text([lines[i] for i in full])
+                    counts.text([x for x in (x.strip(EDGE) for x in text.split("\n")) if x.strip()])
                     continue
                 page = Page(text, None, None, blind)
+                lines, full = page.lines, page.full
+                sure = dict(zip(full, confidences)) if confidences and len(confidences) == len(full) else {}
+                good = {i for i in full if (sure.get(i) or 1.0) >= LOW}
                 for i in page.headers:
                     counts.furniture(lines[i])
                 for part in (page.body, page.headers):

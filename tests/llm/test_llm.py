@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips, held-out cases and the defined edge cases."""
 
 import base64
+import cProfile
 import random
 
 import numpy as np
@@ -448,6 +449,24 @@ def test_the_lattice_splits_merges_and_joins(language):
     assert scans.defects(scans.Page("the sum of 381 was filed", [0.3], "the sum of 381 was filed", language)) == []
 
 
+@pytest.mark.parametrize("confidence", [None, 0.99])
+def test_known_words_cost_little(language, confidence):
+    """Calls are counted, not seconds, which depend on the machine."""
+    lines = [f"{k} {x}" for k in range(20) for x in ("the parties agree that the agreement was signed in the presence of both witnesses", "the court notes that the document was filed in time and that no objection was raised", "合同双方已经签署补充协议并已经履行")]
+    given = "\n".join(lines), [confidence] * len(lines) if confidence else None, None, language
+    scans.defects(scans.Page(*given))
+    profile = cProfile.Profile()
+    profile.runcall(lambda: scans.defects(scans.Page(*given)))
+    assert sum(x.callcount for x in profile.getstats()) < 15 * sum(len(lattice.tokens(x)) for x in lines)
+
+
+def test_a_line_that_most_lines_do_not_exceed():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 40), 900]:
+        lines = ["x" * k for k in rng.integers(0, 120, n).tolist()]
+        assert scans.width_of(lines) == float(np.percentile([len(x) for x in lines], 80))
+
+
 def test_a_paragraph_of_very_many_lines():
     text = "\n".join("the witness went on to say that the goods which had been" for _ in range(900)) + " sent."
     assert scans.paragraphs(scans.Page(text, None, None, EMPTY)).count("\n\n") == 0
