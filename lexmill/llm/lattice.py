@@ -94,7 +94,7 @@ def word_slots(word: str) -> tuple[int, int]:
 
 def same_but_marks(a: str, b: str) -> bool:
     """Whether two readings of a line differ in the width of punctuation at most."""
-    return a == b or len(a) == len(b) and a.translate(PUNCTUATION) == b.translate(PUNCTUATION)
+    return a == b or len(a) == len(b) and not (a.isascii() and b.isascii()) and a.translate(PUNCTUATION) == b.translate(PUNCTUATION)
 
 
 def is_wide(token: str) -> bool:
@@ -316,15 +316,22 @@ class Model:
                 rest.append(t)
         return total + self.letters(shape("".join(rest)))
 
-    def furniture(self, own_tokens: list[tuple[str, str]]) -> float:
-        """How much likelier the words of a line, given by its tokens, are in furniture than anywhere (mean log-ratio)."""
+    def words_in(self, own_tokens: list[tuple[str, str]]) -> list[str]:
+        """The words and numbers among tokens."""
+        ranks = self.ranks_of
+        return [t for t, _ in own_tokens if ranks[t] != NO_WORD]
+
+    def furniture(self, own_tokens: list[tuple[str, str]], words: list[str]) -> float:
+        """How much likelier a line, given by its tokens and the words among them, is in furniture than anywhere (mean log-ratio of its words, ideographs and marks)."""
         if not self.n_marks:
             return 0.0
         ratio, ranks = self.ratios.__getitem__, self.ranks_of
-        words = [t for t, _ in own_tokens if ranks[t] != NO_WORD]
-        runs = "".join([t for t, _ in own_tokens if ranks[t] == NO_WORD]) if len(words) < len(own_tokens) else ""
-        n = len(words) + len(runs)
-        return (sum(map(ratio, words)) + sum(map(ratio, runs))) / n if n else 0.0
+        n, total = len(words), sum(map(ratio, words))
+        if n < len(own_tokens):
+            runs = "".join([t for t, _ in own_tokens if ranks[t] == NO_WORD]) if n else "".join([t for t, _ in own_tokens])
+            n += len(runs)
+            total += sum(map(ratio, runs))
+        return total / n if n else 0.0
 
     def _ratio(self, word: str) -> float:
         share = self.n_marks / self.n_words

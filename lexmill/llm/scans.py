@@ -23,13 +23,14 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, NO_WORD, PAIRS, PUNCTUATION, SIZE, Counts, Letters, Model, decode, han_gains, same_but_marks, tokens
+from lexmill.llm.lattice import BY_SHAPE, HAN, KNOWN, PAIRS, PUNCTUATION, SIZE, Counts, Letters, Model, decode, han_gains, same_but_marks, tokens
 
 NUMBER = r"[0-9lIOoZSB〇|]{1,4}"
 PAGE = re.compile(
@@ -105,6 +106,7 @@ class Page:
         self.digits_agree = not self.second and mismatches == 0
         self.model, self.known = model, None
         self.split = {i: tokens(self.lines[i]) for i in self.full} if model.n_marks or model.n_letters else {}
+        self.words = {i: model.words_in(own) for i, own in self.split.items()}
         self.numbers = self._page_numbers()
         self.headers = self._running_headers()
         tails = [int(m.group(1).translate(DIGITS)) for i in sorted(self.headers) if (m := TAIL.search(self.lines[i]))]
@@ -165,7 +167,7 @@ class Page:
         scores = {}
         more = 4.5 if self.split else 0.0
         for k, i in enumerate(rest):
-            if i not in keys:
+            if i not in keys or not more and not again[i]:
                 continue
             line = lines[i]
             edge = k in (0, len(rest) - 1) or i - 1 in self.numbers or i + 1 in self.numbers or not lines[i - 1].strip() and self._open(rest[k - 1])
@@ -173,7 +175,7 @@ class Page:
                 continue
             score = -4.0 + 3.0 * (again[i] > 0) + 1.0 * (again[i] > 1) + 2.0 * edge - 4.0 * stops(line) - 4.0 * bool(MARKED.match(line))
             if score > -4.5 and self.split:  # what is left can add 3 and 1.5
-                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(self.split[i])))
+                score += min(3.0, max(-3.0, 2.0 * self.model.furniture(self.split[i], self.words[i])))
             if score > -1.5 and 0 < k < len(rest) - 1 and self.model.n_letters:
                 a, b = lines[rest[k - 1]], lines[rest[k + 1]]
                 score += min(1.5, max(-1.5, (self._seam(a, line) + self._seam(line, b) - 2 * self._seam(a, b)) / 4))
@@ -187,8 +189,8 @@ class Page:
 
     # --- misread characters
 
-    def odds(self, i: int, own_tokens: list[tuple[str, str]], han: dict[int, list[tuple[str, str, float]]]) -> tuple[float, float]:
-        """Log-odds that a line (with these tokens) has a character that its page doesn't have, and the price of undoing a confusion in it. `han`: gains of ideographs by line."""
+    def odds(self, i: int, words: list[str], han: dict[int, list[tuple[int, str, float]]]) -> tuple[float, float]:
+        """Log-odds that a line (with these words) has a character that its page doesn't have, and the price of undoing a confusion in it. `han`: gains of ideographs by line."""
         model, line, other = self.model, self.lines[i], self.second.get(i)
         prior = model.odds(self.confidence.get(i))
         if other is not None:
@@ -199,10 +201,8 @@ class Page:
         gains = [g for _, _, g in han.get(i, ())]
         sites = len(gains)
         ranks, places, readings = model.ranks_of, model.places_of, model.gains_of
-        for token, _ in own_tokens:
-            if (rank := ranks[token]) == NO_WORD:
-                continue
-            if prior < -4.0 and rank >= KNOWN:  # a word that is well known gains nothing worth so small a chance
+        for token in words:
+            if prior < -4.0 and ranks[token] >= KNOWN:  # a word that is well known gains nothing worth so small a chance
                 sites += places[token]
                 continue
             own = readings[token][0]
@@ -224,7 +224,7 @@ class Page:
         chance, prices, made = 1.0, {}, {}
         split = self.split or {i: tokens(self.lines[i]) for i in self.full}
         for i in self.full:
-            odds, prices[i] = self.odds(i, split[i], han)
+            odds, prices[i] = self.odds(i, self.words[i] if self.words else self.model.words_in(split[i]), han)
             p = 1 / (1 + math.exp(-min(30.0, max(-30.0, odds))))
             chance *= 1 - p
             made[i] = self.lines[i]
@@ -232,7 +232,8 @@ class Page:
                 made[i] = self._aligned(i)
                 split[i] = tokens(made[i])
             elif odds > 0:
-                for was, to, gain in sorted(han.get(i, ()), key=lambda x: -x[2]):
+                for place, to, gain in sorted(han.get(i, ()), key=lambda x: -x[2]):
+                    was = self._around(i, place)
                     if gain > max(1.0, prices[i]) and made[i].count(was) == 1:
                         made[i] = made[i].replace(was, was[0] + to + was[-1] if len(was) == 3 else to)
                 split[i] = tokens(made[i])
@@ -240,29 +241,28 @@ class Page:
         self.known = path, 1 - chance, body, made
         return self.known
 
-    def _han_gains(self) -> dict[int, list[tuple[str, str, float]]]:
-        """Gains of ideographs in the stream, by line; each with the piece of its line around it."""
-        out: dict[int, list[tuple[str, str, float]]] = {}
+    def _han_gains(self) -> dict[int, list[tuple[int, str, float]]]:
+        """Gains of ideographs in the stream, by line; each with its place in the line."""
+        out: dict[int, list[tuple[int, str, float]]] = {}
         for part in (self.body, [i for i in self.full if i in self.headers]):
-            rows = [i for i in part if HAN.search(self.lines[i]) or "帐长" in self.lines[i]]
-            if not rows:
+            text = "".join([self.lines[i] for i in part])
+            if not HAN.search(text) and "帐长" not in text:
                 continue
-            wanted = set(rows)
-            text, starts = [], []
-            at = 0
-            for i in part:
-                starts.append(at)
-                text.append(self.lines[i])
-                at += len(self.lines[i])
-            for place, to, gain in han_gains(self.model, "".join(text)):
+            starts = [0, *accumulate([len(self.lines[i]) for i in part])]
+            for place, to, gain in han_gains(self.model, text):
                 k = bisect_right(starts, place) - 1
-                i, p = part[k], place - starts[k]
-                line = self.lines[i]
-                if i in wanted:
-                    inner = 0 < p < len(line) - 1 and line[p : p + 2] not in PAIRS
-                    out.setdefault(i, []).append((line[p - 1 : p + 2] if inner else line[p : p + 2] if line[p : p + 2] in PAIRS else line[p], to, gain))
+                i = part[k]
+                if to != PAIRS["帐长"] or HAN.search(self.lines[i]) or "帐长" in self.lines[i]:
+                    out.setdefault(i, []).append((place - starts[k], to, gain))
         return out
 
+    def _around(self, i: int, p: int) -> str:
+        """The piece of a line around one of its ideographs."""
+        line = self.lines[i]
+        if line[p : p + 2] in PAIRS:
+            return line[p : p + 2]
+        return line[p - 1 : p + 2] if 0 < p < len(line) - 1 else line[p]
+
     def _aligned(self, i: int) -> str:
         """The second reading of a line, with the line's own punctuation where both are as long."""
         line, other = self.lines[i], self.second[i]
